@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mtree, simhash, token_files
+from . import bpe, mtree, simhash, token_files, toxicity, warc
 from .workspace import Workspace
 
 
@@ -15,6 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Workspace(spark, 'warc').path}/archives"
+    warc.write_captures(table(spark, sf_dir, "pages"), path)
+    captures = warc.transactions(warc.read_records(spark, path, payloads=False)).where("main IS NOT NULL AND request IS NOT NULL AND size(metadata) = 1")
+    page = lambda c: F.try_to_number(F.regexp_extract(c, "urn:x-capture:(-?[0-9]*)", 1), F.lit("S9999999999999999999")).cast("long")
+    return captures.select(page("capture").alias("page_id"), "main.payload_bytes", "main.payload_digest", "main.record_type", page("main.refers_to").alias("refers_to"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -27,6 +35,16 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def toxicity_machine(spark: SparkSession, sf_dir: str) -> toxicity.Machine:
+    return toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), where=toxicity.remainder("doc_id") != 0)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_machine(spark, sf_dir))
+    return scored.select("doc_id", (toxicity.remainder("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Workspace(spark, 'tokens').path}/ids"
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
@@ -50,6 +68,13 @@ def oracle_sql() -> dict[str, str]:
 
 
 SQL = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, COALESCE(html, '') AS body, sha1(COALESCE(html, '')) AS h FROM pages),
+        g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keeper, row_number() OVER (PARTITION BY h ORDER BY page_id DESC NULLS LAST) AS k FROM p)
+        SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(h, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+               CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN keeper END AS refers_to
+        FROM g""",
     "op9_mtree": """
         WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
                    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
