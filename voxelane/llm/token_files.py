@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,39 +17,81 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 #: Words remembered by a worker, and the longest word worth remembering.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 600_000, 48
 #: Control characters that Python splits at, but Unicode doesn't count as white space.
 _ODD = re.compile("[\x1c-\x1f]")
+# Fixed value: the pattern by which the word-level vocabulary splits normalised text, for words without white space.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+"
 _WORDS = re.compile("[^\t-\r \x85\xa0  -     　]+").findall
 
 
 class WordEncoder:
     """Encodes texts word by word with a vocabulary of the tokenizers library whose pieces never cross white space.
 
-    Such vocabularies normalise and merge each word alike wherever it stands, so that the library's answer for a distinct
-    word is kept and used again. Meant for files that drop white space.
+    Such vocabularies normalise, split and merge each word alike wherever it stands, so the library's answer for a distinct
+    piece is kept and used again. Words of Latin letters are split here by the file's own pattern; words with any other
+    character, or with a special token, go to the library whole. Many new pieces go to the library as one line and come
+    apart at the tokens that end a word.
     """
 
     def __init__(self, path: str):
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        words = [_WORDS(x) if _ODD.search(x) else x.split() for x in texts]
+        spec = json.loads(self.library.to_str())
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(max(self.library.get_vocab().values()) + 1, bool)
+        for token, i in spec["model"]["vocab"].items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
+        self.special = [x["content"] for x in spec.get("added_tokens", [])]
+        self.simple = regex.compile("[!-~\xa1-\u024f]+").fullmatch
+        self.pieces = regex.compile(PIECES).findall
+        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.library.encode(word, add_special_tokens=False).ids, np.int32).tobytes()
+
+    def _learn(self, new: set[str], special: bool) -> dict[str, bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
+        cut, out, pieces, simple, nfc = {}, {}, self.pieces, self.simple, unicodedata.is_normalized
+        for w in new:
+            if special and any(x in w for x in self.special) or not (w.isascii() or simple(w) and nfc("NFC", w)):
+                out[w] = self._whole(w)
+            else:
+                cut[w] = (w.lower(),) if w.isalpha() else pieces(w.lower())
         known = self.known
-        new = list({w for one in words for w in one if w not in known})
-        long = {}
-        for at in range(0, len(new), 2048):
-            part = new[at : at + 2048]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                (known if len(w) <= LONGEST else long)[w] = tuple(e.ids)
-        if long:
-            known = known | long
-        return [list(chain.from_iterable(map(known.__getitem__, one))) for one in words]
+        unknown = [*set().union(*cut.values()).difference(known)]
+        for at in range(0, len(unknown), 1024):
+            part = unknown[at : at + 1024]
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part) and stops[-1] == len(ids):
+                data, stops = ids.tobytes(), (stops * 4).tolist()
+                known.update(zip(part, [data[a:b] for a, b in zip([0, *stops], stops)]))
+            else:
+                known.update((p, self._whole(p)) for p in part)
+        for w, x in cut.items():
+            out[w] = known[x[0]] if len(x) == 1 else b"".join([known[p] for p in x])
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as int32 bytes."""
+        words = [_WORDS(x) if _ODD.search(x) else x.split() for x in texts]
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        known = self.words
+        found = self._learn(set().union(*words).difference(known), any(s in x for s in self.special for x in texts))
+        known.update(found)
+        out = [b"".join(map(known.__getitem__, one)) for one in words]
+        for w in found:
+            if len(w) > LONGEST:
+                del known[w]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -83,8 +125,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, t
             for first in range(0, batch.num_rows, 256):
                 some = batch.slice(first, 256)
                 ids = e.encode(some.column(1).to_pylist())
-                n = np.array([len(x) + 1 for x in ids], np.int64)
-                flat = np.fromiter(chain.from_iterable(chain(x, (end_id,)) for x in ids), np.int32, int(n.sum()))
+                n = np.array([len(x) // 4 + 1 for x in ids], np.int64)
+                end = np.int32(end_id).tobytes()
+                flat = np.frombuffer(b"".join([x + end for x in ids]), np.int32)
                 stops = np.cumsum(n)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, stops].astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), some.column(0), pa.array(at + stops - n), pa.array(n), lists], names=["part", "key", "local_start", "n_tokens", "ids"])
