@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mtree, simhash, token_files, toxicity, warc
+from . import bpe, decontaminate, mtree, simhash, token_files, toxicity, warc
 from .workspace import Workspace
 
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Workspace(spark, 'warc').path}/archives"
     warc.write_captures(table(spark, sf_dir, "pages"), path)
@@ -67,7 +71,26 @@ def oracle_sql() -> dict[str, str]:
     return SQL
 
 
+_TOKENS = """regexp_extract_all(lower(regexp_replace(regexp_replace(translate(COALESCE(text, ''), chr(1), ' '), '{unit}', '\\1' || chr(1) || 'u\\2\\3', 'g'), '{name}', '\\1' || chr(1) || 'p\\2', 'g')), '\\p{{Nd}}+(?:[.,:/]\\p{{Nd}}+)*|\\x01?[\\p{{L}}\\p{{M}}]+')""".format(unit=decontaminate.UNIT, name=decontaminate.NAME)
+_TEMPLATE = "CASE WHEN {0}[1] = chr(1) THEN {0}[1:2] WHEN regexp_matches({0}, '^\\p{{Nd}}') THEN chr(1) || 'n' ELSE {0} END"
+
 SQL = {
+    "op1_decontaminate": f"""
+        WITH i AS (SELECT item_id, {_TOKENS} AS v FROM benchmark WHERE item_id IS NOT NULL),
+        d AS (SELECT doc_id, {_TOKENS} AS v FROM documents WHERE doc_id IS NOT NULL),
+        it AS (SELECT item_id, v, list_transform(v, lambda x: {_TEMPLATE.format("x")}) AS t FROM i WHERE len(v) >= 5),
+        dt AS (SELECT doc_id, v, list_transform(v, lambda x: {_TEMPLATE.format("x")}) AS t FROM d WHERE len(v) >= 5),
+        iw AS (SELECT item_id, CAST(len(t) AS INTEGER) AS n, unnest(range(1, len(t) - 3)) AS ip, v, t FROM it),
+        dw AS (SELECT doc_id, unnest(range(1, len(t) - 3)) AS dp, v, t FROM dt),
+        ih AS (SELECT item_id, n, ip, array_to_string(t[ip:ip + 4], ' ') AS w, v[ip:ip + 4] AS iv, t[ip:ip + 4] AS s FROM iw),
+        dh AS (SELECT doc_id, dp, array_to_string(t[dp:dp + 4], ' ') AS w, v[dp:dp + 4] AS dv FROM dw),
+        h AS (SELECT doc_id, item_id, n, ip, phase, CAST(floor((dp - ip + phase * 4) / 8.0) AS BIGINT) AS bucket, iv, dv, s
+              FROM dh JOIN ih USING (w), (VALUES (0), (1)) p(phase)),
+        tok AS (SELECT doc_id, item_id, n, phase, bucket, ip + k AS spot, iv[k + 1] AS a, dv[k + 1] AS b, s[k + 1] AS s FROM h, (VALUES (0), (1), (2), (3), (4)) o(k)),
+        c AS (SELECT doc_id, item_id, n, phase, bucket, CAST(count(DISTINCT spot) AS INTEGER) AS covered, bool_and(a = b) AS same FROM tok GROUP BY ALL HAVING count(DISTINCT spot) >= 0.7 * n),
+        v AS (SELECT doc_id, item_id, phase, bucket, max(k) AS most FROM (SELECT doc_id, item_id, phase, bucket, a, count(DISTINCT b) AS k FROM tok WHERE s <> a GROUP BY ALL) GROUP BY ALL)
+        SELECT doc_id, item_id, max(covered) AS covered, arg_max(n, (covered, same)) AS item_tokens, arg_max(same, (covered, same)) AS same_slots
+        FROM c LEFT JOIN v USING (doc_id, item_id, phase, bucket) WHERE COALESCE(most, 1) = 1 GROUP BY doc_id, item_id""",
     "op3_warc": """
         WITH p AS (SELECT page_id, COALESCE(html, '') AS body, sha1(COALESCE(html, '')) AS h FROM pages),
         g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keeper, row_number() OVER (PARTITION BY h ORDER BY page_id DESC NULLS LAST) AS k FROM p)
