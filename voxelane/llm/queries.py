@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, mtree, simhash, token_files, toxicity, warc
+from . import bpe, decontaminate, line_dedup, mtree, simhash, token_files, toxicity, warc
 from .workspace import Workspace
 
 
@@ -63,6 +63,10 @@ def op9_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"), "id % 100 = 0")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -105,4 +109,14 @@ SQL = {
               FROM e q JOIN e c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score FROM s)
         SELECT * FROM r WHERE "rank" <= 10""",
+    "op10_line_dedup": """
+        WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        l AS (SELECT doc_id, CAST(unnest(range(0, len(l))) AS INTEGER) AS line_no, unnest(l) AS line FROM s),
+        e AS (SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS k FROM l WHERE trim(line, ' ') <> ''),
+        d AS (SELECT line, min(k) AS k, length(line) AS n FROM e GROUP BY line),
+        p AS (SELECT b.line, a.k, levenshtein(a.line, b.line) AS edits FROM d a JOIN d b ON a.k < b.k AND a.n >= 24 AND b.n >= 24 AND b.n BETWEEN a.n - 2 AND a.n + 2),
+        r AS (SELECT line, min(k) AS near, arg_min(edits, k) AS edits FROM p WHERE edits <= 2 GROUP BY line),
+        f AS (SELECT e.doc_id, e.line_no, e.k <> d.k AS same, CASE WHEN e.k <> d.k THEN d.k ELSE near END AS first, CAST(CASE WHEN e.k <> d.k THEN 0 ELSE edits END AS INTEGER) AS edits
+              FROM e JOIN d USING (line) LEFT JOIN r USING (line) WHERE e.k <> d.k OR near IS NOT NULL)
+        SELECT f.doc_id, f.line_no, CASE WHEN same THEN 'exact' ELSE 'near' END AS kind, e.doc_id AS first_doc, e.line_no AS first_line, f.edits FROM f JOIN e ON e.k = f.first""",
 }

@@ -144,7 +144,7 @@ def links(fps: DataFrame, bits: int = 3, cell_rows: int = 4096) -> DataFrame:
     return cells.select("cell", "fp", "emb", "side").repartition(count, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", bits: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", bits: int = 3, shingle: int = 3) -> DataFrame:
     """(key, fp, component): one row per document; component is the smallest key reachable over links of at most bits.
 
     Documents without words have fingerprint 0 and link like any other. A null key keeps its row and joins its group, but
@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", bi
     """
     spark: SparkSession = docs.sparkSession
     work = Workspace(spark, "simhash")
-    every = work.write(fingerprints(docs, text, key), "fingerprints")
+    every = work.write(fingerprints(docs, text, key, shingle), "fingerprints")
     distinct = work.write(every.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
     labels = connected_components(links(distinct.select("fp"), bits), work)
     placed = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
@@ -161,13 +161,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", bi
     return every.join(named, "fp").select(F.col("key").alias(key), "fp", "component")
 
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", bits: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", bits: int = 3, shingle: int = 3) -> DataFrame:
     """docs without all but the smallest key of each near-duplicate group; columns as before.
 
     Of rows repeated under one key one stays. Rows with a null key can't be told apart and stay.
     """
     work = Workspace(docs.sparkSession, "simhash-keep")
-    found = work.write(near_duplicates(docs, text, key, bits), "found")
+    found = work.write(near_duplicates(docs, text, key, bits, shingle), "found")
     gone = work.write(found.where(F.col(key) != F.col("component")).select(F.col(key).alias("_gone")).distinct(), "gone")
     side = F.broadcast(gone) if small_enough(gone, 500_000) else gone
     kept = docs.join(side, docs[key] == side["_gone"], "left_anti")
