@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, mtree, simhash, suffix_dedup, token_files, toxicity, warc
+from . import bpe, decontaminate, line_dedup, mtree, pitman_yor, simhash, suffix_dedup, token_files, toxicity, warc
 from .workspace import Workspace
 
 
@@ -19,6 +19,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.scores(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Workspace(spark, 'warc').path}/archives"
     warc.write_captures(table(spark, sf_dir, "pages"), path)
