@@ -37,7 +37,28 @@ def probe_keys(line: Column, length: Column, edits: int) -> Column:
         for i in range(edits + 1):
             for offset in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
                 keys.append(_segment(line, length - less, edits + 1, i, offset))
-    return F.array_distinct(F.array(*keys))
+    return F.array(*keys)
+
+
+#: Letters that the bag of a line counts, five bits each.
+LETTERS = "etaoinsrhldu"
+
+
+def bag(line: Column) -> Column:
+    """Counts of the LETTERS of a line, modulo 32, in one long."""
+    size = F.octet_length(line)
+    parts = [F.shiftleft((size - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(31)), 5 * k) for k, c in enumerate(LETTERS)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.bitwiseOR(p)
+    return out
+
+
+def bags_apart(a: Column, b: Column) -> Column:
+    """A lower bound on how far letter counts differ in sum: an edit moves it by two at most."""
+    count = lambda x, k: F.shiftright(x, 5 * k).bitwiseAND(F.lit(31))
+    gap = [F.abs(count(a, k) - count(b, k)) for k in range(len(LETTERS))]
+    return sum((F.least(g, 32 - g) for g in gap), F.lit(0).cast("long"))
 
 
 def _common(a: Column, b: Column, side) -> Column:
@@ -96,12 +117,12 @@ def edit_distance(a: Column, b: Column, edits: int) -> Column:
 
 
 def near_lines(distinct: DataFrame, work: Workspace, edits: int = EDITS, least_chars: int = LEAST_CHARS, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(h1, h2, near_doc, near_line, edits): lines of a table of distinct lines (h1, h2, first, line) that lie within
+    """(h1, h2, near_doc, near_line, edits): lines of a table of distinct lines (h1, h2, first, line, bag) that lie within
     `edits` edits of a line that first occurs earlier; the earliest such line. Lines under least_chars take no part."""
-    long = distinct.where(F.length("line") >= least_chars).select("h1", "line", F.length("line").alias("n"))
-    index = long.select(F.col("h1").alias("a"), F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"))
-    probes = long.select(F.col("h1").alias("b"), F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key"))
-    pairs = index.join(probes, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    long = distinct.where(F.length("line") >= least_chars).select("h1", "line", "bag", F.length("line").alias("n"))
+    index = long.select(F.col("h1").alias("a"), F.col("bag").alias("bag_a"), F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"))
+    probes = long.select(F.col("h1").alias("b"), F.col("bag").alias("bag_b"), F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key"))
+    pairs = index.join(probes, "key").where((F.col("a") != F.col("b")) & (bags_apart(F.col("bag_a"), F.col("bag_b")) <= 2 * edits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = work.write(pairs, "pairs")
     wanted = work.write(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), "wanted")
     small = small_enough(wanted, broadcast_rows)
@@ -124,7 +145,7 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", edits: int
     work = Workspace(docs.sparkSession, "lines")
     every = lines_of(docs, text, key)
     place = F.struct("doc", "line_no")
-    distinct = work.write(every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("line").alias("line")), "distinct")
+    distinct = work.write(every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("line").alias("line")).withColumn("bag", bag(F.col("line"))), "distinct")
     near = work.write(near_lines(distinct, work, edits, least_chars), "near")
     again = distinct.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").where("n > 1 OR near IS NOT NULL")
     found = every.select("doc", "line_no", "h1", "h2").join(again, ["h1", "h2"]).where((place != F.col("first")) | F.col("near").isNotNull())
