@@ -41,7 +41,7 @@ def probe_keys(line: Column, length: Column, edits: int) -> Column:
 
 
 #: Letters that the bag of a line counts, five bits each.
-LETTERS = "etaoinsrhldu"
+LETTERS = "etaoin"
 
 
 def bag(line: Column) -> Column:
@@ -124,6 +124,7 @@ def near_lines(distinct: DataFrame, work: Workspace, edits: int = EDITS, least_c
     probes = long.select(F.col("h1").alias("b"), F.col("bag").alias("bag_b"), F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key"))
     pairs = index.join(probes, "key").where((F.col("a") != F.col("b")) & (bags_apart(F.col("bag_a"), F.col("bag_b")) <= 2 * edits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = work.write(pairs, "pairs")
+    work.release()
     wanted = work.write(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), "wanted")
     small = small_enough(wanted, broadcast_rows)
     texts = work.write(distinct.join(F.broadcast(wanted) if small else wanted, "h1", "left_semi").select("h1", "h2", "first", "line"), "texts")
@@ -146,6 +147,7 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", edits: int
     every = lines_of(docs, text, key)
     place = F.struct("doc", "line_no")
     distinct = work.write(every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("line").alias("line")).withColumn("bag", bag(F.col("line"))), "distinct")
+    work.release()
     near = work.write(near_lines(distinct, work, edits, least_chars), "near")
     again = distinct.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").where("n > 1 OR near IS NOT NULL")
     found = every.select("doc", "line_no", "h1", "h2").join(again, ["h1", "h2"]).where((place != F.col("first")) | F.col("near").isNotNull())
