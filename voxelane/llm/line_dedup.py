@@ -41,7 +41,7 @@ def probe_keys(line: Column, length: Column, edits: int) -> Column:
 
 
 #: Letters that the bag of a line counts, five bits each.
-LETTERS = "etaoin"
+LETTERS = "etaoinrs"
 
 
 def bag(line: Column) -> Column:

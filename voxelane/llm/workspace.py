@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,8 +46,10 @@ class Workspace:
 
     def release(self) -> None:
         """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any more."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the first finds the plans' proxies, the second what they held
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.4)
 
     def drop(self, name: str = "") -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
