@@ -45,11 +45,11 @@ LETTERS = "etaoinsrhldu"
 
 
 def bag(line: Column) -> Column:
-    """Counts of the LETTERS of a line, modulo 32, in one long."""
+    """Counts of the LETTERS of a line, modulo 32, and its length, modulo 8, in one long."""
     size = F.octet_length(line)
     parts = [F.shiftleft((size - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(31)), 5 * k) for k, c in enumerate(LETTERS)]
-    out = parts[0]
-    for p in parts[1:]:
+    out = F.shiftleft(F.length(line).cast("long").bitwiseAND(F.lit(7)), 60)
+    for p in parts:
         out = out.bitwiseOR(p)
     return out
 
@@ -119,10 +119,12 @@ def edit_distance(a: Column, b: Column, edits: int) -> Column:
 def near_lines(distinct: DataFrame, work: Workspace, edits: int = EDITS, least_chars: int = LEAST_CHARS, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(h1, h2, near_doc, near_line, edits): lines of a table of distinct lines (h1, h2, first, line, bag) that lie within
     `edits` edits of a line that first occurs earlier; the earliest such line. Lines under least_chars take no part."""
+    if not 0 <= edits <= 6:
+        raise ValueError("lengths are told apart modulo 8, which serves 0 to 6 edits")
     long = distinct.where(F.length("line") >= least_chars).select("h1", "line", "bag", F.length("line").alias("n"))
     index = long.select(F.col("h1").alias("a"), F.col("bag").alias("bag_a"), F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"))
     probes = long.select(F.col("h1").alias("b"), F.col("bag").alias("bag_b"), F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key"))
-    pairs = index.join(probes, "key").where((F.col("a") != F.col("b")) & (bags_apart(F.col("bag_a"), F.col("bag_b")) <= 2 * edits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = index.join(probes, "key").where((F.col("a") != F.col("b")) & (bags_apart(F.col("bag_a"), F.col("bag_b")) <= 2 * edits) & ((F.shiftright("bag_a", 60) != F.shiftright("bag_b", 60)) | (F.col("a") < F.col("b"))))  # lines of one length find each other both ways.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = work.write(pairs, "pairs")
     work.release()
     wanted = work.write(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), "wanted")
