@@ -124,7 +124,8 @@ def near_lines(distinct: DataFrame, work: Workspace, edits: int = EDITS, least_c
     long = distinct.where(F.length("line") >= least_chars).select("h1", "line", "bag", F.length("line").alias("n"))
     index = long.select(F.col("h1").alias("a"), F.col("bag").alias("bag_a"), F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"))
     probes = long.select(F.col("h1").alias("b"), F.col("bag").alias("bag_b"), F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key"))
-    pairs = index.join(probes, "key").where((F.col("a") != F.col("b")) & (bags_apart(F.col("bag_a"), F.col("bag_b")) <= 2 * edits) & ((F.shiftright("bag_a", 60) != F.shiftright("bag_b", 60)) | (F.col("a") < F.col("b"))))  # lines of one length find each other both ways.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    once = (F.shiftright("bag_a", 60) != F.shiftright("bag_b", 60)) | (F.col("a") < F.col("b"))  # lines of one length find each other both ways
+    pairs = index.join(probes, "key").where((F.col("a") != F.col("b")) & once & (bags_apart(F.col("bag_a"), F.col("bag_b")) <= 2 * edits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = work.write(pairs, "pairs")
     work.release()
     wanted = work.write(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), "wanted")
