@@ -10,16 +10,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
 
+#: Bytes of text taken at a time, on average.
+SLICE = 8 << 20
 #: Words remembered by a worker, and the longest word worth remembering.
-REMEMBERED, LONGEST = 600_000, 48
-#: Control characters that Python splits at, but Unicode doesn't count as white space.
-_ODD = re.compile("[\x1c-\x1f]")
+REMEMBERED, LONGEST = 900_000, 48
 # Fixed value: the pattern by which the word-level vocabulary splits normalised text, for words without white space.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+"
 _WORDS = re.compile("[^\t-\r \x85\xa0  -     　]+").findall
@@ -38,9 +39,11 @@ class WordEncoder:
         import json
 
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        self.plain = Tokenizer(self.library.model)  # for ASCII pieces, which the file's own steps before the model leave as they are
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         spec = json.loads(self.library.to_str())
         suffix = spec["model"].get("end_of_word_suffix")
         self.ends = np.zeros(max(self.library.get_vocab().values()) + 1, bool)
@@ -58,40 +61,55 @@ class WordEncoder:
     def _learn(self, new: set[str], special: bool) -> dict[str, bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        cut, out, pieces, simple, nfc = {}, {}, self.pieces, self.simple, unicodedata.is_normalized
+        one, many, out, pieces, simple, nfc = {}, {}, {}, self.pieces, self.simple, unicodedata.is_normalized
         for w in new:
             if special and any(x in w for x in self.special) or not (w.isascii() or simple(w) and nfc("NFC", w)):
                 out[w] = self._whole(w)
+            elif w.isalpha():
+                one[w] = w.lower()
             else:
-                cut[w] = (w.lower(),) if w.isalpha() else pieces(w.lower())
+                many[w] = pieces(w.lower())
         known = self.known
-        unknown = [*set().union(*cut.values()).difference(known)]
-        for at in range(0, len(unknown), 1024):
-            part = unknown[at : at + 1024]
-            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int32)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(part) and stops[-1] == len(ids):
-                data, stops = ids.tobytes(), (stops * 4).tolist()
-                known.update(zip(part, [data[a:b] for a, b in zip([0, *stops], stops)]))
-            else:
-                known.update((p, self._whole(p)) for p in part)
-        for w, x in cut.items():
-            out[w] = known[x[0]] if len(x) == 1 else b"".join([known[p] for p in x])
+        unknown = set(one.values()).union(*many.values()).difference(known)
+        plain = [p for p in unknown if p.isascii() and p.isprintable()]
+        for library, pieces_ in ((self.plain, plain), (self.library, [*unknown.difference(plain)])):
+            for at in range(0, len(pieces_), 1024):
+                part = pieces_[at : at + 1024]
+                ids = np.array(library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int32)
+                stops = np.flatnonzero(self.ends[ids]) + 1
+                if len(stops) == len(part) and stops[-1] == len(ids):
+                    data, stops = ids.tobytes(), (stops * 4).tolist()
+                    known.update(zip(part, [data[a:b] for a, b in zip([0, *stops], stops)]))
+                else:
+                    known.update((p, self._whole(p)) for p in part)
+        out.update(zip(one, map(known.__getitem__, one.values())))
+        for w, x in many.items():
+            out[w] = b"".join([known[p] for p in x])
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as int32 bytes."""
-        words = [_WORDS(x) if _ODD.search(x) else x.split() for x in texts]
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        known = self.words
-        found = self._learn(set().union(*words).difference(known), any(s in x for s in self.special for x in texts))
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has."""
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        odd = ((data >= 0x1C) & (data <= 0x1F)).any()  # Python and Arrow split there, Unicode doesn't
+        words = pa.array(map(_WORDS, texts.to_pylist()), pa.list_(pa.string())) if odd else pc.utf8_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        names, known = coded.dictionary.to_pylist(), self.words
+        if len(known) > REMEMBERED:
+            known.clear()
+        special = any(pc.any(pc.match_substring(texts, s)).as_py() for s in self.special)
+        found = self._learn(set(names).difference(known), special)
         known.update(found)
-        out = [b"".join(map(known.__getitem__, one)) for one in words]
+        each = list(map(known.__getitem__, names))
         for w in found:
             if len(w) > LONGEST:
                 del known[w]
-        return out
+        pool = np.frombuffer(b"".join(each), np.int32)
+        sizes = np.fromiter(map(len, each), np.int32, len(each)) // 4
+        of = coded.indices.to_numpy()
+        n = sizes[of]
+        stops = np.cumsum(n)
+        flat = pool[np.repeat((np.cumsum(sizes) - sizes)[of] - (stops - n), n) + np.arange(stops[-1] if len(stops) else 0)]
+        return flat, np.diff(np.r_[0, stops][words.offsets.to_numpy() - words.offsets[0].as_py()])
 
 
 @lru_cache(maxsize=2)
@@ -122,15 +140,17 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, at, part = encoder(vocabulary), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                some = batch.slice(first, 256)
-                ids = e.encode(some.column(1).to_pylist())
-                n = np.array([len(x) // 4 + 1 for x in ids], np.int64)
-                end = np.int32(end_id).tobytes()
-                flat = np.frombuffer(b"".join([x + end for x in ids]), np.int32)
-                stops = np.cumsum(n)
+            step = max(1, batch.num_rows * SLICE // max(SLICE, batch.column(1).nbytes))
+            for first in range(0, batch.num_rows, step):
+                some = batch.slice(first, step)
+                ids, n = e.encode(some.column(1))
+                stops = np.cumsum(n + 1)
+                flat = np.full(stops[-1], end_id, np.int32)
+                inner = np.ones(len(flat), bool)
+                inner[stops - 1] = False
+                flat[inner] = ids
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, stops].astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), some.column(0), pa.array(at + stops - n), pa.array(n), lists], names=["part", "key", "local_start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), some.column(0), pa.array(at + stops - n - 1), pa.array(n + 1), lists], names=["part", "key", "local_start", "n_tokens", "ids"])
                 at += int(stops[-1])
 
     out = ordered.mapInArrow(run, f"part int, key {kind}, local_start long, n_tokens long, ids array<int>").withColumnRenamed("key", key)
