@@ -20,7 +20,7 @@ from ..session import ship
 #: Bytes of text taken at a time, on average.
 SLICE = 8 << 20
 #: Words remembered by a worker, and the longest word worth remembering.
-REMEMBERED, LONGEST = 900_000, 48
+REMEMBERED, LONGEST = 500_000, 48
 # Fixed value: the pattern by which the word-level vocabulary splits normalised text, for words without white space.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+"
 _WORDS = re.compile("[^\t-\r \x85\xa0  -     　]+").findall
