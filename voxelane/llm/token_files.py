@@ -66,7 +66,8 @@ class WordEncoder:
             if special and any(x in w for x in self.special) or not (w.isascii() or simple(w) and nfc("NFC", w)):
                 out[w] = self._whole(w)
             elif w.isalpha():
-                one[w] = w.lower()
+                low = w.lower()
+                one[w] = w if low == w else low  # one string for both memories
             else:
                 many[w] = pieces(w.lower())
         known = self.known
