@@ -155,7 +155,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, t
                 at += int(stops[-1])
 
     out = ordered.mapInArrow(run, f"part int, key {kind}, local_start long, n_tokens long, ids array<int>").withColumnRenamed("key", key)
-    options = {"compression": "zstd", "parquet.block.size": str(row_group_bytes), "parquet.page.size": str(page_bytes), "parquet.page.row.count.limit": str(page_rows), "parquet.enable.dictionary": str(encoding == "dictionary").lower(), "parquet.dictionary.page.size": str(1 << 20)}
+    options = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.block.size": str(row_group_bytes), "parquet.page.size": str(page_bytes), "parquet.page.row.count.limit": str(page_rows), "parquet.enable.dictionary": str(encoding == "dictionary").lower(), "parquet.dictionary.page.size": str(1 << 20)}
     if encoding == "delta":
         options["parquet.writer.version"] = "PARQUET_2_0"
     out.write.options(**options).parquet(path)
