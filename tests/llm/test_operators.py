@@ -172,3 +172,44 @@ def test_toxicity(spark):
     got = {r.doc_id: r.score for r in toxicity.score(docs(spark, rows), machine).collect()}
     assert sum((got[i] >= 0.5) == (i % 4 == 0) for i in range(400)) > 390 and got[401] < 0.5
     assert toxicity.reject(docs(spark, rows), machine).columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
+
+
+def test_near_copies_of_the_pipeline_stage(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(1)
+    word = lambda: f"w{rng.integers(0, 10**6)}"
+    texts = []
+    for family in range(12):
+        base = [word() for _ in range(int(rng.integers(30, 300)))]
+        for changes in range(6):  # each change of one word costs five shingles
+            own = list(base)
+            for at in rng.choice(len(own), min(changes * len(own) // 90, len(own)), replace=False):
+                own[at] = word()
+            texts.append(" ".join(own))
+    texts += ["same few", "same few", "", None, "Same FEW"]
+    common = " ".join(word() for _ in range(30))
+    texts += [common + " " + " ".join(word() for _ in range(10)) for _ in range(20)]
+    rows = list(enumerate(texts))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = [shingles(t) for t in texts]
+    label, shares = list(range(len(rows))), []
+    for i in range(len(rows)):
+        for j in range(i):
+            u = len(sets[i] | sets[j])
+            if not u or 5 * len(sets[i] & sets[j]) >= 4 * u:
+                shares.append(len(sets[i] & sets[j]) / max(u, 1))
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    assert any(0.8 <= s < 0.85 for s in shares) and any(0.85 <= s < 0.97 for s in shares)
+    kept = {r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, docs(spark, rows), "").collect()}
+    assert kept == set(label)
+    for heavy_rows in (5, 1000):
+        got = {r.doc_id: r.component for r in simhash.near_copies(docs(spark, rows), heavy_rows=heavy_rows).collect()}
+        assert got == dict(enumerate(label))

@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: fingerprints, a grid over segment popcounts, exact links, components."""
+"""SimHash near-duplicates: fingerprints, a grid over segment popcounts, exact links, components; near copies by shingle similarity."""
 
 from __future__ import annotations
 
@@ -23,22 +23,38 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """The unsigned SimHash of one text; 0 without words."""
+def _shingles(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """Hashes of all runs of so many words, in order, with repeats; of the whole text if it has fewer words."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else iter([b" ".join(words)])
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, n).view(np.uint8).reshape(n, 8)
+    n = max(1, len(words) - shingle + 1) if words else 0
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else iter([b" ".join(words)] * n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, n)
+
+
+def _simhash(shingles: np.ndarray) -> int:
+    n = len(shingles)
+    hashes = shingles.view(np.uint8).reshape(n, 8)
     ones = np.zeros(64, np.int64)
     for i in range(0, n, 1 << 14):
         ones += np.unpackbits(hashes[i : i + (1 << 14)], axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same shingles (the finalizer of SplitMix64)."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """The unsigned SimHash of one text; 0 without words."""
+    return _simhash(_shingles(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3) -> DataFrame:
     """(key, fp): one row per document; fp is the SimHash as a signed long. Null and empty texts have 0."""
     ship(docs.sparkSession)
@@ -161,13 +177,169 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", bi
     return every.join(named, "fp").select(F.col("key").alias(key), "fp", "component")
 
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", bits: int = 3, shingle: int = 3) -> DataFrame:
-    """docs without all but the smallest key of each near-duplicate group; columns as before.
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(end of each row's run, columns): whole runs of equal first column of sorted batches; runs of one row are left out."""
+    held: list[list[np.ndarray]] = []
+
+    def solve(parts):
+        cols = [np.concatenate(x) for x in zip(*parts)]
+        new = np.r_[True, cols[0][1:] != cols[0][:-1], True]
+        cols = [c[~(new[:-1] & new[1:])] for c in cols]
+        n = len(cols[0])
+        if n:
+            starts = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
+            yield np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n])), cols
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last run may go on in the next batch
+        if cut:
+            yield from solve([*held, [c[:cut] for c in cols]])
+            held = []
+        elif held and held[0][0][0] != cols[0][0]:
+            yield from solve(held)
+            held = []
+        held.append([c[cut:] for c in cols])
+    if held:
+        yield from solve(held)
+
+
+def _sets(docs: DataFrame, shingle: int, percent: int, what: str, heavy: np.ndarray | None = None) -> DataFrame:
+    """Per row of (key, text), by its set of shingles: what 'sketch' gives (key, sig, n, fp, fp2, prefix), 'prefix' (sig, prefix) of rows
+    whose prefix would hold a heavy shingle, 'set' (sig, shingles). sig is a hash of the set, n its size. Shingles are ordered by hash,
+    heavy ones last; two sets at the similarity share one of the first n - ceil(percent n / 100) + 1."""
+    ship(docs.sparkSession)
+    kind = docs.schema["key"].dataType.simpleString()
+    schema = {"sketch": f"key {kind}, sig long, n int, fp long, fp2 long, prefix array<long>", "prefix": "sig long, prefix array<long>", "set": "sig long, shingles array<long>"}[what]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            sigs, sizes, fps, others, lists = [], [], [], [], []
+            for text in batch.column(1):
+                every = _shingles(text.as_py(), shingle)
+                own = np.unique(every)
+                n = len(own)
+                first = n - -(-percent * n // 100) + 1 if n else 0
+                if what == "prefix":
+                    late = np.isin(own, heavy)
+                    if not late[:first].any():
+                        continue
+                sigs.append(_signed(xxhash.xxh3_64_intdigest(own.tobytes())))
+                sizes.append(n)
+                if what == "sketch":
+                    fps.append(_signed(_simhash(every)))
+                    others.append(_signed(_simhash(_mixed(every))))
+                lists.append((np.r_[own[~late], own[late]][:first] if what == "prefix" else own[:first] if what == "sketch" else own).view(np.int64))
+            ends = np.cumsum([0, *map(len, lists)])
+            nested = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *lists])))
+            cols = {"sig": pa.array(sigs, pa.int64()), ("shingles" if what == "set" else "prefix"): nested}
+            if what == "sketch":
+                cols = {"key": batch.column(0), "sig": cols["sig"], "n": pa.array(sizes, pa.int32()), "fp": pa.array(fps, pa.int64()), "fp2": pa.array(others, pa.int64()), "prefix": nested}
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    return docs.mapInArrow(run, schema)
+
+
+#: Sets of at least FILTERED shingles whose two fingerprints differ in more than FAR of 128 bits are not compared: at similarity
+#: 0.8 a bit differs with probability arccos(0.8 * 2 / 1.8) / pi = 0.152, and more than 42 of 128 do with 2e-07 by the binomial
+#: estimate; of unrelated sets, 6e-05 come as near.
+FAR, FILTERED = 42, 64
+
+
+def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, percent: int = 80, heavy_rows: int = 1000) -> DataFrame:
+    """(key, component): one row per document; component is the smallest key reachable over pairs whose sets of shingles have a
+    Jaccard similarity of percent / 100 or more.
+
+    Candidates share a shingle of their prefixes, which every such pair does; each is verified over the whole sets. A shingle in
+    the prefixes of more than heavy_rows sets comes last in the order, so that common passages give no candidates. First the members
+    of each run meet its smallest and their neighbour in size, then pairs that are still apart; fingerprints must be within FAR bits.
+    Documents without words are copies of each other. Null and repeated keys as in near_duplicates.
+    """
+    spark: SparkSession = docs.sparkSession
+    work, count = Workspace(spark, "near-copies"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    sketch = work.write(_sets(docs, shingle, percent, "sketch"), "sketch")
+    distinct = work.write(sketch.groupBy("sig").agg(F.min("key").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("prefix").alias("prefix")), "distinct")
+    named = work.write(sketch.select("key", "sig"), "named")
+    work.drop("sketch")
+    work.release()
+
+    def near(n: np.ndarray, fps: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (n[i] < FILTERED) | (sum(np.bitwise_count((x[i] ^ x[j]).view(np.uint64)) for x in fps) <= FAR)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, cols in _runs(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "n", "sig", "fp", "fp2"])
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (h, n, sig, *fps) in _runs(batches):
+            here, n = np.arange(len(h)), n.astype(np.int64)
+            first = np.searchsorted(h, h)
+            for at in (first, np.maximum(here - 1, first)):
+                ok = (at != here) & (100 * n[at] >= percent * n) & near(n, fps, at, here)
+                yield pa.RecordBatch.from_arrays([pa.array(sig[at[ok]]), pa.array(sig[ok])], names=["a", "b"])
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ends, (h, n, sig, group, *fps) in _runs(batches):
+            n, i, k = n.astype(np.int64), np.arange(len(h)), 1
+            while len(i := i[i + k < ends[i]]) and len(i := i[100 * n[i] >= percent * n[i + k]]):
+                j = i + k
+                ok = (group[i] != group[j]) & near(n, fps, i, j)
+                if ok.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(sig[i[ok]]), pa.array(sig[j[ok]])], names=["a", "b"])
+                k += 1
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(count, "h").sortWithinPartitions("h", "n", "sig")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = work.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-pairs")
+        ends = work.write(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), f"{name}-ends")
+        own = distinct.join(ends, "sig", "left_semi").select(F.col("least").alias("key")).where("key IS NOT NULL")
+        get = lambda rows: _sets(rows, shingle, percent, "set").join(ends, "sig", "left_semi")
+        sets = work.write(get(docs.join(own, "key", "left_semi")).union(get(docs.where("key IS NULL")).dropDuplicates(["sig"])), f"{name}-sets")
+        side = lambda end, to: sets.select(F.col("sig").alias(end), F.col("shingles").alias(to))
+        both = F.size(F.array_intersect("s", "t"))
+        links_ = pairs.join(side("a", "s"), "a").join(side("b", "t"), "b").select("a", "b", both.alias("both"), (F.size("s") + F.size("t")).alias("sum"))
+        found = work.write(links_.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b"), f"{name}-links")
+        for gone in ("pairs", "ends", "sets"):
+            work.drop(f"{name}-{gone}")
+        work.release()
+        return found
+
+    def meeting(prefixes: DataFrame, name: str) -> DataFrame:
+        out = work.write(dealt(prefixes.select(F.explode("prefix").alias("h"), "n", "sig", "fp", "fp2")).mapInArrow(shared, "h long, n int, sig long, fp long, fp2 long"), name)
+        work.release()
+        return out
+
+    met = meeting(distinct, "met")
+    heavy = [r.h for r in met.groupBy("h").count().where(F.col("count") > heavy_rows).select("h").collect()]  # at most a heavy_rows-th of all
+    if heavy:
+        other = work.write(_sets(docs, shingle, percent, "prefix", np.array(heavy, np.int64).view(np.uint64)).dropDuplicates(["sig"]), "other")
+        met = meeting(distinct.join(other.withColumnRenamed("prefix", "late"), "sig", "left").select("sig", "n", "fp", "fp2", F.coalesce("late", "prefix").alias("prefix")), "met-late")
+    found = verified(dealt(met).mapInArrow(star, "a long, b long"), "star")
+    groups = connected_components(found, Workspace(spark, "near-copies-star"))
+    labelled = met.join(groups, met.sig == groups.node, "left").select("h", "n", "sig", F.coalesce("component", "sig").alias("group"), "fp", "fp2")
+    found = found.union(verified(dealt(labelled).mapInArrow(apart, "a long, b long"), "apart"))
+    labels = connected_components(found, Workspace(spark, "near-copies-all"))
+    placed = distinct.join(labels, distinct.sig == labels.node, "left").select("sig", "least", F.coalesce("component", "sig").alias("group"))
+    linked = placed.groupBy("group").agg(F.min("least").alias("component"))
+    return named.join(placed.join(linked, "group").select("sig", "component"), "sig").select(F.col("key").alias(key), "component")
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", bits: int = 3, shingle: int = 3, percent: int | None = None) -> DataFrame:
+    """docs without all but the smallest key of each near-duplicate group; columns as before. With percent, groups are those of
+    near_copies, in place of fingerprints within bits.
 
     Of rows repeated under one key one stays. Rows with a null key can't be told apart and stay.
     """
     work = Workspace(docs.sparkSession, "simhash-keep")
-    found = work.write(near_duplicates(docs, text, key, bits, shingle), "found")
+    groups = near_duplicates(docs, text, key, bits, shingle) if percent is None else near_copies(docs, text, key, shingle, percent)
+    found = work.write(groups, "found")
     gone = work.write(found.where(F.col(key) != F.col("component")).select(F.col(key).alias("_gone")).distinct(), "gone")
     side = F.broadcast(gone) if small_enough(gone, 500_000) else gone
     kept = docs.join(side, docs[key] == side["_gone"], "left_anti")
