@@ -213,3 +213,42 @@ def test_near_copies_of_the_pipeline_stage(spark):
     for heavy_rows in (5, 1000):
         got = {r.doc_id: r.component for r in simhash.near_copies(docs(spark, rows), heavy_rows=heavy_rows).collect()}
         assert got == dict(enumerate(label))
+
+
+def test_decontamination_of_repeating_templates(spark):
+    items = {
+        1: "2, 4, 6, 8, 10, 12, 14, 16",
+        2: "5 km 6 km 7 km 8 km 9 km",
+        3: "seen by Ada Bob Cleo Dan Eve Finn Gus",
+        4: "give 3 kg 4 kg 3 kg 4 kg 3 kg 5 kg 3 kg",
+    }
+    texts = {
+        11: "aa " + items[1] + " bb",
+        12: "they ran " + items[2] + " in all",
+        13: "they were " + items[3] + " at noon",
+        14: "then " + items[4] + " away",
+        21: "aa 3, 5, 7, 9, 11, 13, 15, 17 bb",
+        24: "then give 8 kg 9 kg 8 kg 9 kg 8 kg 7 kg 8 kg away",
+        31: "then " + items[4].replace("4 kg 3 kg 5", "4 kg or 3 kg 5") + " away",
+        41: "then give 8 kg 9 kg 7 kg 6 kg 5 kg 4 kg 1 kg away",
+    }
+    frame = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.covered == r.item_tokens, r.same_slots) for r in decontaminate.leaks(docs(spark, list(texts.items())), frame).collect()}
+    for doc, item, same in ((11, 1, True), (12, 2, True), (13, 3, True), (14, 4, True), (21, 1, False), (24, 4, False)):
+        assert got[doc, item] == (True, same)
+    assert got[31, 4][1] and (41, 4) not in got
+    assert not {d for d, _ in got} - set(texts) and 41 in {r.doc_id for r in decontaminate.drop_leaks(docs(spark, list(texts.items())), frame.where("item_id = 4")).collect()}
+
+
+def test_alignment_is_monotone(spark):
+    from pyspark.sql import functions as F
+
+    def grid(*hits):
+        return [(i, [1001 if (i, s) in hits else 0 for s in range(8)]) for i in range(6)]
+
+    cases = [grid((0, 0), (1, 0), (2, 3), (3, 3), (4, 1), (5, 1)), grid((0, 3), (1, 3), (3, 2), (4, 2)), grid((0, 3), (1, 2), (2, 1), (5, 0)), grid((0, 7), (1, 7), (2, 7)), grid()]
+    frame = spark.createDataFrame([(k, g) for k, g in enumerate(cases)], "k int, g array<struct<spot:int,weights:array<int>>>")
+    got = {r.k: [(c // 8, c % 8) for c in r.p] for r in frame.select("k", decontaminate._path(F.col("g")).alias("p")).collect()}
+    assert len(got[0]) == 4 and got[1] == [(0, 3), (1, 3), (3, 2), (4, 2)] and len(got[2]) == 2 and got[3] == [(0, 7), (1, 7), (2, 7)] and got[4] == []
+    for path in got.values():
+        assert all(a[0] < b[0] and sum(a) < sum(b) for a, b in zip(path, path[1:]))

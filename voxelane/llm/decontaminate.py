@@ -42,12 +42,62 @@ def _windows(hashes: Column, window: int) -> Column:
     return F.when(F.size(hashes) >= window, pick).otherwise(F.array().cast("array<bigint>"))
 
 
+def _path(grid: Column) -> Column:
+    """Codes (position * BUCKET + shift) of the heaviest alignment in a grid (position, shift) of weights, 0 where nothing meets.
+
+    Every position takes one shift at most, and places in the document grow with positions. State s of a step: the next free place
+    is at shift s. A change of shift costs 1, so large weights make fewest changes among the longest.
+    """
+    start = F.array_repeat(F.struct(F.lit(0).cast("bigint").alias("score"), F.array().cast("array<int>").alias("path")), BUCKET)
+
+    def step(acc: Column, at: Column) -> Column:
+        def state(s: Column) -> Column:
+            skip = F.when(s == 0, F.greatest(F.get(acc, F.lit(0)), F.get(acc, F.lit(1)))).when(s < BUCKET - 1, F.get(acc, s + 1)).otherwise(F.get(acc, F.lit(0)))
+            weight = F.get(at["weights"], s)
+            turn = lambda a: F.when((F.size(a["path"]) > 0) & (F.try_element_at(a["path"], F.lit(-1)) % BUCKET != s), 1).otherwise(0)
+            met = lambda a: F.struct((a["score"] + weight - turn(a)).alias("score"), F.concat(a["path"], F.array(at["spot"] * BUCKET + s)).alias("path"))
+            return F.when(weight > 0, F.greatest(skip, F.array_max(F.transform(F.slice(acc, F.lit(1), s + 1), met)))).otherwise(skip)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(BUCKET - 1)), state)
+
+    return F.aggregate(grid, start, step, lambda acc: F.array_max(acc)["path"])
+
+
+def _one_place(each: DataFrame, coverage: float) -> DataFrame:
+    """(doc, item, copy, covered, n, same): single alignments of enough tokens in which each slot value stands for one value.
+
+    Tried are each shift alone and the longest alignments, of those the one with most tokens equal to the item's own and the one
+    with fewest changes of shift. None leaves out a token that meets, so one slot with another value still rejects it.
+    """
+    place = ["doc", "item", "copy", "n", "row", "phase", "bucket"]
+    each = each.withColumn("s", (F.col("shift") - F.col("bucket") * BUCKET + F.col("phase") * (BUCKET // 2)).cast("int"))
+    alone = each.select(*place, F.concat(F.lit("shift "), F.col("s").cast("string")).alias("way"), "spot", "iv", "dv")
+    points = each.groupBy(*place).agg(F.map_from_entries(F.collect_set(F.struct((F.col("spot") * BUCKET + F.col("s")).alias("code"), F.struct("iv", "dv").alias("v")))).alias("points"))
+    points = points.withColumn("way", F.explode(F.array(F.lit("own"), F.lit("all"))))
+
+    def weights(i: Column) -> Column:
+        def one(s: Column) -> Column:
+            v = F.try_element_at(F.col("points"), i * BUCKET + s)
+            return F.when(v.isNull(), 0).when((v["iv"] == v["dv"]) & (F.col("way") == "own"), 1_001_000).otherwise(1_000_000)
+
+        return F.struct(i.alias("spot"), F.transform(F.sequence(F.lit(0), F.lit(BUCKET - 1)), one).alias("weights"))
+
+    paths = points.withColumn("code", F.explode(_path(F.transform(F.sequence(F.lit(0), F.col("n") - 1), weights))))
+    v = F.try_element_at(F.col("points"), F.col("code"))
+    chosen = paths.select(*place, "way", F.floor(F.col("code") / BUCKET).cast("int").alias("spot"), v["iv"].alias("iv"), v["dv"].alias("dv"))
+    way = [*place, "way"]
+    values = alone.union(chosen).groupBy(*way, "iv").agg(F.count_distinct("dv").alias("values"), F.min("dv").alias("dv"), F.count_distinct("spot").alias("spots"))
+    ways = values.groupBy(*way).agg(F.max(F.when(template(F.col("iv")) != F.col("iv"), F.col("values")).otherwise(1)).alias("most"), F.sum("spots").cast("int").alias("covered"), F.min(F.col("iv") == F.col("dv")).alias("same"))
+    return ways.where((F.col("most") == 1) & (F.col("covered") >= F.lit(coverage) * F.col("n"))).select("doc", "item", "copy", "covered", "n", "same")
+
+
 def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", window: int = WINDOW, coverage: float = COVERAGE, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(key, item_key, covered, item_tokens, same_slots): documents that hold a benchmark item, perhaps with other numbers, names and units.
 
     A document holds an item where windows of its templates, at nearly one offset (within a bucket of BUCKET, tried at two
     phases), cover at least the given share of the item's tokens, and each slot value of the item stands for one value
-    throughout; the best place counts. same_slots says whether all values are the item's own. Items of fewer tokens than a
+    throughout, over all hits of the bucket or along one alignment in it (repeating templates also hit at neighbouring
+    offsets); the best place counts. same_slots says whether all values are the item's own. Items of fewer tokens than a
     window never match; nor do null texts. Null keys of documents or items are left out; a key that repeats counts as one
     with all its texts. The window table of the items is broadcast up to broadcast_rows rows and shuffled beyond.
     """
@@ -68,15 +118,23 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc
     plain = held.join(slotted.select("item", "copy"), ["item", "copy"], "left_anti").select("doc", "item", "copy", "covered", "n", F.lit(True).alias("same"))
     check = held.join(slotted, ["item", "copy"])
     if check.limit(1).count():
-        wanted = check.select(F.col("doc").alias(key)).distinct()
-        texts = docs.join(F.broadcast(wanted) if small_enough(wanted, broadcast_rows) else wanted, key, "left_semi").select(F.col(key).alias("doc"), tokens(F.col(text)).alias("dtokens"))
-        each = check.join(texts, "doc").withColumn("pair", F.explode("pairs")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(window - 1))))
-        spot = F.col("pair.ipos") + F.col("k")
-        each = each.select("doc", "item", "copy", "covered", "n", "phase", "bucket", F.get("itokens", spot).alias("iv"), F.get("dtokens", spot + F.col("pair.shift")).alias("dv"))
         group = ["doc", "item", "copy", "covered", "n", "phase", "bucket"]
-        values = each.where(template(F.col("iv")) == template(F.col("dv"))).groupBy(*group, "iv").agg(F.count_distinct("dv").alias("values"), F.min("dv").alias("dv"))
+
+        def spots(check: DataFrame) -> DataFrame:
+            wanted = check.select(F.col("doc").alias(key)).distinct()
+            texts = docs.join(F.broadcast(wanted) if small_enough(wanted, broadcast_rows) else wanted, key, "left_semi").select(F.col(key).alias("doc"), F.monotonically_increasing_id().alias("row"), tokens(F.col(text)).alias("dtokens"))
+            each = check.join(texts, "doc").withColumn("pair", F.explode("pairs")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(window - 1))))
+            spot = F.col("pair.ipos") + F.col("k")
+            each = each.select(*group, "row", spot.alias("spot"), F.col("pair.shift").alias("shift"), F.get("itokens", spot).alias("iv"), F.get("dtokens", spot + F.col("pair.shift")).alias("dv"))
+            return each.where(template(F.col("iv")) == template(F.col("dv")))
+
+        values = spots(check).groupBy(*group, "iv").agg(F.count_distinct("dv").alias("values"), F.min("dv").alias("dv"))
         slots = values.groupBy(*group).agg(F.max(F.when(template(F.col("iv")) != F.col("iv"), F.col("values")).otherwise(1)).alias("most"), F.min(F.col("iv") == F.col("dv")).alias("same"))
+        slots = work.write(slots, "slots")
         plain = plain.union(slots.where("most = 1").select("doc", "item", "copy", "covered", "n", "same"))
+        mixed = slots.where("most > 1").select("doc", "item", "copy", "phase", "bucket")
+        if mixed.limit(1).count():
+            plain = plain.union(_one_place(spots(check.join(mixed, ["doc", "item", "copy", "phase", "bucket"], "left_semi")), coverage))
     best = plain.groupBy("doc", "item").agg(F.max(F.struct("covered", "same", "n")).alias("b"))
     return best.select(F.col("doc").alias(key), F.col("item").alias(item_key), F.col("b.covered").alias("covered"), F.col("b.n").alias("item_tokens"), F.col("b.same").alias("same_slots"))
 
