@@ -252,3 +252,17 @@ def test_alignment_is_monotone(spark):
     assert len(got[0]) == 4 and got[1] == [(0, 3), (1, 3), (3, 2), (4, 2)] and len(got[2]) == 2 and got[3] == [(0, 7), (1, 7), (2, 7)] and got[4] == []
     for path in got.values():
         assert all(a[0] < b[0] and sum(a) < sum(b) for a, b in zip(path, path[1:]))
+
+
+def test_warc_of_repeated_keys(spark, tmp_path):
+    rows = [(1, "u", "one"), (1, "u", "two"), (1, "v", "two"), (None, "u", "one"), (None, "u", "three"), (None, "w", "three"), (2, "u", "a"), (2, "u", "a"), (3, "u", "four")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for least in (0, 4):
+        path = f"file://{tmp_path}/{least}"
+        warc.write_captures(pages, path, min_revisit_bytes=least)
+        got = warc.transactions(warc.read_records(spark, path)).collect()
+        assert all(r.main is not None and r.request is not None and len(r.metadata) == 1 for r in got)
+        assert sorted((r.capture.split(":")[2], r.main.payload_bytes) for r in got) == sorted((str(i or "null"), len(h)) for i, _, h in rows)
+        responses = {r.capture: r.main.payload_digest for r in got if r.main.record_type == "response"}
+        revisits = [r.main for r in got if r.main.record_type == "revisit"]
+        assert all(responses[m.refers_to] == m.payload_digest for m in revisits) and len(revisits) == (1 if least else 4)

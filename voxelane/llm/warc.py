@@ -45,21 +45,19 @@ def write_captures(pages: DataFrame, path: str, key: str = "page_id", url: str =
 
     Among payloads of at least min_revisit_bytes bytes that are equal, the row of the largest key is a response and the
     others are revisits of it, without a payload; a row that repeats key and payload counts as a revisit too. A null key
-    is the smallest. A null payload is empty. Control characters and spaces of a URL are written as %20; a null URL as
+    is the smallest. A null payload is empty. Record ids hold the key and, where any key repeats, the number among rows of
+    equal key and payload and the payload's digest, so that every row keeps records of its own. Control characters and spaces of a URL are written as %20; a null URL as
     urn:x-none. Files are gzip members of whole records; the writer's commit makes each appear once. Only groups of
     equal payloads are joined back, by broadcast up to broadcast_rows groups.
     """
     rows = pages.select(F.col(key).cast("long").alias("id"), F.coalesce(F.regexp_replace(F.col(url).cast("string"), r"[\x00-\x20\x7f]", "%20"), F.lit("urn:x-none")).alias("uri"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("body"))
     rows = rows.withColumn("digest", base32_sha1(F.col("body")))
-    counted = rows.where(F.octet_length("body") >= min_revisit_bytes).groupBy("digest", "id").agg(F.count("*").alias("n"))
-    groups = counted.groupBy("digest").agg(F.max("id").alias("keeper"), F.sum("n").alias("rows"), F.max("n").alias("most")).where("rows > 1")
-    if groups.where("most > 1").limit(1).count():
-        rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("id", "digest").orderBy("uri")))
-    else:
-        rows = rows.withColumn("copy", F.lit(1))
+    groups = rows.where(F.octet_length("body") >= min_revisit_bytes).groupBy("digest").agg(F.max("id").alias("keeper"), F.count("*").alias("rows")).where("rows > 1")
+    repeated = rows.groupBy("id").count().where("count > 1").limit(1).count() > 0
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("id", "digest").orderBy("uri")) if repeated else F.lit(1))
     keepers = groups.select("digest", "keeper", F.lit(True).alias("shared"))
     rows = rows.join(F.broadcast(keepers) if small_enough(keepers, broadcast_rows) else keepers, "digest", "left")
-    name = lambda i, copy, kind: F.concat(F.lit("<urn:x-capture:"), F.coalesce(i.cast("string"), F.lit("null")), F.lit(":"), copy.cast("string"), F.lit(f":{kind}>"))
+    name = lambda i, copy, kind: F.concat(F.lit("<urn:x-capture:"), F.coalesce(i.cast("string"), F.lit("null")), F.lit(":"), copy.cast("string"), F.concat(F.lit(":"), F.col("digest")) if repeated else F.lit(""), F.lit(f":{kind}>"))
     revisit = F.col("shared").isNotNull() & ~(F.col("id").eqNullSafe(F.col("keeper")) & (F.col("copy") == 1))
     own, http = name(F.col("id"), F.col("copy"), "response"), F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length("body").cast("string"), F.lit(CRLF + CRLF))
     common = {"WARC_Date": date, "WARC_Target_URI": F.col("uri")}
