@@ -27,3 +27,12 @@ def test_against_duckdb(spark, name):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_entry(spark):
     assert registry.flagship(spark, SF).count() == 64
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_every_frame_is_registered(spark):
+    from voxelane.plans.fixtures import Views
+
+    want = {r.t for r in Views(spark, SF).movie.select("t").distinct().collect()}
+    got = [r.t for r in QUERIES["register_rigid"](spark, SF).select("t").collect()]
+    assert len(got) == len(want) and set(got) == want
