@@ -36,3 +36,25 @@ def test_every_frame_is_registered(spark):
     want = {r.t for r in Views(spark, SF).movie.select("t").distinct().collect()}
     got = [r.t for r in QUERIES["register_rigid"](spark, SF).select("t").collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_noise_of_whole_traces_against_duckdb(spark):
+    test_against_duckdb(spark, "noise_fft_whole")
+    test_against_duckdb(spark, "noise_fft")  # its SQL fixes 40 samples
+
+
+def test_noise_reads_whole_and_short_traces(spark):
+    import numpy as np
+
+    from voxelane.functions.signal import noise_fft
+    from voxelane.operators import traces as T
+
+    rng = np.random.default_rng(0)
+    ys = {n: np.r_[rng.normal(size=n // 2), rng.normal(size=n - n // 2) * 5] for n in (1, 2, 3, 20, 41, 100)}
+    df = spark.createDataFrame([(n, t, float(x)) for n, y in ys.items() for t, x in enumerate(y)], "pix long, t long, v double")
+    got = {r.pix: r.noise for r in T.noise_fft(df).collect()}
+    assert got.pop(1) is None and set(got) == set(ys) - {1}
+    assert all(np.isclose(got[n], noise_fft(ys[n], method="mean")[0]) for n in got)
+    most = {r.pix: r.noise for r in T.noise_fft(df, most=30).collect()}
+    assert all(np.isclose(most[n], noise_fft(ys[n], method="mean", most=30)[0]) for n in got)

@@ -324,6 +324,11 @@ def noise_fft(v):
     return T.noise_fft(v.trace, 40)
 
 
+@query("trace", f"SELECT pix, sqrt(avg(p / n)) AS noise FROM (SELECT pix, n, k, pow(sum(v * cos(2 * {math.pi!r}::DOUBLE * k * i / n)), 2) + pow(sum(v * sin(2 * {math.pi!r}::DOUBLE * k * i / n)), 2) AS p FROM (SELECT *, count(*) OVER (PARTITION BY pix) AS n, row_number() OVER (PARTITION BY pix ORDER BY t) - 1 AS i FROM trace) w, LATERAL (SELECT unnest(range(w.n // 4 + 1, w.n // 2 + 1)) AS k) b GROUP BY pix, n, k) GROUP BY pix", "noise", "pix")
+def noise_fft_whole(v):
+    return T.noise_fft(v.trace)
+
+
 @query("movie", "SELECT a.x, a.y, covar_samp(a.v, b.v) AS v FROM movie a JOIN movie b ON a.t = b.t AND a.y = b.y AND b.x = a.x + 1 GROUP BY ALL", "v", "x y")
 def covariance(v):
     return T.covariance(v.movie)
