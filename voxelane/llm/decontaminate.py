@@ -91,7 +91,7 @@ def _one_place(each: DataFrame, coverage: float) -> DataFrame:
     return ways.where((F.col("most") == 1) & (F.col("covered") >= F.lit(coverage) * F.col("n"))).select("doc", "item", "copy", "covered", "n", "same")
 
 
-def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", window: int = WINDOW, coverage: float = COVERAGE, broadcast_rows: int = 1_000_000) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """(key, item_key, covered, item_tokens, same_slots): documents that hold a benchmark item, perhaps with other numbers, names and units.
 
     A document holds an item where windows of its templates, at nearly one offset (within a bucket of BUCKET, tried at two
@@ -99,7 +99,7 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc
     throughout, over all hits of the bucket or along one alignment in it (repeating templates also hit at neighbouring
     offsets); the best place counts. same_slots says whether all values are the item's own. Items of fewer tokens than a
     window never match; nor do null texts. Null keys of documents or items are left out; a key that repeats counts as one
-    with all its texts. The window table of the items is broadcast up to broadcast_rows rows and shuffled beyond.
+    with all its texts. The window table of the items is broadcast up to BROADCAST_MB and shuffled beyond.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "leaks")
@@ -107,7 +107,7 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc
     bench = work.write(bench.where(F.size("itokens") >= window), "items")
     targets = bench.select("item", "copy", F.size("itokens").alias("n"), _hashes(F.col("itokens")).alias("hashes")).select("item", "copy", "n", F.posexplode(_windows(F.col("hashes"), window)).alias("ipos", "h"))
     targets = work.write(targets, "windows")
-    side = F.broadcast(targets) if small_enough(targets, broadcast_rows) else targets
+    side = F.broadcast(targets) if small_enough(targets) else targets
     probes = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), _hashes(tokens(F.col(text))).alias("hashes")).select("doc", F.posexplode(_windows(F.col("hashes"), window)).alias("dpos", "h"))
     hits = probes.join(side, "h").select("doc", "item", "copy", "n", "ipos", (F.col("dpos") - F.col("ipos")).alias("shift"))
     place = hits.withColumn("phase", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("bucket", F.floor((F.col("shift") + F.col("phase") * (BUCKET // 2)) / BUCKET))
@@ -122,7 +122,7 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc
 
         def spots(check: DataFrame) -> DataFrame:
             wanted = check.select(F.col("doc").alias(key)).distinct()
-            texts = docs.join(F.broadcast(wanted) if small_enough(wanted, broadcast_rows) else wanted, key, "left_semi").select(F.col(key).alias("doc"), F.monotonically_increasing_id().alias("row"), tokens(F.col(text)).alias("dtokens"))
+            texts = docs.join(F.broadcast(wanted) if small_enough(wanted) else wanted, key, "left_semi").select(F.col(key).alias("doc"), F.monotonically_increasing_id().alias("row"), tokens(F.col(text)).alias("dtokens"))
             each = check.join(texts, "doc").withColumn("pair", F.explode("pairs")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(window - 1))))
             spot = F.col("pair.ipos") + F.col("k")
             each = each.select(*group, "row", spot.alias("spot"), F.col("pair.shift").alias("shift"), F.get("itokens", spot).alias("iv"), F.get("dtokens", spot + F.col("pair.shift")).alias("dv"))
@@ -139,8 +139,8 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc
     return best.select(F.col("doc").alias(key), F.col("item").alias(item_key), F.col("b.covered").alias("covered"), F.col("b.n").alias("item_tokens"), F.col("b.same").alias("same_slots"))
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", broadcast_rows: int = 500_000, **how) -> DataFrame:
+def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
     """docs without those that hold an item; columns as before. Rows with a null key stay."""
     work = Workspace(docs.sparkSession, "leaks-drop")
     gone = work.write(leaks(docs, items, text, key, **how).select(F.col(key).alias("_gone")).distinct(), "gone")
-    return docs.join(F.broadcast(gone) if small_enough(gone, broadcast_rows) else gone, docs[key] == gone["_gone"], "left_anti")
+    return docs.join(F.broadcast(gone) if small_enough(gone) else gone, docs[key] == gone["_gone"], "left_anti")

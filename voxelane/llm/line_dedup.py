@@ -1,43 +1,86 @@
 """Line deduplication: equal lines by hash, nearly equal ones by a segment-partition edit join.
 
-DataFrame functions only. Lines within `edits` edits share one of edits + 1 segments, at a place that the lengths bound.
+DataFrame functions only. Of two lines within `edits` edits, one of edits + 1 disjoint segments of either stands unchanged in the
+other, at a place that the number of edits beside it bounds. Lines are indexed by these segments and by a class of their length,
+and probe the classes that partners may have. A line looks for its earliest partner, so a key's lines meet the earliest line of
+the key first, and only lines that are still without an earlier partner meet the next ones: a family of close lines costs a row
+a line, not a row a pair.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .workspace import Workspace, small_enough
 
 EDITS, LEAST_CHARS = 2, 24
+#: Lengths in a class; lines of each key that all its lines meet at once, and by how much that number grows a round.
+CLASS, LEADERS, GROWTH = 8, 2, 8
+#: Lines that the search for hot keys looks at, and how many of them make a key hot. It only decides how rows are dealt to tasks.
+SAMPLE, HOT = 20_000, 10
 
 
-def lines_of(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc, line_no, line, h1, h2): every line that isn't blank, by its place; null keys and texts have none."""
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("line_no", "line"))
-    return rows.where(F.trim("line") != "").withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(1))})
+def rows_of(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(doc, copy, text, row): the rows, with all their columns in `row`. copy numbers the rows that repeat a key, by text; rows of
+    equal key and text may swap numbers. Without repeated keys it is 0 and costs a count of the keys alone."""
+    rows = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    if not docs.groupBy(F.col(key).alias("doc")).count().where("count > 1 AND doc IS NOT NULL").limit(1).count():
+        return rows.withColumn("copy", F.lit(0))
+    return rows.withColumn("copy", F.row_number().over(Window.partitionBy("doc").orderBy(F.xxhash64("text"), "text")) - 1)
 
 
-def _segment(line: Column, length: Column, parts: int, i: int, offset: int) -> Column:
-    """Segment i of a partition for lines of the given length, read at an offset from its place."""
-    base, longer = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    start = base * i + F.greatest(F.lit(0), longer - (parts - i)) + offset
-    return F.xxhash64(length, F.lit(i), F.substring(line, start + 1, base + (F.lit(i) >= parts - longer).cast("int")))
+def lines_of(rows: DataFrame) -> DataFrame:
+    """(doc, at, line): every line that isn't blank. at is the line's number, then the row's copy, in one long, so that (doc, at)
+    orders all lines and names each; null keys and texts have none."""
+    split = rows.where("doc IS NOT NULL AND text IS NOT NULL").select("doc", "copy", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return split.where(F.trim("line") != "").select("doc", F.shiftleft(F.col("line_no").cast("long"), 31).bitwiseOR(F.col("copy")).alias("at"), "line")
 
 
-def index_keys(line: Column, length: Column, edits: int) -> Column:
-    return F.array(*[_segment(line, length, edits + 1, i, 0) for i in range(edits + 1)])
+def line_no(at: Column) -> Column:
+    return F.shiftright(at, 31).cast("int")
 
 
-def probe_keys(line: Column, length: Column, edits: int) -> Column:
-    """Keys under which partners that are as long or up to `edits` characters shorter may be indexed."""
-    keys = []
-    for less in range(edits + 1):
-        for i in range(edits + 1):
-            for offset in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
-                keys.append(_segment(line, length - less, edits + 1, i, offset))
-    return F.array(*keys)
+#: 2 to the 62nd: more than any `at`.
+_AT = 1 << 62
+
+
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """(line, doc, at, n): distinct lines, the first place of each and how often it occurs. Places of whole-number keys travel as
+    one decimal, which a hash aggregate holds; those of other keys as a struct."""
+    if lines.schema["doc"].dataType.typeName() not in ("long", "integer", "short", "byte"):
+        found = lines.groupBy("line").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"))
+        return found.select("line", "first.doc", "first.at", "n")
+    kind, big = lines.schema["doc"].dataType.simpleString(), F.lit(_AT).cast("decimal(19,0)")
+    place = (F.col("doc").cast("decimal(19,0)") * big).cast("decimal(38,0)") + F.col("at").cast("decimal(19,0)")
+    found = lines.select("line", place.cast("decimal(38,0)").alias("place")).groupBy("line").agg(F.min("place").alias("place"), F.count("*").alias("n"))
+    found = found.withColumn("at", F.pmod(F.col("place"), F.lit(_AT).cast("decimal(38,0)")).cast("long"))
+    return found.select("line", ((F.col("place") - F.col("at")) / F.lit(_AT).cast("decimal(38,0)")).cast(kind).alias("doc"), "at", "n")
+
+
+def keys_of(line: Column, edits: int) -> Column:
+    """Structs (own, key) of a line, or null: the segments under which it is indexed (own), and those that it probes besides.
+
+    Lines of a class of lengths have edits + 1 segments of one size; segment i is measured from the line's start where at most
+    i <= edits - i edits can lie before it, else from its end. Probes are shifted by up to that many characters.
+    """
+    n, parts = F.length(line), edits + 1
+    out = []
+    own = F.floor(n / CLASS)
+
+    def segment(cls: Column, i: int, shift: int) -> Column:
+        size = F.floor(cls * CLASS / parts).cast("int")
+        start = size * i + 1 + shift if i <= edits - i else n - size * (parts - i) + 1 + shift
+        return F.xxhash64(cls, F.lit(i), F.substring(line, start, size))
+
+    for far in sorted({0, *range(-edits, edits + 1, max(1, min(edits, CLASS))), edits}, key=abs):
+        cls = F.floor((n + far) / CLASS)
+        for i in range(parts):
+            most = min(i, edits - i)
+            for shift in range(-most, most + 1):
+                found = F.struct(F.lit(not far and not shift).alias("own"), segment(cls, i, shift).alias("key"))
+                out.append(found if not far else F.when(cls != own, found))
+    return F.array(*out)
 
 
 #: Letters that the bag of a line counts, five bits each.
@@ -45,20 +88,21 @@ LETTERS = "etaoinsrhldu"
 
 
 def bag(line: Column) -> Column:
-    """Counts of the LETTERS of a line, modulo 32, and its length, modulo 8, in one long."""
+    """Counts of the LETTERS of a line, modulo 32, and its length, modulo 16, in one long."""
     size = F.octet_length(line)
     parts = [F.shiftleft((size - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(31)), 5 * k) for k, c in enumerate(LETTERS)]
-    out = F.shiftleft(F.length(line).cast("long").bitwiseAND(F.lit(7)), 60)
+    out = F.shiftleft(F.length(line).cast("long").bitwiseAND(F.lit(15)), 60)
     for p in parts:
         out = out.bitwiseOR(p)
     return out
 
 
-def bags_apart(a: Column, b: Column) -> Column:
-    """A lower bound on how far letter counts differ in sum: an edit moves it by two at most."""
+def may_be_near(a: Column, b: Column, edits: int) -> Column:
+    """What lines within so many edits satisfy: an edit moves the length by one and the sum of letter counts by two at most."""
     count = lambda x, k: F.shiftright(x, 5 * k).bitwiseAND(F.lit(31))
     gap = [F.abs(count(a, k) - count(b, k)) for k in range(len(LETTERS))]
-    return sum((F.least(g, 32 - g) for g in gap), F.lit(0).cast("long"))
+    long = F.shiftrightunsigned(a, 60) - F.shiftrightunsigned(b, 60)
+    return ((long + 16 + edits).bitwiseAND(F.lit(15)) <= 2 * edits) & (sum((F.least(g, 32 - g) for g in gap), F.lit(0).cast("long")) <= 2 * edits)
 
 
 def _common(a: Column, b: Column, side) -> Column:
@@ -116,27 +160,96 @@ def edit_distance(a: Column, b: Column, edits: int) -> Column:
     return F.nullif(F.array_position(reached, 1).cast("int"), F.lit(0)) - 1
 
 
-def near_lines(distinct: DataFrame, work: Workspace, edits: int = EDITS, least_chars: int = LEAST_CHARS, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(h1, h2, near_doc, near_line, edits): lines of a table of distinct lines (h1, h2, first, line, bag) that lie within
-    `edits` edits of a line that first occurs earlier; the earliest such line. Lines under least_chars take no part."""
-    if not 0 <= edits <= 6:
-        raise ValueError("lengths are told apart modulo 8, which serves 0 to 6 edits")
-    long = distinct.where(F.length("line") >= least_chars).select("h1", "line", "bag", F.length("line").alias("n"))
-    index = long.select(F.col("h1").alias("a"), F.col("bag").alias("bag_a"), F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"))
-    probes = long.select(F.col("h1").alias("b"), F.col("bag").alias("bag_b"), F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key"))
-    once = (F.shiftright("bag_a", 60) != F.shiftright("bag_b", 60)) | (F.col("a") < F.col("b"))  # lines of one length find each other both ways
-    pairs = index.join(probes, "key").where((F.col("a") != F.col("b")) & once & (bags_apart(F.col("bag_a"), F.col("bag_b")) <= 2 * edits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = work.write(pairs, "pairs")
+def _hot_keys(long: DataFrame, edits: int) -> DataFrame:
+    """(key): keys that at least HOT of some SAMPLE lines, chosen by hash, are indexed under; so (edits + 1) * SAMPLE / HOT at most."""
+    step = max(1, long.count() // SAMPLE)
+    some = long.where(F.pmod(F.xxhash64("line", F.lit(7)), F.lit(step)) == 0).select(F.explode(keys_of(F.col("line"), edits)).alias("k")).where("k.own")
+    return some.groupBy(F.col("k.key").alias("key")).count().where(F.col("count") >= HOT).select("key")
+
+
+def near_lines(distinct: DataFrame, work: Workspace, edits: int = EDITS, least_chars: int = LEAST_CHARS, leaders: int = LEADERS) -> DataFrame:
+    """(doc, at, near_doc, near_at, edits): lines of a table of distinct lines (line, doc, at, bag) that lie within `edits` edits of
+    a line that first occurs earlier; the earliest such line. Lines under least_chars take no part.
+
+    Rows of a key meet its first `leaders` index entries by a window. Rows of keys with more entries go on in rounds: each round
+    takes GROWTH times as many entries, for rows whose earliest partner so far, if any, is later than those. A hot key's rows
+    are salted in the window and enter the rounds as a whole, whose joins Spark can split.
+    """
+    if not 0 <= edits <= 3 or least_chars < (edits + 1) * 4:
+        raise ValueError("the classes of lengths serve 0 to 3 edits and lines of four characters a segment at least")
+    long = distinct.where(F.length("line") >= least_chars)
+    hot = work.write(_hot_keys(long, edits), "hot")
+    keyed = long.select("doc", "at", "bag", F.explode(keys_of(F.col("line"), edits)).alias("k")).where("k IS NOT NULL")
+    # own is the lowest bit of `at`, so that a row is five numbers
+    rows = keyed.select(F.col("k.key").alias("key"), "doc", F.shiftleft("at", 1).bitwiseOR(F.col("k.own").cast("long")).alias("at"), "bag")
+    if not hot.limit(1).count():
+        rows = rows.withColumn("salt", F.lit(0))
+    else:
+        rows = rows.join(F.broadcast(hot.withColumn("is_hot", F.lit(1))), "key", "left").withColumn("salt", F.when(F.col("is_hot") == 1, 1 + F.pmod(F.xxhash64("doc", "at"), F.lit(1024))).otherwise(0).cast("int")).drop("is_hot")
+    own = F.col("at").bitwiseAND(F.lit(1)) == 1
+    upto = Window.partitionBy("key", "salt").orderBy("doc", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    entry = F.when(own, F.struct("doc", F.shiftright("at", 1).alias("at"), "bag"))
+    met = rows.withColumns({"seen": F.count(F.when(own, 1)).over(upto)} | {f"e{i}": F.nth_value(entry, i, True).over(upto) for i in range(1, leaders + 1)})
+    place, mine = F.struct("doc", "at"), F.shiftright("at", 1)
+
+    def partner(e: str) -> Column:
+        earlier = (F.col(f"{e}.doc") < F.col("doc")) | ((F.col(f"{e}.doc") == F.col("doc")) & (F.col(f"{e}.at") < mine))
+        return F.when(earlier & may_be_near(F.col("bag"), F.col(f"{e}.bag"), edits), F.struct(F.col(f"{e}.doc").alias("doc"), F.col(f"{e}.at").alias("at")))
+
+    met = met.withColumn("hot", F.col("salt") > 0).withColumns({f"p{i}": partner(f"e{i}") for i in range(1, leaders + 1)})
+    kept = met.where(F.col("hot") | (F.col("seen") > leaders) | F.coalesce(*[f"p{i}" for i in range(1, leaders + 1)]).isNotNull())
+    found = work.write(kept.select("key", "doc", "at", "bag", "hot", F.when(F.col("hot"), 0).otherwise(F.col("seen")).alias("seen"), F.array_compact(F.array(*[f"p{i}" for i in range(1, leaders + 1)])).alias("partners")), "met")
+    work.release()
+    pairs = found.where("NOT hot").select("doc", mine.alias("at"), F.explode("partners").alias("p")).select("doc", "at", F.col("p.doc").alias("near_doc"), F.col("p.at").alias("near_at")).distinct()
+    crowd = found.where((F.col("seen") > leaders) | F.col("hot")).select("key", "doc", mine.alias("at"), "bag", own.alias("own"))
+    rounds = crowd.limit(1).count() > 0
+    wanted = found.select("doc", mine.alias("at")).union(pairs.select(F.col("near_doc").alias("doc"), F.col("near_at").alias("at"))).distinct()
+    wanted = work.write(wanted, "wanted")
+    texts = work.write(distinct.join(F.broadcast(wanted) if small_enough(wanted) else wanted, ["doc", "at"], "left_semi").select("doc", "at", "line"), "texts")
+    best = work.write(_verified(pairs, texts, edits), "near-0")
+    targets, taken, k = crowd, 0, 0
+    while rounds:
+        # the crowd of a key has its entries after the first `leaders`, or all of a hot key
+        most, k = max(leaders, taken * GROWTH), k + 1
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("doc", "at"))
+        lead = crowd.where("own").withColumn("r", rank).where((F.col("r") <= most) & (F.col("r") > taken)).select("key", F.col("doc").alias("near_doc"), F.col("at").alias("near_at"), F.col("bag").alias("near_bag"))
+        lead = work.write(lead, f"leaders-{k}")
+        first = lead.groupBy("key").agg(F.min(F.struct("near_doc", "near_at")).alias("first"))
+        limit = F.coalesce("limit", F.struct(F.col("doc").alias("near_doc"), F.col("at").alias("near_at"))).alias("limit")
+        so_far = targets.join(best.select("doc", "at", F.struct("near_doc", "near_at").alias("limit")), ["doc", "at"], "left").select("key", "doc", "at", "bag", limit)
+        targets = work.write(so_far.join(first, "key").where("first < limit").drop("first"), f"targets-{k}")  # later entries are no use to the others
+        if not targets.limit(1).count():
+            break
+        step = targets.join(F.broadcast(lead) if small_enough(lead) else lead, "key").where((F.struct("near_doc", "near_at") < F.col("limit")) & may_be_near(F.col("bag"), F.col("near_bag"), edits))
+        pairs = work.write(step.select("doc", "at", "near_doc", "near_at").distinct(), f"pairs-{k}")
+        both = best.union(_verified(pairs, texts, edits)).groupBy("doc", "at").agg(F.min(F.struct("near_doc", "near_at", "edits")).alias("b")).select("doc", "at", "b.*")
+        best = work.write(both, f"near-{k}")
+        taken, targets = most, targets.drop("limit")
+    return best
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """(doc, at, near_doc, near_at, edits): the earliest partner of each line that really lies within the edits."""
+    mine, theirs = texts.withColumnRenamed("line", "x"), texts.select(F.col("doc").alias("near_doc"), F.col("at").alias("near_at"), F.col("line").alias("y"))
+    both = pairs.join(mine, ["doc", "at"]).join(theirs, ["near_doc", "near_at"]).where(F.abs(F.length("x") - F.length("y")) <= edits)
+    both = both.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    close = both.select("doc", "at", "near_doc", "near_at", F.explode(F.array(_distance_of(F.col("x"), F.col("y"), edits))).alias("edits")).where("edits IS NOT NULL")
+    return close.groupBy("doc", "at").agg(F.min(F.struct("near_doc", "near_at", "edits")).alias("b")).select("doc", "at", "b.*")
+
+
+def _found(rows: DataFrame, work: Workspace, edits: int, least_chars: int) -> DataFrame:
+    """(doc, at, exact, first_doc, first_at, edits): the lines that repeat an earlier one."""
+    every = lines_of(rows)
+    distinct = work.write(distinct_lines(every).withColumns({"bag": bag(F.col("line")), "h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(1))}), "distinct")
     work.release()
-    wanted = work.write(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), "wanted")
-    small = small_enough(wanted, broadcast_rows)
-    texts = work.write(distinct.join(F.broadcast(wanted) if small else wanted, "h1", "left_semi").select("h1", "h2", "first", "line"), "texts")
-    side = lambda n: texts.select(*[F.col(c).alias(f"{c}_{n}") for c in texts.columns])
-    both = pairs.join(side(1), F.col("a") == F.col("h1_1")).join(side(2), F.col("b") == F.col("h1_2")).where(F.abs(F.length("line_1") - F.length("line_2")) <= edits)
-    both = both.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    close = both.select("*", F.explode(F.array(_distance_of(F.col("line_1"), F.col("line_2"), edits))).alias("edits")).where(F.col("edits").isNotNull())
-    one = lambda late, early: close.where(F.col(f"first_{early}") < F.col(f"first_{late}")).select(F.col(f"h1_{late}").alias("h1"), F.col(f"h2_{late}").alias("h2"), F.struct(F.col(f"first_{early}").alias("first"), "edits").alias("near"))
-    return one(1, 2).union(one(2, 1)).groupBy("h1", "h2").agg(F.min("near").alias("near"))
+    near = near_lines(distinct.select("line", "doc", "at", "bag"), work, edits, least_chars)
+    firsts = distinct.select("h1", "h2", "doc", "at", "n").join(F.broadcast(near) if small_enough(near) else near, ["doc", "at"], "left").where("n > 1 OR near_doc IS NOT NULL")
+    firsts = work.write(firsts.select("h1", "h2", F.col("doc").alias("own_doc"), F.col("at").alias("own_at"), "near_doc", "near_at", "edits"), "firsts")
+    hashed = every.select("doc", "at", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
+    exact = (F.col("doc") != F.col("own_doc")) | (F.col("at") != F.col("own_at"))
+    found = hashed.join(F.broadcast(firsts) if small_enough(firsts) else firsts, ["h1", "h2"]).withColumn("exact", exact).where("exact OR near_doc IS NOT NULL")
+    pick = lambda x: F.when(F.col("exact"), F.col(f"own_{x}")).otherwise(F.col(f"near_{x}"))
+    return found.select("doc", "at", "exact", pick("doc").alias("first_doc"), pick("at").alias("first_at"), F.when(F.col("exact"), 0).otherwise(F.col("edits")).alias("edits"))
 
 
 def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -144,31 +257,27 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", edits: int
 
     kind is exact for all but the first place of equal lines (edits 0; first_doc and first_line name that place), and near
     for lines within `edits` edits of a different line that first occurs earlier (the earliest such line). Blank lines
-    repeat nothing. Rows of one key count as one document with lines of the same numbers; null keys and texts have no lines.
+    repeat nothing. Rows that repeat a key are rows of their own: of equal lines at one number the row of lesser text hash
+    comes first. Null keys and texts have no lines, empty tables no rows; other columns are not read. Lines of any length
+    are compared as a whole.
     """
-    work = Workspace(docs.sparkSession, "lines")
-    every = lines_of(docs, text, key)
-    place = F.struct("doc", "line_no")
-    distinct = work.write(every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("line").alias("line")).withColumn("bag", bag(F.col("line"))), "distinct")
-    work.release()
-    near = work.write(near_lines(distinct, work, edits, least_chars), "near")
-    again = distinct.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").where("n > 1 OR near IS NOT NULL")
-    found = every.select("doc", "line_no", "h1", "h2").join(again, ["h1", "h2"]).where((place != F.col("first")) | F.col("near").isNotNull())
-    exact = place != F.col("first")
-    pick = lambda x: F.when(exact, F.col(f"first.{x}")).otherwise(F.col(f"near.first.{x}"))
-    return found.select(F.col("doc").alias(key), "line_no", F.when(exact, "exact").otherwise("near").alias("kind"), pick("doc").alias("first_doc"), pick("line_no").alias("first_line"), F.when(exact, 0).otherwise(F.col("near.edits")).alias("edits"))
+    found = _found(rows_of(docs, text, key).drop("row"), Workspace(docs.sparkSession, "lines"), edits, least_chars)
+    return found.select(F.col("doc").alias(key), line_no(F.col("at")).alias("line_no"), F.when(F.col("exact"), "exact").otherwise("near").alias("kind"), "first_doc", line_no(F.col("first_at")).alias("first_line"), "edits")
 
 
-def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", broadcast_rows: int = 200_000, **how) -> DataFrame:
+def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """docs with the repeated lines taken out of their texts; every row stays, if need be with an empty text.
 
-    Kept lines are joined by newlines. Null keys and texts are left as they are; columns as before.
+    Kept lines are joined by newlines. Null keys and texts are left as they are; columns as before, whatever their names. Of
+    rows that repeat a key each loses its own repeated lines.
     """
     work = Workspace(docs.sparkSession, "lines-drop")
-    cut = work.write(repeats(docs, text, key, **how).groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_set("line_no")).alias("_cut")), "cut")
-    rows = docs.join(F.broadcast(cut) if small_enough(cut, broadcast_rows) else cut, docs[key] == cut["_key"], "left")
-    split = rows.withColumn("_lines", F.when(F.col("_cut").isNotNull(), F.split(F.col(text), "\n")))
-    stops = F.concat(F.col("_cut"), F.array(F.size("_lines")))
-    starts = F.concat(F.array(F.lit(0)), F.transform("_cut", lambda c: c + 1))
-    runs = F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda r: F.slice("_lines", r["a"] + 1, F.greatest(r["b"] - r["a"], F.lit(0))))
-    return split.withColumn(text, F.when(F.col("_cut").isNull(), F.col(text)).otherwise(F.array_join(F.flatten(runs), "\n"))).select(*docs.columns)
+    rows = rows_of(docs, text, key)
+    found = _found(rows.drop("row"), work, edits, least_chars).withColumn("copy", F.col("at").bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    cut = work.write(found.groupBy("doc", "copy").agg(F.array_sort(F.collect_set(line_no(F.col("at")))).alias("cut")), "cut")
+    joined = rows.join(F.broadcast(cut) if small_enough(cut) else cut, ["doc", "copy"], "left").withColumn("lines", F.when(F.col("cut").isNotNull(), F.split("text", "\n")))
+    stops = F.concat("cut", F.array(F.size("lines")))
+    starts = F.concat(F.array(F.lit(0)), F.transform("cut", lambda c: c + 1))
+    runs = F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda r: F.slice("lines", r["a"] + 1, F.greatest(r["b"] - r["a"], F.lit(0))))
+    short = F.when(F.col("cut").isNull(), F.col("row")[text]).otherwise(F.array_join(F.flatten(runs), "\n"))
+    return joined.select(*[(short if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])

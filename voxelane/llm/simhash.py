@@ -341,7 +341,7 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", bits: int
     groups = near_duplicates(docs, text, key, bits, shingle) if percent is None else near_copies(docs, text, key, shingle, percent)
     found = work.write(groups, "found")
     gone = work.write(found.where(F.col(key) != F.col("component")).select(F.col(key).alias("_gone")).distinct(), "gone")
-    side = F.broadcast(gone) if small_enough(gone, 500_000) else gone
+    side = F.broadcast(gone) if small_enough(gone) else gone
     kept = docs.join(side, docs[key] == side["_gone"], "left_anti")
     twice = work.write(found.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_twice")).count().where("count > 1").select("_twice"), "twice")
     if not twice.limit(1).count():

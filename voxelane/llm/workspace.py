@@ -9,7 +9,9 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -60,6 +62,22 @@ class Workspace:
             self.drop()
 
 
-def small_enough(frame: DataFrame, rows: int) -> bool:
-    """Whether a frame has at most so many rows; stops counting there."""
-    return frame.limit(rows + 1).count() <= rows
+#: Megabytes that a table may have to be broadcast.
+BROADCAST_MB = 32
+
+
+def _bytes(name: str, kind: DataType) -> Column:
+    c = F.col(f"`{name}`")
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        wide = 16 if isinstance(kind.elementType, (StringType, BinaryType, StructType, ArrayType)) else 8
+        text = F.octet_length(c.cast("string")) if wide == 16 else F.lit(0)
+        return F.greatest(F.size(c), F.lit(0)) * wide + F.coalesce(text, F.lit(0)) + 16
+    return F.lit(16)
+
+
+def small_enough(frame: DataFrame, megabytes: float = BROADCAST_MB) -> bool:
+    """Whether the rows of a frame, as Spark holds them, take at most so many megabytes."""
+    wide = sum((_bytes(f.name, f.dataType) for f in frame.schema.fields), F.lit(8))
+    return (frame.agg(F.sum(wide.cast("long"))).first()[0] or 0) <= megabytes * 1e6
