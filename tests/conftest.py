@@ -1,6 +1,9 @@
+import os
 import sys
 from pathlib import Path
 
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # its threads hang in a process that has started a JVM
+
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
