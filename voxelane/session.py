@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -46,3 +48,31 @@ def ship(spark: SparkSession) -> None:
         for file in sorted(PACKAGE.rglob("*.py")):
             z.write(file, file.relative_to(PACKAGE.parent))
     context.addPyFile(target)
+
+
+def trim() -> None:
+    """Give memory that Python, Arrow and the C library hold for later use back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches after whose end the worker, which other tasks use again, holds no more than it needs."""
+
+    @wraps(run)
+    def and_trim(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return and_trim
