@@ -15,19 +15,23 @@ from pyspark.sql import functions as F
 from .workspace import Workspace, small_enough
 
 EDITS, LEAST_CHARS = 2, 24
-#: Lengths in a class; lines of each key that all its lines meet at once, and by how much that number grows a round.
-CLASS, LEADERS, GROWTH = 8, 2, 8
+#: Classes of lengths in a doubling; lines of each key that all its lines meet at once, and by how much that number grows a round.
+CLASSES, LEADERS, GROWTH = 4, 2, 16
 #: Lines that the search for hot keys looks at, and how many of them make a key hot. It only decides how rows are dealt to tasks.
 SAMPLE, HOT = 20_000, 10
 
 
-def rows_of(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(doc, copy, text, row): the rows, with all their columns in `row`. copy numbers the rows that repeat a key, by text; rows of
-    equal key and text may swap numbers. Without repeated keys it is 0 and costs a count of the keys alone."""
+def rows_of(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, bool]:
+    """((doc, copy, text, row), narrow): the rows, with all their columns in `row`. copy numbers the rows that repeat a key, by text; rows
+    of equal key and text may swap numbers. Without repeated keys it is 0 and costs a count of the keys alone. narrow: whether keys
+    are whole numbers of 32 bits and none repeats, so that a key and a line's number fit one long."""
     rows = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    if not docs.groupBy(F.col(key).alias("doc")).count().where("count > 1 AND doc IS NOT NULL").limit(1).count():
-        return rows.withColumn("copy", F.lit(0))
-    return rows.withColumn("copy", F.row_number().over(Window.partitionBy("doc").orderBy(F.xxhash64("text"), "text")) - 1)
+    whole = docs.schema[key].dataType.typeName() in ("long", "integer", "short", "byte")
+    ends = [F.min("doc").alias("lo"), F.max("doc").alias("hi")] if whole else [F.lit(None).alias("lo"), F.lit(None).alias("hi")]
+    found = docs.groupBy(F.col(key).alias("doc")).count().where("doc IS NOT NULL").agg(F.max("count").alias("n"), *ends).first()
+    if (found.n or 0) <= 1:
+        return rows.withColumn("copy", F.lit(0)), whole and (found.lo is None or -(1 << 31) <= found.lo and found.hi < 1 << 32)
+    return rows.withColumn("copy", F.row_number().over(Window.partitionBy("doc").orderBy(F.xxhash64("text"), "text")) - 1), False
 
 
 def lines_of(rows: DataFrame) -> DataFrame:
@@ -41,46 +45,39 @@ def line_no(at: Column) -> Column:
     return F.shiftright(at, 31).cast("int")
 
 
-#: 2 to the 62nd: more than any `at`.
-_AT = 1 << 62
-
-
-def distinct_lines(lines: DataFrame) -> DataFrame:
-    """(line, doc, at, n): distinct lines, the first place of each and how often it occurs. Places of whole-number keys travel as
-    one decimal, which a hash aggregate holds; those of other keys as a struct."""
-    if lines.schema["doc"].dataType.typeName() not in ("long", "integer", "short", "byte"):
+def distinct_lines(lines: DataFrame, narrow: bool) -> DataFrame:
+    """(line, doc, at, n): distinct lines, the first place of each and how often it occurs. A narrow place is one long, which a
+    hash aggregate holds."""
+    if not narrow:
         found = lines.groupBy("line").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"))
         return found.select("line", "first.doc", "first.at", "n")
-    kind, big = lines.schema["doc"].dataType.simpleString(), F.lit(_AT).cast("decimal(19,0)")
-    place = (F.col("doc").cast("decimal(19,0)") * big).cast("decimal(38,0)") + F.col("at").cast("decimal(19,0)")
-    found = lines.select("line", place.cast("decimal(38,0)").alias("place")).groupBy("line").agg(F.min("place").alias("place"), F.count("*").alias("n"))
-    found = found.withColumn("at", F.pmod(F.col("place"), F.lit(_AT).cast("decimal(38,0)")).cast("long"))
-    return found.select("line", ((F.col("place") - F.col("at")) / F.lit(_AT).cast("decimal(38,0)")).cast(kind).alias("doc"), "at", "n")
+    place = F.shiftleft(F.col("doc").cast("long"), 31).bitwiseOR(F.shiftright("at", 31))
+    found = lines.select("line", place.alias("place")).groupBy("line").agg(F.min("place").alias("place"), F.count("*").alias("n"))
+    kind = lines.schema["doc"].dataType.simpleString()
+    return found.select("line", F.shiftright("place", 31).cast(kind).alias("doc"), F.shiftleft(F.col("place").bitwiseAND(F.lit((1 << 31) - 1)), 31).alias("at"), "n")
+
 
+def _class(length: Column) -> Column:
+    return F.floor(F.log2(length) * CLASSES).cast("int")
 
-def keys_of(line: Column, edits: int) -> Column:
-    """Structs (own, key) of a line, or null: the segments under which it is indexed (own), and those that it probes besides.
+
+def keyed(lines: DataFrame, edits: int) -> DataFrame:
+    """(key, own, doc, at, length) for lines (line, length, doc, at): the segments under which each is indexed (own), and those that
+    it probes besides.
 
     Lines of a class of lengths have edits + 1 segments of one size; segment i is measured from the line's start where at most
     i <= edits - i edits can lie before it, else from its end. Probes are shifted by up to that many characters.
     """
-    n, parts = F.length(line), edits + 1
-    out = []
-    own = F.floor(n / CLASS)
-
-    def segment(cls: Column, i: int, shift: int) -> Column:
-        size = F.floor(cls * CLASS / parts).cast("int")
-        start = size * i + 1 + shift if i <= edits - i else n - size * (parts - i) + 1 + shift
-        return F.xxhash64(cls, F.lit(i), F.substring(line, start, size))
-
-    for far in sorted({0, *range(-edits, edits + 1, max(1, min(edits, CLASS))), edits}, key=abs):
-        cls = F.floor((n + far) / CLASS)
-        for i in range(parts):
-            most = min(i, edits - i)
-            for shift in range(-most, most + 1):
-                found = F.struct(F.lit(not far and not shift).alias("own"), segment(cls, i, shift).alias("key"))
-                out.append(found if not far else F.when(cls != own, found))
-    return F.array(*out)
+    parts = edits + 1
+    probes = [(far, i, shift) for far in sorted({0, *range(-edits, edits + 1, 2), edits}, key=abs) for i in range(parts) for shift in range(-min(i, edits - i), min(i, edits - i) + 1)]
+    # exploded first, so that what is computed for each is one small expression
+    each = lines.withColumn("p", F.explode(F.array(*[F.struct(F.lit(far).alias("far"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for far, i, shift in probes])))
+    each = each.withColumn("cls", _class(F.col("length") + F.col("p.far"))).where((F.col("p.far") == 0) | (F.col("cls") != _class(F.col("length"))))
+    size = F.floor(F.floor(F.pow(F.lit(2.0), F.col("cls") / CLASSES)) / parts).cast("int")
+    start = F.when(2 * F.col("p.i") <= edits, size * F.col("p.i")).otherwise(F.col("length") - size * (parts - F.col("p.i"))) + 1 + F.col("p.shift")
+    plain = F.octet_length("line") == F.col("length")  # one byte a character: bytes are found without walking the text
+    key = F.when(plain, F.xxhash64("cls", "p.i", F.substring(F.col("line").cast("binary"), start, size))).otherwise(F.xxhash64("cls", "p.i", F.substring("line", start, size)))
+    return each.select(key.alias("key"), ((F.col("p.far") == 0) & (F.col("p.shift") == 0)).alias("own"), "doc", "at", "length")
 
 
 #: Letters that the bag of a line counts, five bits each.
@@ -88,21 +85,20 @@ LETTERS = "etaoinsrhldu"
 
 
 def bag(line: Column) -> Column:
-    """Counts of the LETTERS of a line, modulo 32, and its length, modulo 16, in one long."""
+    """Counts of the LETTERS of a line, modulo 32, in one long."""
     size = F.octet_length(line)
     parts = [F.shiftleft((size - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(31)), 5 * k) for k, c in enumerate(LETTERS)]
-    out = F.shiftleft(F.length(line).cast("long").bitwiseAND(F.lit(15)), 60)
-    for p in parts:
+    out = parts[0]
+    for p in parts[1:]:
         out = out.bitwiseOR(p)
     return out
 
 
 def may_be_near(a: Column, b: Column, edits: int) -> Column:
-    """What lines within so many edits satisfy: an edit moves the length by one and the sum of letter counts by two at most."""
+    """What the bags of lines within so many edits satisfy: an edit moves the sum of letter counts by two at most."""
     count = lambda x, k: F.shiftright(x, 5 * k).bitwiseAND(F.lit(31))
     gap = [F.abs(count(a, k) - count(b, k)) for k in range(len(LETTERS))]
-    long = F.shiftrightunsigned(a, 60) - F.shiftrightunsigned(b, 60)
-    return ((long + 16 + edits).bitwiseAND(F.lit(15)) <= 2 * edits) & (sum((F.least(g, 32 - g) for g in gap), F.lit(0).cast("long")) <= 2 * edits)
+    return sum((F.least(g, 32 - g) for g in gap), F.lit(0).cast("long")) <= 2 * edits
 
 
 def _common(a: Column, b: Column, side) -> Column:
@@ -163,13 +159,13 @@ def edit_distance(a: Column, b: Column, edits: int) -> Column:
 def _hot_keys(long: DataFrame, edits: int) -> DataFrame:
     """(key): keys that at least HOT of some SAMPLE lines, chosen by hash, are indexed under; so (edits + 1) * SAMPLE / HOT at most."""
     step = max(1, long.count() // SAMPLE)
-    some = long.where(F.pmod(F.xxhash64("line", F.lit(7)), F.lit(step)) == 0).select(F.explode(keys_of(F.col("line"), edits)).alias("k")).where("k.own")
-    return some.groupBy(F.col("k.key").alias("key")).count().where(F.col("count") >= HOT).select("key")
+    some = keyed(long.where(F.pmod(F.xxhash64("doc", "at"), F.lit(step)) == 0), edits).where("own")
+    return some.groupBy("key").count().where(F.col("count") >= HOT).select("key")
 
 
 def near_lines(distinct: DataFrame, work: Workspace, edits: int = EDITS, least_chars: int = LEAST_CHARS, leaders: int = LEADERS) -> DataFrame:
-    """(doc, at, near_doc, near_at, edits): lines of a table of distinct lines (line, doc, at, bag) that lie within `edits` edits of
-    a line that first occurs earlier; the earliest such line. Lines under least_chars take no part.
+    """(doc, at, near_doc, near_at, edits): lines of a table of distinct lines (line, length, doc, at) that lie within `edits` edits
+    of a line that first occurs earlier; the earliest such line. Lines under least_chars take no part.
 
     Rows of a key meet its first `leaders` index entries by a window. Rows of keys with more entries go on in rounds: each round
     takes GROWTH times as many entries, for rows whose earliest partner so far, if any, is later than those. A hot key's rows
@@ -177,52 +173,50 @@ def near_lines(distinct: DataFrame, work: Workspace, edits: int = EDITS, least_c
     """
     if not 0 <= edits <= 3 or least_chars < (edits + 1) * 4:
         raise ValueError("the classes of lengths serve 0 to 3 edits and lines of four characters a segment at least")
-    long = distinct.where(F.length("line") >= least_chars)
+    long = distinct.where(F.col("length") >= least_chars)
     hot = work.write(_hot_keys(long, edits), "hot")
-    keyed = long.select("doc", "at", "bag", F.explode(keys_of(F.col("line"), edits)).alias("k")).where("k IS NOT NULL")
-    # own is the lowest bit of `at`, so that a row is five numbers
-    rows = keyed.select(F.col("k.key").alias("key"), "doc", F.shiftleft("at", 1).bitwiseOR(F.col("k.own").cast("long")).alias("at"), "bag")
+    # own is the lowest bit of `at`, so that a row is three numbers and the key
+    rows = keyed(long, edits).select("key", "doc", F.shiftleft("at", 1).bitwiseOR(F.col("own").cast("long")).alias("at"), "length")
     if not hot.limit(1).count():
         rows = rows.withColumn("salt", F.lit(0))
     else:
         rows = rows.join(F.broadcast(hot.withColumn("is_hot", F.lit(1))), "key", "left").withColumn("salt", F.when(F.col("is_hot") == 1, 1 + F.pmod(F.xxhash64("doc", "at"), F.lit(1024))).otherwise(0).cast("int")).drop("is_hot")
     own = F.col("at").bitwiseAND(F.lit(1)) == 1
     upto = Window.partitionBy("key", "salt").orderBy("doc", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    entry = F.when(own, F.struct("doc", F.shiftright("at", 1).alias("at"), "bag"))
+    entry = F.when(own, F.struct("doc", F.shiftright("at", 1).alias("at"), "length"))
     met = rows.withColumns({"seen": F.count(F.when(own, 1)).over(upto)} | {f"e{i}": F.nth_value(entry, i, True).over(upto) for i in range(1, leaders + 1)})
-    place, mine = F.struct("doc", "at"), F.shiftright("at", 1)
+    mine = F.shiftright("at", 1)
 
     def partner(e: str) -> Column:
         earlier = (F.col(f"{e}.doc") < F.col("doc")) | ((F.col(f"{e}.doc") == F.col("doc")) & (F.col(f"{e}.at") < mine))
-        return F.when(earlier & may_be_near(F.col("bag"), F.col(f"{e}.bag"), edits), F.struct(F.col(f"{e}.doc").alias("doc"), F.col(f"{e}.at").alias("at")))
+        return F.when(earlier & (F.abs(F.col("length") - F.col(f"{e}.length")) <= edits), F.struct(F.col(f"{e}.doc").alias("doc"), F.col(f"{e}.at").alias("at")))
 
     met = met.withColumn("hot", F.col("salt") > 0).withColumns({f"p{i}": partner(f"e{i}") for i in range(1, leaders + 1)})
     kept = met.where(F.col("hot") | (F.col("seen") > leaders) | F.coalesce(*[f"p{i}" for i in range(1, leaders + 1)]).isNotNull())
-    found = work.write(kept.select("key", "doc", "at", "bag", "hot", F.when(F.col("hot"), 0).otherwise(F.col("seen")).alias("seen"), F.array_compact(F.array(*[f"p{i}" for i in range(1, leaders + 1)])).alias("partners")), "met")
+    found = work.write(kept.select("key", "doc", "at", "length", "hot", F.when(F.col("hot"), 0).otherwise(F.col("seen")).alias("seen"), F.array_compact(F.array(*[f"p{i}" for i in range(1, leaders + 1)])).alias("partners")), "met")
     work.release()
     pairs = found.where("NOT hot").select("doc", mine.alias("at"), F.explode("partners").alias("p")).select("doc", "at", F.col("p.doc").alias("near_doc"), F.col("p.at").alias("near_at")).distinct()
-    crowd = found.where((F.col("seen") > leaders) | F.col("hot")).select("key", "doc", mine.alias("at"), "bag", own.alias("own"))
+    crowd = found.where((F.col("seen") > leaders) | F.col("hot")).select("key", "doc", mine.alias("at"), "length", own.alias("own"))
     rounds = crowd.limit(1).count() > 0
     wanted = found.select("doc", mine.alias("at")).union(pairs.select(F.col("near_doc").alias("doc"), F.col("near_at").alias("at"))).distinct()
     wanted = work.write(wanted, "wanted")
-    texts = work.write(distinct.join(F.broadcast(wanted) if small_enough(wanted) else wanted, ["doc", "at"], "left_semi").select("doc", "at", "line"), "texts")
+    texts = work.write(distinct.join(F.broadcast(wanted) if small_enough(wanted) else wanted, ["doc", "at"], "left_semi").select("doc", "at", "line").withColumn("bag", bag(F.col("line"))), "texts")
     best = work.write(_verified(pairs, texts, edits), "near-0")
     targets, taken, k = crowd, 0, 0
     while rounds:
         # the crowd of a key has its entries after the first `leaders`, or all of a hot key
-        most, k = max(leaders, taken * GROWTH), k + 1
+        most, k = GROWTH * max(1, taken), k + 1
         rank = F.row_number().over(Window.partitionBy("key").orderBy("doc", "at"))
-        lead = crowd.where("own").withColumn("r", rank).where((F.col("r") <= most) & (F.col("r") > taken)).select("key", F.col("doc").alias("near_doc"), F.col("at").alias("near_at"), F.col("bag").alias("near_bag"))
+        lead = crowd.where("own").withColumn("r", rank).where((F.col("r") <= most) & (F.col("r") > taken)).select("key", F.col("doc").alias("near_doc"), F.col("at").alias("near_at"), F.col("length").alias("near_length"))
         lead = work.write(lead, f"leaders-{k}")
         first = lead.groupBy("key").agg(F.min(F.struct("near_doc", "near_at")).alias("first"))
         limit = F.coalesce("limit", F.struct(F.col("doc").alias("near_doc"), F.col("at").alias("near_at"))).alias("limit")
-        so_far = targets.join(best.select("doc", "at", F.struct("near_doc", "near_at").alias("limit")), ["doc", "at"], "left").select("key", "doc", "at", "bag", limit)
+        so_far = targets.join(best.select("doc", "at", F.struct("near_doc", "near_at").alias("limit")), ["doc", "at"], "left").select("key", "doc", "at", "length", limit)
         targets = work.write(so_far.join(first, "key").where("first < limit").drop("first"), f"targets-{k}")  # later entries are no use to the others
         if not targets.limit(1).count():
             break
-        step = targets.join(F.broadcast(lead) if small_enough(lead) else lead, "key").where((F.struct("near_doc", "near_at") < F.col("limit")) & may_be_near(F.col("bag"), F.col("near_bag"), edits))
-        pairs = work.write(step.select("doc", "at", "near_doc", "near_at").distinct(), f"pairs-{k}")
-        both = best.union(_verified(pairs, texts, edits)).groupBy("doc", "at").agg(F.min(F.struct("near_doc", "near_at", "edits")).alias("b")).select("doc", "at", "b.*")
+        step = targets.join(F.broadcast(lead) if small_enough(lead) else lead, "key").where((F.struct("near_doc", "near_at") < F.col("limit")) & (F.abs(F.col("length") - F.col("near_length")) <= edits))
+        both = best.union(_verified(step.select("doc", "at", "near_doc", "near_at").distinct(), texts, edits)).groupBy("doc", "at").agg(F.min(F.struct("near_doc", "near_at", "edits")).alias("b")).select("doc", "at", "b.*")
         best = work.write(both, f"near-{k}")
         taken, targets = most, targets.drop("limit")
     return best
@@ -230,19 +224,19 @@ def near_lines(distinct: DataFrame, work: Workspace, edits: int = EDITS, least_c
 
 def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     """(doc, at, near_doc, near_at, edits): the earliest partner of each line that really lies within the edits."""
-    mine, theirs = texts.withColumnRenamed("line", "x"), texts.select(F.col("doc").alias("near_doc"), F.col("at").alias("near_at"), F.col("line").alias("y"))
-    both = pairs.join(mine, ["doc", "at"]).join(theirs, ["near_doc", "near_at"]).where(F.abs(F.length("x") - F.length("y")) <= edits)
+    mine, theirs = texts.select("doc", "at", F.col("line").alias("x"), F.col("bag").alias("bag_x")), texts.select(F.col("doc").alias("near_doc"), F.col("at").alias("near_at"), F.col("line").alias("y"), F.col("bag").alias("bag_y"))
+    both = pairs.join(mine, ["doc", "at"]).join(theirs, ["near_doc", "near_at"]).where(may_be_near(F.col("bag_x"), F.col("bag_y"), edits))
     both = both.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     close = both.select("doc", "at", "near_doc", "near_at", F.explode(F.array(_distance_of(F.col("x"), F.col("y"), edits))).alias("edits")).where("edits IS NOT NULL")
     return close.groupBy("doc", "at").agg(F.min(F.struct("near_doc", "near_at", "edits")).alias("b")).select("doc", "at", "b.*")
 
 
-def _found(rows: DataFrame, work: Workspace, edits: int, least_chars: int) -> DataFrame:
+def _found(rows: DataFrame, narrow: bool, work: Workspace, edits: int, least_chars: int) -> DataFrame:
     """(doc, at, exact, first_doc, first_at, edits): the lines that repeat an earlier one."""
     every = lines_of(rows)
-    distinct = work.write(distinct_lines(every).withColumns({"bag": bag(F.col("line")), "h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(1))}), "distinct")
+    distinct = work.write(distinct_lines(every, narrow).withColumns({"length": F.length("line"), "h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(1))}), "distinct")
     work.release()
-    near = near_lines(distinct.select("line", "doc", "at", "bag"), work, edits, least_chars)
+    near = near_lines(distinct.select("line", "length", "doc", "at"), work, edits, least_chars)
     firsts = distinct.select("h1", "h2", "doc", "at", "n").join(F.broadcast(near) if small_enough(near) else near, ["doc", "at"], "left").where("n > 1 OR near_doc IS NOT NULL")
     firsts = work.write(firsts.select("h1", "h2", F.col("doc").alias("own_doc"), F.col("at").alias("own_at"), "near_doc", "near_at", "edits"), "firsts")
     hashed = every.select("doc", "at", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
@@ -261,7 +255,8 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", edits: int
     comes first. Null keys and texts have no lines, empty tables no rows; other columns are not read. Lines of any length
     are compared as a whole.
     """
-    found = _found(rows_of(docs, text, key).drop("row"), Workspace(docs.sparkSession, "lines"), edits, least_chars)
+    rows, narrow = rows_of(docs, text, key)
+    found = _found(rows.drop("row"), narrow, Workspace(docs.sparkSession, "lines"), edits, least_chars)
     return found.select(F.col("doc").alias(key), line_no(F.col("at")).alias("line_no"), F.when(F.col("exact"), "exact").otherwise("near").alias("kind"), "first_doc", line_no(F.col("first_at")).alias("first_line"), "edits")
 
 
@@ -272,8 +267,8 @@ def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", edits
     rows that repeat a key each loses its own repeated lines.
     """
     work = Workspace(docs.sparkSession, "lines-drop")
-    rows = rows_of(docs, text, key)
-    found = _found(rows.drop("row"), work, edits, least_chars).withColumn("copy", F.col("at").bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    rows, narrow = rows_of(docs, text, key)
+    found = _found(rows.drop("row"), narrow, work, edits, least_chars).withColumn("copy", F.col("at").bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
     cut = work.write(found.groupBy("doc", "copy").agg(F.array_sort(F.collect_set(line_no(F.col("at")))).alias("cut")), "cut")
     joined = rows.join(F.broadcast(cut) if small_enough(cut) else cut, ["doc", "copy"], "left").withColumn("lines", F.when(F.col("cut").isNotNull(), F.split("text", "\n")))
     stops = F.concat("cut", F.array(F.size("lines")))
