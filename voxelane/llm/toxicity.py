@@ -9,13 +9,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, trimmed
+from .workspace import Workspace
 
-#: Hashed terms, factors of a term, labelled rows of each class at most, passes, words a worker remembers.
-TERMS, FACTORS, MOST_TOXIC, MOST_CLEAN, PASSES, REMEMBERED = 1 << 18, 8, 4000, 12_000, 6, 300_000
+#: Hashed terms, factors of a term, labelled rows of each class at most, passes, words that a task remembers.
+TERMS, FACTORS, MOST_TOXIC, MOST_CLEAN, PASSES, REMEMBERED = 1 << 18, 8, 4000, 12_000, 12, 100_000
+#: Distinct terms of the labelled rows of each class at most (a row that alone has more counts as a whole).
+MOST_TERMS = 12_000_000
+#: Deviations from chance that keep a term, or both terms of a pair; the most frequent terms, whose pairs are looked at.
+LEAST_Z, PAIR_Z, PAIRED = 4.0, 7.0, 3072
 _WORD = re.compile(r"[^\W\d_]+").findall
 
 
@@ -42,43 +47,88 @@ class Terms:
 
 @dataclass
 class Machine:
-    """score = sigmoid(bias + sum w_i + sum over pairs of <v_i, v_j>) over the terms a text has."""
+    """score = sigmoid(bias + sum w_i + sum over pairs of <v_i, v_j>) over the terms (sorted numbers) that it knows and a text has."""
 
     bias: float
+    terms: np.ndarray
     weight: np.ndarray
     factor: np.ndarray
 
-    def score(self, terms: np.ndarray) -> float:
-        terms = terms[self.weight[terms] != 0]  # the others have no factors either
-        v = self.factor[terms]
-        total = v.sum(0)
-        z = self.bias + float(self.weight[terms].sum()) + 0.5 * float((total * total).sum() - (v * v).sum())
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-
-
-def fit(rows: list[np.ndarray], labels: np.ndarray, size: int = TERMS, factors: int = FACTORS, passes: int = PASSES, rate: float = 0.1, decay: float = 1e-4, seed: int = 1, least_z: float = 4.0) -> Machine:
-    """Adagrad on the logistic loss, one text at a time, over the terms whose frequency under label 1 differs from chance
-    by least_z standard deviations; the other terms have no weight. With one label alone every score is 0 or 1."""
+    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
+        """The scores of texts, given their term numbers, all at once."""
+        flat = np.concatenate([np.zeros(0, np.int32), *rows])
+        text = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        at = np.minimum(np.searchsorted(self.terms, flat), max(0, len(self.terms) - 1))
+        use = np.flatnonzero(self.terms[at] == flat) if len(self.terms) else np.zeros(0, np.int64)
+        at, text = at[use], text[use]
+        z = self.bias + np.bincount(text, weights=self.weight[at], minlength=len(rows))
+        for v in self.factor.T:
+            one = v[at]
+            total, square = (np.bincount(text, weights=x, minlength=len(rows)) for x in (one, one * one))
+            z += 0.5 * (total * total - square)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def chosen_terms(rows: list[np.ndarray], labels: np.ndarray, size: int, least_z: float = LEAST_Z, pair_z: float = PAIR_Z, paired: int = PAIRED) -> np.ndarray:
+    """Sorted numbers of the terms worth weights: those whose frequency under label 1 differs from chance by least_z deviations,
+    and both terms of every pair whose texts have label 1 pair_z deviations more or less often than both terms make expect.
+
+    Pairs are those of the `paired` most frequent terms; what two terms make expect is the sum of their log odds. So a pair that
+    matters only as a pair is found, and one beside a telling term adds nothing.
+    """
+    n, share = len(rows), float(labels.mean())
+    flat, text = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
+    seen = np.bincount(flat, minlength=size)
+    under = np.bincount(flat, weights=labels[text], minlength=size)
+    kept = np.abs(under - seen * share) > least_z * np.sqrt(seen * share * (1 - share))
+    often = np.argsort(-seen, kind="stable")[:paired]
+    often = np.sort(often[(seen[often] >= 16) & (seen[often] < n)])
+    if len(often):
+        odds = lambda p: np.log(p / (1 - p))
+        own = odds((under[often] + share) / (seen[often] + 1)) - odds(share)
+        at = np.searchsorted(often, flat)
+        use = np.flatnonzero(often[np.minimum(at, len(often) - 1)] == flat)
+        has = np.zeros((n, len(often)), bool)
+        has[text[use], at[use]] = True
+        has = has[np.argsort(-labels, kind="stable")]
+        toxic = int(labels.sum())
+        for a in range(0, len(often), 256):
+            both, bad = np.zeros((min(256, len(often) - a), len(often) - a), np.float32), None
+            for lo, hi in ((0, toxic), (toxic, n)):  # those of label 1 first
+                for b in range(lo, hi, 2048):
+                    part = has[b : min(hi, b + 2048), a:].astype(np.float32)
+                    both += part[:, :256].T @ part
+                bad = both.copy() if bad is None else bad
+            expect = 1 / (1 + np.exp(-(odds(share) + own[a : a + 256, None] + own[None, a:])))
+            room = both * expect * (1 - expect)
+            far = (np.abs(bad - both * expect) > pair_z * np.sqrt(room)) & (room >= 4)
+            far[np.tril_indices(len(far), 0, len(often) - a)] = False
+            i, j = np.nonzero(far)
+            kept[often[a + i]] = kept[often[a + j]] = True
+    return np.flatnonzero(kept).astype(np.int32)
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, size: int = TERMS, factors: int = FACTORS, passes: int = PASSES, rate: float = 0.15, decay: float = 1e-4, seed: int = 1, **choice: float) -> Machine:
+    """Adagrad on the logistic loss, one text at a time, over the terms that chosen_terms() picks. With one label alone, or
+    without rows, every score is near 0 or 1 and no term counts."""
     share = float(labels.mean()) if len(labels) else 0.0
-    weight, factor = np.zeros(size, np.float32), np.zeros((size, factors), np.float32)
     if share in (0.0, 1.0):
-        return Machine(30.0 if share else -30.0, weight, factor)
-    seen = np.bincount(np.concatenate(rows), minlength=size)
-    under = np.bincount(np.concatenate([r for r, y in zip(rows, labels) if y]), minlength=size)
-    kept = np.abs(under - seen * share) > least_z * np.sqrt(seen * share * (1 - share))
-    rows = [r[kept[r]] for r in rows]
+        return Machine(30.0 if share else -30.0, np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros((0, factors), np.float32))
+    terms = chosen_terms(rows, labels, size, **choice)
+    of = np.full(size, -1, np.int32)
+    of[terms] = np.arange(len(terms))
+    rows = [of[r][of[r] >= 0] for r in rows]
     rng = np.random.default_rng(seed)
-    factor[kept] = rng.normal(0, 0.01, (int(kept.sum()), factors))
-    weight[kept] = 1e-6
+    weight, factor = np.zeros(len(terms)), rng.normal(0, 0.1, (len(terms), factors))
     bias, g_bias = float(np.log(share / (1 - share))), 1.0
-    g_weight, g_factor = np.full(size, 1.0, np.float32), np.full((size, factors), 1.0, np.float32)
+    g_weight, g_factor = np.full(len(terms), 1.0), np.full((len(terms), factors), 0.1)
     for _ in range(passes):
         for i in rng.permutation(len(rows)):
             t = rows[i]
             v = factor[t]
             total = v.sum(0)
             z = bias + float(weight[t].sum()) + 0.5 * float((total * total).sum() - (v * v).sum())
-            g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[i]
+            g = 1 / (1 + np.exp(-min(30.0, max(-30.0, z)))) - labels[i]
             if abs(g) < 1e-3:
                 continue
             g_bias += g * g
@@ -89,7 +139,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, size: int = TERMS, factors:
             step = g * (total - v) + decay * v
             g_factor[t] += step * step
             factor[t] -= 0.3 * rate * step / np.sqrt(g_factor[t])
-    return Machine(bias, weight, factor)
+    return Machine(bias, terms, weight.astype(np.float32), factor.astype(np.float32))
 
 
 def remainder(key: str, parts: int = 5) -> Column:
@@ -97,50 +147,64 @@ def remainder(key: str, parts: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % parts, F.lit(-1)).cast("int")
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", where: Column | None = None, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", where: Column | None = None, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_terms: int = MOST_TERMS) -> Machine:
     """A machine fitted on a bounded sample: of the labelled keys that satisfy where, the most_toxic of label 1 and the
-    most_clean of label 0 with the least hashes. A key labelled more than once has its largest label; null keys, null
-    labels and labels without a text are left out. The driver gets the sample's term numbers, nothing else."""
+    most_clean of label 0 with the least hashes, as far as their texts have most_terms distinct terms a class in all.
+
+    A key labelled more than once has its largest label; null keys, null labels and labels without a text are left out; a text
+    that is null counts as empty, and rows that repeat a key count each. The driver gets the sample's term numbers, nothing else.
+    """
     ship(docs.sparkSession)
+    work = Workspace(docs.sparkSession, "toxicity")
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
     known = (known.where(where) if where is not None else known).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_label"))
     least = lambda value, n: known.where(F.col("_label") == value).orderBy(F.xxhash64("_key"), "_key").limit(n)
-    chosen = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(least(1, most_toxic).union(least(0, most_clean))), "_key")
+    texts = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    chosen = texts.join(F.broadcast(least(1, most_toxic).union(least(0, most_clean))), "_key")  # at most 16,000 keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([terms.of(x.as_py()).tobytes() for x in batch.column(2)], pa.binary())], names=["k", "label", "terms"])
+            found = [terms.of(x.as_py()) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["k", "label", "n", "terms"])
 
-    rows = chosen.select("_key", "_label", "text").mapInArrow(run, f"k {docs.schema[key].dataType.simpleString()}, label int, terms binary").collect()
+    found = work.write(chosen.select("_key", "_label", "text").mapInArrow(trimmed(run), f"k {docs.schema[key].dataType.simpleString()}, label int, n long, terms binary"), "sample")
+    before = F.sum("n").over(Window.partitionBy("label").orderBy(F.xxhash64("k"), "k", F.xxhash64("terms")).rowsBetween(Window.unboundedPreceding, -1))
+    rows = found.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < most_terms).select("k", "label", "terms").collect()
+    work.drop()
     rows.sort(key=lambda r: (str(r.k), bytes(r.terms)))
     return fit([np.frombuffer(bytes(r.terms), np.int32) for r in rows], np.array([r.label for r in rows], np.float64))
 
 
+def _scored(machine: Machine, texts: pa.Array, terms: Terms) -> np.ndarray:
+    """The scores of a column of texts, some at a time."""
+    parts = [machine.scores([terms.of(x.as_py()) for x in texts[at : at + 256]]) for at in range(0, len(texts), 256)]
+    return np.concatenate([np.zeros(0), *parts])
+
+
 def score(docs: DataFrame, machine: Machine, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, score): the score of every whole text; null and empty texts have that of no terms."""
-    context = docs.sparkSession.sparkContext
+    """(key, score): the score of every whole text; null and empty texts have that of no terms. Rows repeated, or without a key,
+    give their row like any other."""
     ship(docs.sparkSession)
-    shared = context.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, m = Terms(), shared.value
+        terms = Terms()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.score(terms.of(x.as_py())) for x in batch.column(1)], pa.float64())], names=["key", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scored(machine, batch.column(1), terms))], names=["key", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(trimmed(run), f"key {kind}, score double").withColumnRenamed("key", key)
 
 
 def reject(docs: DataFrame, machine: Machine, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs without the rows that score the threshold or more; columns as before, whole rows scored in place."""
-    spark = docs.sparkSession
-    ship(spark)
-    shared, schema, at = spark.sparkContext.broadcast(machine), docs.schema, docs.columns.index(text)
+    """docs without the rows that score the threshold or more; columns as before, whole rows scored in place. A null text scores
+    as an empty one and its row stays or goes by that; keys are not looked at."""
+    ship(docs.sparkSession)
+    schema, at = docs.schema, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, m = Terms(), shared.value
+        terms = Terms()
         for batch in batches:
-            yield batch.filter(pa.array([m.score(terms.of(x.as_py())) < threshold for x in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array(_scored(machine, batch.column(at), terms) < threshold))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
