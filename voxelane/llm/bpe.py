@@ -12,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, trimmed
 
 # Unicode white space, and the pre-token pattern of byte-level BPE files.
 SPACE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Pieces remembered by a worker, and the longest piece worth remembering.
-REMEMBERED, LONGEST = 300_000, 48
+#: Pieces that a task remembers (some 25 MB), the longest piece worth remembering, and pairs of tokens (some 30 MB).
+REMEMBERED, LONGEST, PAIRS = 100_000, 48, 300_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -34,6 +34,9 @@ class Codec:
     Tokens are numbered by rank: the 256 bytes first, then the results of the merges in order. For every prefix of a piece
     there is exactly one token that the encoding of that prefix ends with; it is the one token, among those that match a
     suffix of the prefix, that may follow the last token of the shorter prefix.
+
+    Served are files whose pre-tokens are PATTERN's (the library fixes that pattern, not the file), whose merges make each token in
+    one way (another raises ValueError) and whose added tokens are matched as they stand, without flags for neighbouring spaces.
     """
 
     def __init__(self, path: str):
@@ -60,7 +63,10 @@ class Codec:
             order.append(a + b)
         self.ids = [vocab[t] for t in order]
         self.bytes_of: dict[int, bytes] = {vocab[t]: raw[t] for t in order}
-        self.specials = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        if any(x.get(flag) for x in added for flag in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that take in neighbouring spaces, or stand as single words, are not served")
+        self.specials = {x["content"]: x["id"] for x in added}
         self.bytes_of |= {i: t.encode() for t, i in self.specials.items()}
         self.matcher = ahocorasick.Automaton()
         for k, t in enumerate(order):
@@ -90,7 +96,7 @@ class Codec:
         key = a << 20 | b
         found = self.fits.get(key)
         if found is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) >= PAIRS:
                 self.fits.clear()
             found = self.fits[key] = self._may_follow(a, b)
         return found
@@ -128,17 +134,33 @@ class Codec:
                 out += [get(p) or missing(p) for p in self.pieces(part)]
         return list(chain.from_iterable(out))
 
+    def forget(self) -> None:
+        """Drop what was remembered of pieces and pairs."""
+        self.known, self.fits = {}, {}
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids, special tokens included; unknown ids give nothing, stray bytes the replacement character."""
         none: dict = self.bytes_of
         return b"".join([none.get(i, b"") for i in ids]).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _forgetting(vocabulary: str, run):
+    """run, after which the worker keeps the vocabulary but nothing that it remembered."""
+
+    def and_forget(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            codec(vocabulary).forget()
+
+    return trimmed(and_forget)
+
+
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, ids array<int>): the token ids of every whole text; null and empty texts have none."""
     ship(docs.sparkSession)
@@ -151,7 +173,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["key", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(_forgetting(vocabulary, run), f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
@@ -188,4 +210,4 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, text: str = "text", key
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(_forgetting(vocabulary, run), f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
