@@ -1,4 +1,10 @@
-"""Exact top-k inner products by an M-tree: pages of metric nodes searched best first."""
+"""Exact top-k inner products by an M-tree: recursively routed pages of metric nodes, searched best first.
+
+Rows are dealt to routing objects, those of full nodes to further ones, until every node fits a page; nodes are rows of a table with
+their routing object, covering radius, largest norm and distance to the parent's object, and so are pages, whose leaves have the
+same. A query goes down the table level by level and keeps a queue of the pages that may still hold one of its best; rounds open
+the first of each queue, then more, and drop what the scores found so far rule out.
+"""
 
 from __future__ import annotations
 
@@ -11,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .workspace import Workspace
+from ..session import ship, trimmed
+from .workspace import Workspace, small_enough
 
-#: Rows of a page and of a leaf, queries searched together, routing objects of the top level, rows they are chosen from.
-PAGE_ROWS, LEAF_ROWS, BLOCK, ROUTES, SAMPLE = 2048, 64, 512, 256, 2048
+#: Rows of a page and of a leaf, queries searched together, routing objects of a node at most, rows that they are chosen from.
+PAGE_ROWS, LEAF_ROWS, BLOCK, FAN, SAMPLE = 2048, 64, 512, 64, 512
+#: Rows dealt to routing objects in one group, rows whose scores give a query its first floor, growth of the pages opened a round.
+DEALT, FLOOR_ROWS, GROWTH = 32_768, 2048, 3
 SLACK = 1e-6
 
 
@@ -51,9 +59,10 @@ def spread(points: np.ndarray, k: int) -> np.ndarray:
     return np.array(chosen)
 
 
-def build_page(ids: np.ndarray, vectors: np.ndarray, route: np.ndarray) -> dict[str, np.ndarray]:
+def build_page(ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray) -> dict[str, np.ndarray]:
     """The nodes of one page: for each leaf a routing object, covering radius, largest norm and distance to the page's
-    routing object; for each entry the distance to its leaf's routing object."""
+    middle; for each entry the distance to its leaf's routing object."""
+    route = np.rint(vectors.mean(0)).astype(np.int64)
     members: list[np.ndarray] = []
     todo = [np.arange(len(ids))]
     while todo:
@@ -71,18 +80,19 @@ def build_page(ids: np.ndarray, vectors: np.ndarray, route: np.ndarray) -> dict[
     to_leaf = np.concatenate([_distances(vectors[m], centers[k : k + 1])[:, 0] for k, m in enumerate(members)])
     norm = np.sqrt((vectors[order].astype(np.float64) ** 2).sum(1))
     begins = np.r_[0, stops[:-1]]
-    return {"ids": ids[order], "vectors": vectors[order], "norm": norm, "to_leaf": to_leaf, "stops": stops, "centers": centers, "radius": np.maximum.reduceat(to_leaf, begins), "norm_max": np.maximum.reduceat(norm, begins), "to_page": _distances(centers, route[None])[:, 0], "route": route}
+    return {"ids": ids[order], "copies": copies[order], "vectors": vectors[order], "norm": norm, "to_leaf": to_leaf, "stops": stops, "centers": centers, "radius": np.maximum.reduceat(to_leaf, begins), "norm_max": np.maximum.reduceat(norm, begins), "to_page": _distances(centers, route[None])[:, 0], "route": route}
 
 
-def search_page(page: dict[str, np.ndarray], queries: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query index, vec_id, score) of up to k best entries for each query with scores of at least its floor.
+def search_page(page: dict[str, np.ndarray], queries: np.ndarray, own: np.ndarray, own_copy: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query index, vec_id, copy, score) of up to k best entries for each query with scores of at least its floor.
 
     A score is (|q|^2 + |x|^2 - d(q, x)^2) / 2, so a lower bound on a distance gives an upper bound on a score. Leaves are
     opened in order of their best bound; the stored distances to parents give bounds without computing distances.
     """
     q = queries.astype(np.float64)
     q2 = (q * q).sum(1)
-    best, who = np.full((len(q), k), np.iinfo(np.int64).min), np.full((len(q), k), np.iinfo(np.int64).max)
+    none = np.iinfo(np.int64).max
+    best, who, which = np.full((len(q), k), -none - 1), np.full((len(q), k), none), np.full((len(q), k), none)
     floor = floor.astype(np.float64).copy()
     slack = SLACK * (1 + q2 + float(page["norm"].max(initial=0)) ** 2)
     bound = lambda far, norm, rows: (q2[rows, None] + norm**2 - np.maximum(far, 0) ** 2) / 2 + slack[rows, None]
@@ -103,107 +113,232 @@ def search_page(page: dict[str, np.ndarray], queries: np.ndarray, own: np.ndarra
         rows, may = rows[may.any(1)], None
         if not len(cols) or not len(rows):
             continue
-        ids = page["ids"][a:b][cols]
+        ids, copies = page["ids"][a:b][cols], page["copies"][a:b][cols]
         score = _dot(queries[rows], page["vectors"][a:b][cols])
-        valid = (ids[None] != own[rows, None]) & (score >= floor[rows, None])
+        valid = ((ids[None] != own[rows, None]) | (copies[None] != own_copy[rows, None])) & (score >= floor[rows, None])
         hit = valid.any(1)
         rows, score, valid = rows[hit], score[hit], valid[hit]
         if not len(rows):
             continue
-        s = np.concatenate([best[rows], np.where(valid, score, np.iinfo(np.int64).min)], 1)
-        w = np.concatenate([who[rows], np.where(valid, ids[None], np.iinfo(np.int64).max)], 1)
-        top = np.lexsort((w, ~s), axis=1)[:, :k]
-        best[rows], who[rows] = np.take_along_axis(s, top, 1), np.take_along_axis(w, top, 1)
-        full = who[rows, -1] != np.iinfo(np.int64).max
+        s = np.concatenate([best[rows], np.where(valid, score, -none - 1)], 1)
+        w, c = (np.concatenate([old[rows], np.where(valid, new[None], none)], 1) for old, new in ((who, ids), (which, copies)))
+        top = np.lexsort((c, w, ~s), axis=1)[:, :k]
+        best[rows], who[rows], which[rows] = (np.take_along_axis(x, top, 1) for x in (s, w, c))
+        full = which[rows, -1] != none
         floor[rows] = np.where(full, np.maximum(floor[rows], best[rows, -1]), floor[rows])
-    at, col = np.nonzero(who != np.iinfo(np.int64).max)
-    return at, who[at, col], best[at, col]
+    at, col = np.nonzero(which != none)
+    return at, who[at, col], which[at, col], best[at, col]
 
 
-def _matrix(column: pa.Array, n: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.int64)
+def _matrix(packed) -> np.ndarray:
+    """Vectors of packed longs, a row each."""
+    packed = list(packed)
+    return np.frombuffer(b"".join(packed), np.int64).reshape(len(packed), -1)
 
 
 def quantised(frame: DataFrame, vector: str, key: str, scale: int) -> DataFrame:
-    """(id, v): floor(scale * x) as longs; rows with a null key, or null, empty or non-finite vectors, are left out."""
+    """(id, copy, v): floor(scale * x) as longs; rows with a null key, or null, empty or non-finite vectors, are left out. copy numbers
+    the rows that repeat an id, in order of their vectors."""
     x = F.col(vector)
     finite = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     v = F.transform(x, lambda c: F.floor(c.cast("double") * F.lit(float(scale))).cast("long"))
-    return frame.where(finite & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), v.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    rows = frame.where(finite & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), v.alias("v"))
+    if not rows.groupBy("id").count().where("count > 1").limit(1).count():
+        return rows.select("id", F.lit(0).cast("long").alias("copy"), "v")
+    return rows.select("id", (F.row_number().over(Window.partitionBy("id").orderBy("v")) - 1).cast("long").alias("copy"), "v")
 
 
 def top_k(frame: DataFrame, is_query: str, k: int = 10, vector: str = "embedding", key: str = "vec_id", scale: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row that satisfies is_query (SQL over id), its k largest inner products
     with the vectors of all other rows, ties to the smaller id.
 
-    Every row is indexed; only the routing objects come from a sample (the SAMPLE rows of least hash), whose scores also
-    give each query a first floor. Rows of one id count once, as the least of their vectors. Vectors of unequal length
-    never meet. Longs must hold the scaled components and the scores. An empty table gives an empty result.
+    Every row is indexed; only routing objects, and the scores that give a query its first floor, come from samples of least
+    hash. Rows that repeat an id are queries and candidates each for themselves. Vectors of unequal length never meet. Longs
+    must hold the scaled components and the scores. An empty table gives an empty result; other columns are not read.
     """
     spark = frame.sparkSession
     ship(spark)
     work = Workspace(spark, "mtree")
-    rows = work.write(quantised(frame, vector, key, scale).withColumn("dim", F.size("v")), "rows")
-    out = "query_id long, rank int, vec_id long, score long"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, at = batch.column(3).flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(batch.column(2).to_numpy())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["id", "copy", "dim", "v"])
+
+    rows = quantised(frame, vector, key, scale).select("id", "copy", F.size("v").alias("dim"), "v")
+    rows = work.write(rows.mapInArrow(pack, "id long, copy long, dim int, v binary"), "rows")
     found = None
     for dim in [r.dim for r in rows.select("dim").distinct().collect()]:  # a few lengths at most
-        one = _top_k(rows.where(F.col("dim") == dim).select("id", "v"), is_query, k, Workspace(spark, f"mtree-{dim}"))
+        one = search(*build(rows.where(F.col("dim") == dim).select("id", "copy", "v"), Workspace(spark, f"mtree-{dim}")), is_query, k)[0]
         found = one if found is None else found.union(one)
-    return found if found is not None else spark.createDataFrame([], out)
+    return found if found is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
 
-def _top_k(rows: DataFrame, is_query: str, k: int, work: Workspace) -> DataFrame:
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
-    s_ids, s_vec = sample["id"].to_numpy(np.int64), np.array(sample["v"].tolist(), np.int64)
-    total = rows.count()
-    routes = s_vec[spread(s_vec, max(1, min(ROUTES, total // PAGE_ROWS)))]
+DEAL = "id long, copy long, v binary, node long, router binary, d double, norm double"
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                near = _distances(_matrix(batch.column(1), batch.num_rows), routes).argmin(1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int64())], names=["id", "v", "route"])
 
-    placed = work.write(rows.select("id", "v").mapInArrow(assign, "id long, v array<long>, route long"), "placed")
-    sizes = {r.route: r.n for r in placed.groupBy("route").agg(F.count("*").alias("n")).collect()}  # at most ROUTES rows
-    cut = F.element_at(F.create_map(*[F.lit(x).cast("long") for r, n in sizes.items() for x in (r, -(-n // PAGE_ROWS))]), F.col("route"))
+def _hash(a: np.ndarray, b: np.ndarray, c: int) -> np.ndarray:
+    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(c)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(1)).astype(np.int64)
+
+
+def _distance_to(v: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return _distances(v, one[None])[:, 0]
+
+
+def build(rows: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame | None, DataFrame, Workspace]:
+    """(rows, nodes, pages): the tree over rows (id, copy, v), whose root is node 0.
+
+    nodes: (node, parent, router, to_parent, radius, norm, leaf) below the root; None if the root is the one page. pages: (node, data).
+    A round deals the rows of all nodes above PAGE_ROWS to routing objects, chosen from SAMPLE of the node's rows; where all of
+    those are equal, by hash. Groups of DEALT rows and their node's objects meet in one task.
+    """
+    placed, nodes, level = rows.withColumns({"node": F.lit(0).cast("long"), "router": F.lit(None).cast("binary")}), None, 0
+    done = None
+    while True:
+        sizes = work.write(placed.groupBy("node").agg(F.count("*").alias("n"), F.first("router").alias("router")), f"sizes-{level}")
+        full = sizes.where(F.col("n") > PAGE_ROWS)
+        more = full.limit(1).count() > 0
+        if nodes is not None:
+            nodes = nodes.join(full.select("node", F.lit(False).alias("inner")), "node", "left").withColumn("leaf", F.col("leaf") & F.col("inner").isNull()).drop("inner")
+        here = placed.join(full.select("node"), "node", "left_anti").select("id", "copy", "v", "node")
+        done = here if done is None else done.union(here)
+        if not more:
+            break
+        own = placed.drop("router").join(F.broadcast(full) if small_enough(full) else full, "node")
+        least = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("id", "copy"), "id", "copy"))
+        sample = own.withColumn("r", least).where(F.col("r") <= SAMPLE)
+
+        def choose(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            v, n = _matrix(pdf.sort_values("r")["v"]), int(pdf["n"].iloc[0])
+            k = min(FAN, max(2, -(-2 * n // PAGE_ROWS)))
+            found = v[spread(v, k)]
+            if len(found) == 1:
+                found = np.repeat(found, k, 0)
+            up = pdf["router"].iloc[0]
+            to = _distance_to(found, np.frombuffer(up, np.int64)) if up is not None else np.zeros(len(found))
+            return pd.DataFrame({"parent": int(key[0]), "node": int(key[0]) * FAN + 1 + np.arange(len(found)), "router": [x.tobytes() for x in found], "to_parent": to, "parts": -(-n // DEALT)})
+
+        routers = work.write(sample.groupBy("node").applyInPandas(choose, "parent long, node long, router binary, to_parent double, parts long"), f"routers-{level}")
+
+        def deal(left: pd.DataFrame, right: pd.DataFrame, depth: int = level) -> pd.DataFrame:
+            right = right.sort_values("node")
+            v, r, child = _matrix(left["v"]), _matrix(right["router"]), right["node"].to_numpy(np.int64)
+            d = _distances(v, r)
+            at = d.argmin(1)
+            if (r == r[0]).all():
+                at = _hash(left["id"].to_numpy(np.int64), left["copy"].to_numpy(np.int64), depth) % len(r)
+            norm = np.sqrt((v.astype(np.float64) ** 2).sum(1))
+            return pd.DataFrame({"id": left["id"], "copy": left["copy"], "v": left["v"], "node": child[at], "router": [right["router"].iloc[i] for i in at], "d": d[np.arange(len(v)), at], "norm": norm})
+
+        parts = F.ceil(F.col("n") / DEALT).cast("long")
+        mine = own.select("id", "copy", "v", "node", F.pmod(F.xxhash64("id", "copy", F.lit(level)), parts).alias("part"))
+        theirs = routers.select(F.col("parent"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "node", "router")
+        dealt = mine.groupBy("node", "part").cogroup(theirs.groupBy("parent", "part")).applyInPandas(_both(deal, DEAL), DEAL)
+        dealt = work.write(dealt, f"dealt-{level}")
+        stats = dealt.groupBy("node").agg(F.max("d").alias("radius"), F.max("norm").alias("norm"))
+        fresh = routers.join(stats, "node").select("node", "parent", "router", "to_parent", "radius", "norm", F.lit(True).alias("leaf"))
+        nodes = work.write(fresh if nodes is None else nodes.union(fresh), f"nodes-{level}")
+        placed, level = dealt.drop("d", "norm"), level + 1
 
     def page(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        p = build_page(pdf["id"].to_numpy(np.int64), np.array(pdf["v"].tolist(), np.int64), routes[key[0]])
-        far = float((p["to_page"] + p["radius"]).max())
-        return pd.DataFrame({"page": [key[0] << 40 | key[1]], "route": [key[0]], "far": [far], "norm_max": [float(p["norm_max"].max())], "data": [_pack(**p)]})
-
-    pages = work.write(placed.withColumn("part", F.pmod(F.xxhash64("id"), cut)).groupBy("route", "part").applyInPandas(page, "page long, route long, far double, norm_max double, data binary"), "pages")
-    directory = pages.select("page", "route", "far", "norm_max").toPandas()  # four numbers for PAGE_ROWS rows
-    blocks = rows.where(is_query).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-total // (BLOCK * 100))))))
-
-    def ask(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, q = pdf["id"].to_numpy(np.int64), np.array(pdf["v"].tolist(), np.int64)
-        score = _dot(q, s_vec).astype(np.float64)
-        score[ids[:, None] == s_ids[None]] = -np.inf
-        floor = -np.partition(-score, k - 1, 1)[:, k - 1] if score.shape[1] >= k else np.full(len(q), -np.inf)
-        qn = np.sqrt((q.astype(np.float64) ** 2).sum(1))
-        to_route = _distances(q, routes)
-        out = []
-        for page, route, far, norm in directory.itertuples(index=False):
-            lower = np.maximum(to_route[:, route] - far, 0)
-            upper = (qn**2 + norm**2 - lower**2) / 2 + SLACK * (1 + qn**2 + norm**2)
-            use = np.flatnonzero(upper >= floor)
-            for at in range(0, len(use), BLOCK):
-                u = use[at : at + BLOCK]
-                out.append((page, _pack(q=q[u], ids=ids[u], floor=floor[u])))
-        return pd.DataFrame(out, columns=["page", "asked"])
-
-    asked = blocks.groupBy("block").applyInPandas(ask, "page long, asked binary")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pdf = pdf.sort_values(["id", "copy"])
+        data = build_page(pdf["id"].to_numpy(np.int64), pdf["copy"].to_numpy(np.int64), _matrix(pdf["v"]))
+        return pd.DataFrame({"node": [int(key[0])], "data": [_pack(**data)]})
+
+    pages = work.write(done.groupBy("node").applyInPandas(page, "node long, data binary"), "pages")
+    return rows, None if nodes is None else work.write(nodes, "nodes"), pages, work
+
+
+def search(rows: DataFrame, nodes: DataFrame | None, pages: DataFrame, work: Workspace, is_query: str, k: int) -> tuple[DataFrame, int]:
+    """((query_id, rank, vec_id, score), pages opened in all) of every row that satisfies is_query."""
+    sample = rows.orderBy(F.xxhash64("id", "copy"), "id", "copy").limit(FLOOR_ROWS).toPandas()
+    s_ids, s_copies, s_vec = sample["id"].to_numpy(np.int64), sample["copy"].to_numpy(np.int64), _matrix(sample["v"])
+    asking = rows.where(is_query)
+    slots = max(1, -(-asking.count() // BLOCK))
+
+    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                some = batch.slice(at, BLOCK)
+                ids, copies = (some.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                score = _dot(_matrix(some.column(2).to_pylist()), s_vec).astype(np.float64)
+                score[(ids[:, None] == s_ids[None]) & (copies[:, None] == s_copies[None])] = -np.inf
+                floor = -np.partition(-score, k - 1, 1)[:, k - 1] if score.shape[1] >= k else np.full(len(ids), -np.inf)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(floor)], names=["id", "copy", "v", "floor"])
+
+    queries = work.write(asking.select("id", "copy", "v").mapInArrow(floors, "id long, copy long, v binary, floor double"), "queries")
+    # a row a query and node: far is the distance to the node's routing object, upper bounds the scores below it
+    at_root = queries.select(F.lit(0).cast("long").alias("node"), "id", "copy", "v", "floor", F.lit(float("inf")).alias("upper"), F.lit(0.0).alias("far"))
+    queue, step = at_root, 0
+    if nodes is not None:
+        slot = F.pmod(F.xxhash64("id", "copy"), F.lit(slots))
+        children = nodes.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+        inner, queue = at_root, None
+
+        def descend(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            q = _matrix(left["v"])
+            q2, far, floor = (q.astype(np.float64) ** 2).sum(1), left["far"].to_numpy(), left["floor"].to_numpy()
+            out = []
+            for c in right.itertuples(index=False):
+                slack = SLACK * (1 + q2 + c.norm**2)
+                bound = lambda lower, rows_: (q2[rows_] + c.norm**2 - np.maximum(lower, 0) ** 2) / 2 + slack[rows_]  # noqa: B023, E731
+                use = np.arange(len(q))
+                if c.parent:  # the stored distance to the parent's object rules out without computing one
+                    use = np.flatnonzero(bound(np.abs(far - c.to_parent) - c.radius, use) >= floor)
+                d = _distance_to(q[use], np.frombuffer(c.router, np.int64))
+                upper = bound(d - c.radius, use)
+                keep = upper >= floor[use]
+                one = left.iloc[use[keep]][["id", "copy", "v", "floor"]]
+                out.append(one.assign(node=c.node, upper=upper[keep], far=d[keep], leaf=c.leaf))
+            return pd.concat(out)[["node", "id", "copy", "v", "floor", "upper", "far", "leaf"]]
+
+        while True:
+            asked = inner.withColumn("slot", slot).groupBy("node", "slot")
+            below = asked.cogroup(children.groupBy("parent", "slot")).applyInPandas(_both(descend, "node long, id long, copy long, v binary, floor double, upper double, far double, leaf boolean"), "node long, id long, copy long, v binary, floor double, upper double, far double, leaf boolean")
+            below = work.write(below, f"below-{step}")
+            leaves = below.where("leaf").drop("leaf")
+            queue = leaves if queue is None else queue.union(leaves)
+            inner, step = below.where("NOT leaf").drop("leaf"), step + 1
+            if not inner.limit(1).count():
+                break
+    best, opened, most, turn = None, 0, 1, 0
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, q in zip(batch.column(0), batch.column(1)):
-                a = _unpack(q.as_py())
-                at, who, score = search_page(_unpack(data.as_py()), a["q"], a["ids"], a["floor"], k)
-                yield pa.RecordBatch.from_arrays([pa.array(a["ids"][at]), pa.array(who), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-    hits = pages.select("page", "data").join(asked, "page").select("data", "asked").mapInArrow(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for data, asked in zip(batch.column(0), batch.column(1)):
+                a = asked.as_py()
+                ids, copies = (np.array([x[n] for x in a], np.int64) for n in ("id", "copy"))
+                at, who, which, score = search_page(_unpack(data.as_py()), _matrix([x["v"] for x in a]), ids, copies, np.array([x["floor"] for x in a]), k)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[at], copies[at], who, which, score)], names=["id", "copy", "vec_id", "vec_copy", "score"])
+
+    order = F.row_number().over(Window.partitionBy("id", "copy").orderBy(F.desc("upper"), "node"))
+    while True:
+        queue = work.write(queue.withColumn("turn", order).select("node", "id", "copy", "v", "floor", "upper", "turn"), f"queue-{turn}")
+        first = queue.where(F.col("turn") <= most)
+        here = first.count()
+        if not here:
+            break
+        opened += here
+        asked = first.groupBy("node", F.pmod(F.xxhash64("id", "copy"), F.lit(slots)).alias("slot")).agg(F.collect_list(F.struct("id", "copy", "v", "floor")).alias("asked"))
+        hits = asked.join(pages, "node").select("data", "asked").mapInArrow(trimmed(look), "id long, copy long, vec_id long, vec_copy long, score long")
+        ranked = (hits if best is None else hits.union(best.drop("rank"))).withColumn("rank", F.row_number().over(Window.partitionBy("id", "copy").orderBy(F.desc("score"), "vec_id", "vec_copy")))
+        best = work.write(ranked.where(F.col("rank") <= k).select("id", "copy", "vec_id", "vec_copy", "score", "rank"), f"best-{turn}")
+        reached = best.where(F.col("rank") == k).select("id", "copy", F.col("score").cast("double").alias("reached"))
+        left = queue.where(F.col("turn") > most).join(reached, ["id", "copy"], "left").withColumn("floor", F.greatest("floor", F.coalesce("reached", F.lit(float("-inf")))))
+        queue, turn, most = left.where("upper >= floor").drop("reached"), turn + 1, most * GROWTH
+    if best is None:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long"), 0
+    return best.select(F.col("id").alias("query_id"), "rank", "vec_id", "score"), opened
+
+
+def _both(use, schema: str):
+    """use of two groups where both have rows; else nothing."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return use(left, right) if len(left) and len(right) else pd.DataFrame({n: [] for n in names})
+
+    return run

@@ -26,7 +26,7 @@ def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Workspace(spark, 'warc').path}/archives"
     warc.write_captures(table(spark, sf_dir, "pages"), path)
-    captures = warc.transactions(warc.read_records(spark, path, payloads=False)).where("main IS NOT NULL AND request IS NOT NULL AND size(metadata) = 1")
+    captures = warc.transactions(warc.read_records(spark, path, payloads=False))
     page = lambda c: F.try_to_number(F.regexp_extract(c, "urn:x-capture:(-?[0-9]*)", 1), F.lit("S9999999999999999999")).cast("long")
     return captures.select(page("capture").alias("page_id"), "main.payload_bytes", "main.payload_digest", "main.record_type", page("main.refers_to").alias("refers_to"))
 
@@ -111,11 +111,11 @@ SQL = {
                CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN keeper END AS refers_to
         FROM g""",
     "op9_mtree": """
-        WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
-                   FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-              FROM e q JOIN e c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
-        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score FROM s)
+        WITH e AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
+                   FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.row AS query, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+              FROM e q JOIN e c ON q.vec_id % 100 = 0 AND c.row <> q.row AND len(c.v) = len(q.v)),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score FROM s)
         SELECT * FROM r WHERE "rank" <= 10""",
     "op10_line_dedup": """
         WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
