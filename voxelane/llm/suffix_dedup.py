@@ -1,8 +1,11 @@
 """Removal of long repeated substrings, by suffixes sorted with hashed comparisons.
 
-Windows of `length` bytes that are equal choose the same anchor: the place of least hash among their short grams. So only windows
-whose anchors' grams occur twice are compared, in groups of one gram: their starts are sorted as suffixes by merging, each
+Windows of `length` bytes that are equal choose the same anchor: the place of least hash among their short grams. Runs of windows
+with one anchor are contexts. Equal contexts are found by their digests and repeat as a whole; of those that share a gram but
+differ, one of each is fetched, and groups of one gram are compared: their windows are sorted as suffixes by merging, each
 comparison a binary search for the common extension over prefix hashes, and neighbours that agree on a whole window repeat.
+A gram with very many different contexts would make one long task; those are dealt again, by what classes of their windows have
+in common, then by whole windows.
 """
 
 from __future__ import annotations
@@ -16,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, trimmed
 from .workspace import Workspace, small_enough
 
 LENGTH, GRAM = 400, 64
-#: Bytes handled together, windows sorted together, bits of the filter of repeated grams (a fixed 16 MB).
-BUFFER, SORTED, FILTER_BITS = 1 << 20, 1 << 19, 27
+#: Bytes handled together, windows sorted together, different contexts of a gram that are sorted in one task at most, windows of a
+#: class of a gram with more.
+BUFFER, SORTED, HEAVY, CLASS = 1 << 20, 1 << 19, 256, 48
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -132,8 +136,31 @@ def repeated(texts: list[bytes], group: np.ndarray, offset: np.ndarray, count: n
     """For each context (windows - 1 + length bytes, its anchor at offset) which of its windows repeat.
 
     group numbers the contexts' grams; count says how often a context occurs. Windows of one group can only be equal at
-    equal distances from the anchor; they are sorted a slice of distances at a time.
+    equal distances from the anchor; they are sorted a slice of distances at a time. Should prefix hashes that agree turn out
+    to stand for different bytes, the bytes themselves are looked up.
     """
+    try:
+        return _sorted(texts, group, offset, count, length)
+    except Collision:
+        return _looked_up(texts, group, offset, count, length)
+
+
+class Collision(Exception):
+    """Equal prefix hashes of different bytes."""
+
+
+def _looked_up(texts: list[bytes], group: np.ndarray, offset: np.ndarray, count: np.ndarray, length: int) -> list[np.ndarray]:
+    """repeated() by a table of all windows' bytes."""
+    flags, seen = [np.full(len(t) - length + 1, c > 1) for t, c in zip(texts, count)], {}
+    for i, (text, g, off) in enumerate(zip(texts, group.tolist(), offset.tolist())):
+        for t in range(len(flags[i])):
+            other = seen.setdefault((g, off - t, text[t : t + length]), (i, t))
+            if other != (i, t):
+                flags[i][t] = flags[other[0]][other[1]] = True
+    return flags
+
+
+def _sorted(texts: list[bytes], group: np.ndarray, offset: np.ndarray, count: np.ndarray, length: int) -> list[np.ndarray]:
     data = np.frombuffer(b"".join(texts), np.uint8)
     size = np.array([len(t) for t in texts])
     base, windows = np.r_[0, np.cumsum(size)[:-1]], size - length + 1
@@ -178,7 +205,7 @@ def _mark(flags: list[np.ndarray], texts: list[bytes], member: np.ndarray, t: np
     for f, l in zip(new.tolist(), (np.r_[new[1:], len(i)] - 1).tolist()):
         p, q, af, al, bf = i[f], j[f], a[f], a[l], b[f]
         if texts[p][af : al + length] != texts[q][bf : bf + al - af + length]:
-            raise ValueError("prefix hashes collide; choose another base")
+            raise Collision
         flags[p][af : al + 1] = True
         flags[q][bf : bf + al - af + 1] = True
 
@@ -209,6 +236,14 @@ def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int
         yield flush()
 
 
+_HITS = "c1 long, c2 long, off long, f array<long>, t array<long>"
+
+
+def _sent(frame: DataFrame) -> DataFrame:
+    """A frame of the workspace, broadcast if its bytes allow."""
+    return F.broadcast(frame) if small_enough(frame) else frame
+
+
 def spans(docs: DataFrame, work: Workspace, text: str = "text") -> DataFrame:
     """(k1, k2, spans): for every distinct row key that has any, [from, to) bytes, unordered, that windows occurring twice
     cover. k1 and k2 are hashes of the row: xxhash64 of its text, without and with a prefix."""
@@ -226,36 +261,38 @@ def spans(docs: DataFrame, work: Workspace, text: str = "text") -> DataFrame:
             c = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2) if digest else np.zeros((0, 2), np.int64)
             d = doc[first]
             k = np.array(parts, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k[d, 0], k[d, 1], k[d, 2] + first - start[d], (anchor - first) , gram.view(np.int64), c[:, 0], c[:, 1])], names=["k1", "k2", "start", "off", "gram", "c1", "c2"])
-
-    occurs = work.write(rows.mapInArrow(place, "k1 long, k2 long, start long, off long, gram long, c1 long, c2 long"), "occurs")
-    twice = occurs.groupBy("gram").count().where("count > 1")
-    bit = F.shiftrightunsigned(F.xxhash64("gram"), 64 - FILTER_BITS)
-    words = twice.select((bit / 32).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 32).cast("int")).alias("b")).groupBy("word").agg(F.bit_or("b").alias("b"))
-    mask = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    got = words.toPandas()  # at most 2**22 words, however many grams
-    mask[got["word"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).astype(np.uint32)
-    shared = spark.sparkContext.broadcast(mask)
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+            columns = (k[d, 0], k[d, 1], k[d, 2] + first - start[d], count.astype(np.int32), (anchor - first).astype(np.int32), gram.view(np.int64), c[:, 0], c[:, 1])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["k1", "k2", "start", "n", "off", "gram", "c1", "c2"])
+
+    occurs = work.write(rows.mapInArrow(trimmed(place), "k1 long, k2 long, start long, n int, off int, gram long, c1 long, c2 long"), "occurs")
+    twice = work.write(occurs.groupBy("gram").count().where("count > 1").select("gram"), "grams")
+    # in what follows only grams that occur twice; a third of all rows may be copies of one text, so contexts are counted first
+    occurs = work.write(occurs.join(_sent(twice), "gram", "left_semi"), "occurs-twice")
+    work.drop("occurs")
+    context = ["gram", "c1", "c2", "off"]
+    contexts = occurs.groupBy(*context).agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("k1", "k2", "start", "n")])
+    contexts = work.write(contexts, "contexts")
+    work.release()
+    differ = work.write(contexts.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "differ")
+    wanted = contexts.join(_sent(differ), "gram").select("k1", "k2", F.struct("gram", "c1", "c2", "off", "start", "n", "times", (F.col("m") > HEAVY).alias("heavy")).alias("w"))
+    wanted = work.write(wanted.groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted")), "wanted")
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # rows of equal text hold the same
+        for batch in batches:
+            for i in range(batch.num_rows):
+                k = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                if k in seen:
+                    continue
+                seen.add(k)
+                raw, out = batch.column(2)[i].as_py().encode("utf-8", "surrogatepass"), batch.column(3).slice(i, 1).flatten()
+                start, n = (out.field(f).to_pylist() for f in ("start", "n"))
+                pieces = pa.array([raw[a : a + b + LENGTH - 1] for a, b in zip(start, n)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(out.field(f) for f in (*context, "times", "heavy")), pieces], names=[*context, "times", "heavy", "piece"])
 
-        filter_ = shared.value
-        for parts, data, doc in _buffers(batches):
-            first, count, anchor, gram = anchors(data, doc)
-            b = spark_xxhash64(gram) >> np.uint64(64 - FILTER_BITS)
-            use = np.flatnonzero(filter_[(b >> np.uint64(5)).astype(np.int64)] >> (b & np.uint64(31)).astype(np.uint32) & 1)
-            raw, seen = data.tobytes(), {}
-            for i in use.tolist():
-                piece = raw[first[i] : first[i] + count[i] + LENGTH - 1]
-                key = (xxhash.xxh3_128_digest(piece), int(anchor[i] - first[i]))
-                if key in seen:
-                    seen[key][3] += 1
-                else:
-                    seen[key] = [int(gram[i].view(np.int64)), key[1], piece, 1]
-            c = np.frombuffer(b"".join(k[0] for k in seen), np.int64).reshape(-1, 2)
-            v = list(zip(*seen.values())) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(v[0], pa.int64()), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(v[1], pa.int64()), pa.array(v[2], pa.binary()), pa.array(v[3], pa.int64())], names=["gram", "c1", "c2", "off", "piece", "n"])
+    some = rows.join(_sent(wanted), ["k1", "k2"]).select("k1", "k2", "text", "wanted")
+    pieces = work.write(some.mapInArrow(trimmed(fetch), "gram long, c1 long, c2 long, off int, times long, heavy boolean, piece binary"), "pieces")
+    work.release()
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
@@ -276,51 +313,95 @@ def spans(docs: DataFrame, work: Workspace, text: str = "text") -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(off, pa.int64()), pa.array(f, longs), pa.array(t, longs)], names=["c1", "c2", "off", "f", "t"])
 
         for batch in batches:
-            for g, c1, c2, off, piece, n in zip(*(x.to_pylist() for x in batch.columns)):
+            for g, c1, c2, off, n, piece in zip(*(x.to_pylist() for x in batch.columns)):
                 if g != last and size > 2 << 20:
                     yield answer()
                     held, size = {}, 0
                 last = g
-                key = (g, c1, c2, off)
-                if key in held:
-                    held[key][1] += n
-                else:
-                    held[key] = [piece, n]
+                if (g, c1, c2, off) not in held:
+                    held[g, c1, c2, off] = (piece, n)
                     size += len(piece)
         if held:
             yield answer()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.mapInArrow(contexts, "gram long, c1 long, c2 long, off long, piece binary, n long").repartition(parts, "gram").sortWithinPartitions("gram")
-    hits = work.write(dealt.mapInArrow(solve, "c1 long, c2 long, off long, f array<long>, t array<long>"), "hits")
-    cover = occurs.join(hits, ["c1", "c2", "off"]).select("k1", "k2", F.explode(F.arrays_zip("f", "t")).alias("s"), "start").select("k1", "k2", F.struct((F.col("start") + F.col("s.f")).alias("f"), (F.col("start") + F.col("s.t")).alias("t")).alias("s"))
+    dealt = pieces.where("NOT heavy").select(*context, "times", "piece").repartition(parts, "gram").sortWithinPartitions("gram")
+    hits = dealt.mapInArrow(trimmed(solve), _HITS)
+    whole = contexts.where("times > 1").select("c1", "c2", F.col("off").cast("long").alias("off"), F.array(F.lit(0).cast("long")).alias("f"), F.array((F.col("n") - 1 + LENGTH).cast("long")).alias("t"))
+    heavy = pieces.where("heavy")
+    if heavy.limit(1).count():
+        whole = whole.union(_crowded(heavy.dropDuplicates(context), work))
+    hits = work.write(hits.union(whole), "hits")
+    joined = occurs.join(_sent(hits), [occurs[c] == hits[c] for c in ("c1", "c2", "off")])
+    cover = joined.select("k1", "k2", F.explode(F.arrays_zip("f", "t")).alias("s"), "start").select("k1", "k2", F.struct((F.col("start") + F.col("s.f")).alias("f"), (F.col("start") + F.col("s.t")).alias("t")).alias("s"))
     return cover.groupBy("k1", "k2").agg(F.collect_set("s").alias("spans"))
 
 
-def spark_xxhash64(values: np.ndarray) -> np.ndarray:
-    """xxhash64 of longs as Spark computes it (seed 42)."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
-    with np.errstate(over="ignore"):
-        h = np.full(len(values), np.uint64(42) + p5 + np.uint64(8))
-        h ^= turn(values.view(np.uint64) * p2, 31) * p1
-        h = turn(h, 27) * p1 + p4
-        h = (h ^ (h >> np.uint64(33))) * p2
-        h = (h ^ (h >> np.uint64(29))) * p3
-        return h ^ (h >> np.uint64(32))
+def _crowded(pieces: DataFrame, work: Workspace) -> DataFrame:
+    """The repeated windows (c1, c2, off, f, t) of grams with very many different contexts, without a task for any one of them.
+
+    Windows at distances from their anchor fall into classes of CLASS. Contexts whose whole class has equal bytes repeat there;
+    where only what all windows of a class share is equal, the class's windows are dealt by their own digests.
+    """
+    import xxhash
 
+    pieces = work.write(pieces, "crowded")
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", keep_text: bool = False, broadcast_rows: int = 200_000) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256[, kept, spans]): every document without the bytes that a repeated window covers.
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for c1, c2, off, piece in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                n = len(piece) - LENGTH + 1
+                for q in range((off - n + 1) // CLASS, off // CLASS + 1):  # windows at t have distance off - t
+                    a, b = max(0, off - (q + 1) * CLASS + 1), min(n - 1, off - q * CLASS)
+                    first, last = off - (q + 1) * CLASS + 1, off - q * CLASS
+                    union = np.frombuffer(xxhash.xxh3_128_digest(piece[a : b + LENGTH] + bytes([a - first, last - b])), np.int64)
+                    core = np.frombuffer(xxhash.xxh3_128_digest(piece[last : first + LENGTH]), np.int64)
+                    out.append((c1, c2, off, a, b, *union.tolist(), *core.tolist()))
+            columns = list(zip(*out)) or [[]] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["c1", "c2", "off", "a", "b", "u1", "u2", "h1", "h2"])
+
+    each = work.write(pieces.select("c1", "c2", "off", "piece").mapInArrow(trimmed(classes), "c1 long, c2 long, off long, a long, b long, u1 long, u2 long, h1 long, h2 long"), "classes")
+    unions = work.write(each.groupBy("u1", "u2", "h1", "h2").agg(F.count("*").alias("m"), *[F.first(c).alias(c) for c in ("c1", "c2", "off", "a", "b")]), "unions")
+    alike = each.join(_sent(unions.where("m > 1").select("u1", "u2", "h1", "h2")), ["u1", "u2", "h1", "h2"], "left_semi")
+    alike = alike.select("c1", "c2", "off", F.array("a").alias("f"), F.array(F.col("b") + LENGTH).alias("t"))
+    shared = unions.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
+    # one context of each different class; contexts with an equal class are done, but may be what others repeat
+    open_ = unions.join(shared, ["h1", "h2"], "left_semi").groupBy("c1", "c2", "off").agg(F.collect_list(F.struct("a", "b")).alias("at"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for c1, c2, off, at, piece in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                for r in at:
+                    for t in range(r["a"], r["b"] + 1):
+                        out.append((c1, c2, off, t, *np.frombuffer(xxhash.xxh3_128_digest(piece[t : t + LENGTH]), np.int64).tolist()))
+                if len(out) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["c1", "c2", "off", "s", "w1", "w2"])
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["c1", "c2", "off", "s", "w1", "w2"])
+
+    found = pieces.join(open_, ["c1", "c2", "off"]).select("c1", "c2", "off", "at", "piece").mapInArrow(trimmed(windows), "c1 long, c2 long, off long, s long, w1 long, w2 long")
+    found = work.write(found, "crowd-windows")
+    equal = found.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
+    single = found.join(_sent(work.write(equal, "crowd-equal")), ["w1", "w2"], "left_semi").groupBy("c1", "c2", "off").agg(F.collect_list("s").alias("f"))
+    return alike.union(single.select("c1", "c2", "off", "f", F.transform("f", lambda s: s + LENGTH)))
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", keep_text: bool = False) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256, repeats[, kept, spans]): every document without the bytes that a repeated window covers.
 
     A window of LENGTH bytes repeats if it starts anywhere else too, in this or another row. Null and empty texts lose
-    nothing; rows repeated lose all of a text of LENGTH bytes or more. Rows of equal text share one answer, whatever their keys.
+    nothing; rows repeated lose all of a text of LENGTH bytes or more. Rows of equal text share one answer, whatever their keys;
+    null and repeated keys keep their rows. repeats says whether anything was removed. Other columns are not read, texts of any
+    length are read as a whole, and an empty table has no rows.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "suffix")
     hashed = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), F.col("text"))})
     found = work.write(spans(hashed, work), "spans")
-    joined = hashed.join(F.broadcast(found) if small_enough(found, broadcast_rows) else found, ["k1", "k2"], "left").select("key", "text", "spans")
+    joined = hashed.join(_sent(found), ["k1", "k2"], "left").select("key", "text", "spans")
     extra = ", kept string, spans array<struct<f:bigint,t:bigint>>" if keep_text else ""
     kind = docs.schema[key].dataType.simpleString()
 
@@ -340,9 +421,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", kee
                         kept.append(raw[end:f])
                         end = t
                     rest = b"".join([*kept, raw[end:]])
-                    out.append((len(raw), len(raw) - len(rest), len(cut), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "replace"), [{"f": f, "t": t} for f, t in cut]))
-                v = list(zip(*out)) or [[]] * 6
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + ([pa.string(), pa.list_(pa.struct([("f", pa.int64()), ("t", pa.int64())]))] if keep_text else [])
-                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(a, k) for a, k in zip(v, types))], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"][: len(types) + 1])
+                    out.append((len(raw), len(raw) - len(rest), len(cut), hashlib.sha256(rest).hexdigest(), bool(cut), rest.decode("utf-8", "replace"), [{"f": f, "t": t} for f, t in cut]))
+                v = list(zip(*out)) or [[]] * 7
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()] + ([pa.string(), pa.list_(pa.struct([("f", pa.int64()), ("t", pa.int64())]))] if keep_text else [])
+                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(a, k) for a, k in zip(v, types))], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats", "kept", "spans"][: len(types) + 1])
 
-    return joined.mapInArrow(finish, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{extra}").withColumnRenamed("key", key)
+    return joined.mapInArrow(trimmed(finish), f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats boolean{extra}").withColumnRenamed("key", key)
