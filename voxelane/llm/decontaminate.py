@@ -6,6 +6,8 @@ sentence, taken for a name. Its template is a placeholder for its type, or the w
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,12 +66,12 @@ def _path(grid: Column) -> Column:
 
 
 def _one_place(each: DataFrame, coverage: float) -> DataFrame:
-    """(doc, item, copy, covered, n, same): single alignments of enough tokens in which each slot value stands for one value.
+    """(doc, item, covered, n, same): single alignments of enough tokens in which each slot value stands for one value.
 
     Tried are each shift alone and the longest alignments, of those the one with most tokens equal to the item's own and the one
     with fewest changes of shift. None leaves out a token that meets, so one slot with another value still rejects it.
     """
-    place = ["doc", "item", "copy", "n", "row", "phase", "bucket"]
+    place = ["doc", "version", "item", "copy", "n", "phase", "bucket"]
     each = each.withColumn("s", (F.col("shift") - F.col("bucket") * BUCKET + F.col("phase") * (BUCKET // 2)).cast("int"))
     alone = each.select(*place, F.concat(F.lit("shift "), F.col("s").cast("string")).alias("way"), "spot", "iv", "dv")
     points = each.groupBy(*place).agg(F.map_from_entries(F.collect_set(F.struct((F.col("spot") * BUCKET + F.col("s")).alias("code"), F.struct("iv", "dv").alias("v")))).alias("points"))
@@ -88,7 +90,7 @@ def _one_place(each: DataFrame, coverage: float) -> DataFrame:
     way = [*place, "way"]
     values = alone.union(chosen).groupBy(*way, "iv").agg(F.count_distinct("dv").alias("values"), F.min("dv").alias("dv"), F.count_distinct("spot").alias("spots"))
     ways = values.groupBy(*way).agg(F.max(F.when(template(F.col("iv")) != F.col("iv"), F.col("values")).otherwise(1)).alias("most"), F.sum("spots").cast("int").alias("covered"), F.min(F.col("iv") == F.col("dv")).alias("same"))
-    return ways.where((F.col("most") == 1) & (F.col("covered") >= F.lit(coverage) * F.col("n"))).select("doc", "item", "copy", "covered", "n", "same")
+    return ways.where((F.col("most") == 1) & (F.col("covered") >= F.lit(coverage) * F.col("n"))).select("doc", "item", "covered", "n", "same")
 
 
 def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
@@ -98,8 +100,9 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc
     phases), cover at least the given share of the item's tokens, and each slot value of the item stands for one value
     throughout, over all hits of the bucket or along one alignment in it (repeating templates also hit at neighbouring
     offsets); the best place counts. same_slots says whether all values are the item's own. Items of fewer tokens than a
-    window never match; nor do null texts. Null keys of documents or items are left out; a key that repeats counts as one
-    with all its texts. The window table of the items is broadcast up to BROADCAST_MB and shuffled beyond.
+    window never match; nor do null texts. Null keys of documents or items are left out; of rows that repeat a key each text
+    is looked at for itself, and the key has what any of them has. Texts of any length are read as a whole; other columns
+    are not read, and empty tables give no rows. The window table of the items is broadcast up to BROADCAST_MB and shuffled beyond.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "leaks")
@@ -108,33 +111,36 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc
     targets = bench.select("item", "copy", F.size("itokens").alias("n"), _hashes(F.col("itokens")).alias("hashes")).select("item", "copy", "n", F.posexplode(_windows(F.col("hashes"), window)).alias("ipos", "h"))
     targets = work.write(targets, "windows")
     side = F.broadcast(targets) if small_enough(targets) else targets
-    probes = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), _hashes(tokens(F.col(text))).alias("hashes")).select("doc", F.posexplode(_windows(F.col("hashes"), window)).alias("dpos", "h"))
-    hits = probes.join(side, "h").select("doc", "item", "copy", "n", "ipos", (F.col("dpos") - F.col("ipos")).alias("shift"))
+    # rows that repeat a key are told apart by their text; rows of equal key and text hold the same
+    version = F.xxhash64(F.col(text).cast("string")).alias("version")
+    probes = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), version, _hashes(tokens(F.col(text))).alias("hashes")).select("doc", "version", F.posexplode(_windows(F.col("hashes"), window)).alias("dpos", "h"))
+    hits = probes.join(side, "h").select("doc", "version", "item", "copy", "n", "ipos", (F.col("dpos") - F.col("ipos")).alias("shift"))
     place = hits.withColumn("phase", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("bucket", F.floor((F.col("shift") + F.col("phase") * (BUCKET // 2)) / BUCKET))
-    found = place.groupBy("doc", "item", "copy", "n", "phase", "bucket").agg(F.collect_set("ipos").alias("at"), F.collect_set(F.struct("ipos", "shift")).alias("pairs"))
+    group = ["doc", "version", "item", "copy", "n", "phase", "bucket"]
+    found = place.groupBy(*group).agg(F.collect_set("ipos").alias("at"), F.collect_set(F.struct("ipos", "shift")).alias("pairs"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(i, i + window - 1)))))
     held = work.write(found.withColumn("covered", covered).where(F.col("covered") >= F.lit(coverage) * F.col("n")), "held")
     slotted = bench.where(F.exists("itokens", lambda t: template(t) != t)).select("item", "copy", "itokens")
-    plain = held.join(slotted.select("item", "copy"), ["item", "copy"], "left_anti").select("doc", "item", "copy", "covered", "n", F.lit(True).alias("same"))
+    plain = held.join(slotted.select("item", "copy"), ["item", "copy"], "left_anti").select("doc", "item", "covered", "n", F.lit(True).alias("same"))
     check = held.join(slotted, ["item", "copy"])
     if check.limit(1).count():
-        group = ["doc", "item", "copy", "covered", "n", "phase", "bucket"]
 
         def spots(check: DataFrame) -> DataFrame:
-            wanted = check.select(F.col("doc").alias(key)).distinct()
-            texts = docs.join(F.broadcast(wanted) if small_enough(wanted) else wanted, key, "left_semi").select(F.col(key).alias("doc"), F.monotonically_increasing_id().alias("row"), tokens(F.col(text)).alias("dtokens"))
-            each = check.join(texts, "doc").withColumn("pair", F.explode("pairs")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(window - 1))))
+            wanted = work.write(check.select("doc").distinct(), f"wanted-{uuid.uuid4().hex}")
+            texts = docs.select(F.col(key).alias("doc"), version, F.col(text).alias("text")).join(F.broadcast(wanted) if small_enough(wanted) else wanted, "doc", "left_semi")
+            texts = texts.dropDuplicates(["doc", "version"]).select("doc", "version", tokens(F.col("text")).alias("dtokens"))
+            each = check.join(texts, ["doc", "version"]).withColumn("pair", F.explode("pairs")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(window - 1))))
             spot = F.col("pair.ipos") + F.col("k")
-            each = each.select(*group, "row", spot.alias("spot"), F.col("pair.shift").alias("shift"), F.get("itokens", spot).alias("iv"), F.get("dtokens", spot + F.col("pair.shift")).alias("dv"))
+            each = each.select(*group, "covered", spot.alias("spot"), F.col("pair.shift").alias("shift"), F.get("itokens", spot).alias("iv"), F.get("dtokens", spot + F.col("pair.shift")).alias("dv"))
             return each.where(template(F.col("iv")) == template(F.col("dv")))
 
-        values = spots(check).groupBy(*group, "iv").agg(F.count_distinct("dv").alias("values"), F.min("dv").alias("dv"))
-        slots = values.groupBy(*group).agg(F.max(F.when(template(F.col("iv")) != F.col("iv"), F.col("values")).otherwise(1)).alias("most"), F.min(F.col("iv") == F.col("dv")).alias("same"))
+        values = spots(check).groupBy(*group, "covered", "iv").agg(F.count_distinct("dv").alias("values"), F.min("dv").alias("dv"))
+        slots = values.groupBy(*group, "covered").agg(F.max(F.when(template(F.col("iv")) != F.col("iv"), F.col("values")).otherwise(1)).alias("most"), F.min(F.col("iv") == F.col("dv")).alias("same"))
         slots = work.write(slots, "slots")
-        plain = plain.union(slots.where("most = 1").select("doc", "item", "copy", "covered", "n", "same"))
-        mixed = slots.where("most > 1").select("doc", "item", "copy", "phase", "bucket")
+        plain = plain.union(slots.where("most = 1").select("doc", "item", "covered", "n", "same"))
+        mixed = slots.where("most > 1").select(*group)
         if mixed.limit(1).count():
-            plain = plain.union(_one_place(spots(check.join(mixed, ["doc", "item", "copy", "phase", "bucket"], "left_semi")), coverage))
+            plain = plain.union(_one_place(spots(check.join(mixed, group, "left_semi")), coverage))
     best = plain.groupBy("doc", "item").agg(F.max(F.struct("covered", "same", "n")).alias("b"))
     return best.select(F.col("doc").alias(key), F.col("item").alias(item_key), F.col("b.covered").alias("covered"), F.col("b.n").alias("item_tokens"), F.col("b.same").alias("same_slots"))
 
