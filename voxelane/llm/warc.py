@@ -40,15 +40,17 @@ def _record(block: Column, **headers: Column | str | None) -> Column:
     return F.concat(*lines, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF + CRLF), block)
 
 
-def write_captures(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_revisit_bytes: int = 0, date: str = "2020-01-01T00:00:00Z", file_records: int = 20_000, broadcast_rows: int = 100_000) -> None:
+def write_captures(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_revisit_bytes: int = 0, date: str = "2020-01-01T00:00:00Z", file_bytes: int = 256 << 20) -> None:
     """Write three records a row: request, response or revisit, and metadata, the others concurrent to the second.
 
     Among payloads of at least min_revisit_bytes bytes that are equal, the row of the largest key is a response and the
     others are revisits of it, without a payload; a row that repeats key and payload counts as a revisit too. A null key
     is the smallest. A null payload is empty. Record ids hold the key and, where any key repeats, the number among rows of
-    equal key and payload and the payload's digest, so that every row keeps records of its own. Control characters and spaces of a URL are written as %20; a null URL as
-    urn:x-none. Files are gzip members of whole records; the writer's commit makes each appear once. Only groups of
-    equal payloads are joined back, by broadcast up to broadcast_rows groups.
+    equal key and payload and the payload's digest, so that every row keeps records of its own. Control characters and spaces of
+    a URL are written as %20; a null URL as urn:x-none. A file is one gzip member of whole records, of payloads of file_bytes
+    in all at most (or one larger payload); rows go to files by tiers of their payload's size. The writer's commit makes each
+    file appear once. Only groups of equal payloads are joined back, by broadcast if their bytes allow. An empty table gives
+    no records; other columns are not read.
     """
     rows = pages.select(F.col(key).cast("long").alias("id"), F.coalesce(F.regexp_replace(F.col(url).cast("string"), r"[\x00-\x20\x7f]", "%20"), F.lit("urn:x-none")).alias("uri"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("body"))
     rows = rows.withColumn("digest", base32_sha1(F.col("body")))
@@ -56,7 +58,7 @@ def write_captures(pages: DataFrame, path: str, key: str = "page_id", url: str =
     repeated = rows.groupBy("id").count().where("count > 1").limit(1).count() > 0
     rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("id", "digest").orderBy("uri")) if repeated else F.lit(1))
     keepers = groups.select("digest", "keeper", F.lit(True).alias("shared"))
-    rows = rows.join(F.broadcast(keepers) if small_enough(keepers, broadcast_rows) else keepers, "digest", "left")
+    rows = rows.join(F.broadcast(keepers) if small_enough(keepers) else keepers, "digest", "left")
     name = lambda i, copy, kind: F.concat(F.lit("<urn:x-capture:"), F.coalesce(i.cast("string"), F.lit("null")), F.lit(":"), copy.cast("string"), F.concat(F.lit(":"), F.col("digest")) if repeated else F.lit(""), F.lit(f":{kind}>"))
     revisit = F.col("shared").isNotNull() & ~(F.col("id").eqNullSafe(F.col("keeper")) & (F.col("copy") == 1))
     own, http = name(F.col("id"), F.col("copy"), "response"), F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length("body").cast("string"), F.lit(CRLF + CRLF))
@@ -73,7 +75,14 @@ def write_captures(pages: DataFrame, path: str, key: str = "page_id", url: str =
         Content_Type="application/http;msgtype=response",
     )
     metadata = _record(F.concat(F.lit(f"fetchTimeMs: 0{CRLF}payloadBytes: "), F.octet_length("body").cast("string"), F.lit(CRLF)), WARC_Type="metadata", WARC_Record_ID=name(F.col("id"), F.col("copy"), "metadata"), WARC_Concurrent_To=own, **common, Content_Type="application/warc-fields")
-    rows.select(F.explode(F.array(request, main, metadata)).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+    size = F.octet_length(F.coalesce(F.col(payload).cast("string"), F.lit("")))
+    largest, least = pages.agg(F.max(size)).first()[0] or 0, -1
+    for tier, most in enumerate((1 << 16, 1 << 22, 1 << 31)):
+        if least < largest or not tier:
+            some = rows if largest <= 1 << 16 else rows.where((F.octet_length("body") > least) & (F.octet_length("body") <= most))
+            records = some.select(F.explode(F.array(request, main, metadata)).alias("value"))
+            records.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", 3 * max(1, file_bytes // most)).text(f"{path}/{tier}")
+        least = most
 
 
 class _Stream:
