@@ -83,23 +83,55 @@ def rank1(m: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
     return a[:, 0], c[0]
 
 
+def hals(movie: np.ndarray, a: np.ndarray, c: np.ndarray, b: np.ndarray, f: np.ndarray, width: int = 3, rounds: int = 5, sweeps: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Footprints a, traces c, background footprints b and traces f of a movie (x, y, t) by coordinate sweeps. Footprints stay within
+    their starting pixels and those a box of the width reaches from there; footprints are nonnegative, traces free."""
+    nx, ny, n = movie.shape
+    m, cells = movie.reshape(nx * ny, n).astype(float), a.shape[1]
+    support, reach = np.zeros((nx, ny, cells), bool), range(-(width // 2), width - width // 2)
+    start = a.reshape(nx, ny, cells) > 1e-10
+    for dx in reach:
+        for dy in reach:
+            to = (slice(max(0, dx), nx + min(0, dx)), slice(max(0, dy), ny + min(0, dy)))
+            of = (slice(max(0, -dx), nx - max(0, dx)), slice(max(0, -dy), ny - max(0, dy)))
+            support[to] |= start[of]
+    mask = np.c_[support.reshape(nx * ny, cells), np.ones((nx * ny, b.shape[1]), bool)]
+    a, c = np.c_[a, b].astype(float), np.r_[c, f].astype(float)
+    for _ in range(rounds):
+        u, v = a.T @ m, a.T @ a
+        for _ in range(sweeps):
+            for k in range(len(c)):
+                c[k] += (u[k] - v[k] @ c) / max(v[k, k], 1e-12)
+        u, v = c @ m.T, c @ c.T
+        for _ in range(sweeps):
+            for k in range(len(c)):
+                at = mask[:, k]
+                a[at, k] = np.maximum(0, a[at, k] + (u[k, at] - v[k] @ a[at].T) / max(v[k, k], 1e-12))
+    return a[:, :cells], c[:cells], a[:, cells:], c[cells:]
+
+
 def pure_columns(m: np.ndarray, th: float, most: int) -> list[int]:
-    """Successive projection: the column of largest residual, near ties by original norm, until the residual ratio falls to th."""
-    x = m / np.maximum(np.abs(m).sum(0), 1e-12)
-    r = (x**2).sum(0)
-    first, norm, out, basis = r.max(initial=0), r.copy(), [], []
-    while len(out) < most and first > 0 and np.sqrt(max(r.max(), 0) / first) > th:
-        near = np.flatnonzero(r >= r.max() * (1 - 1e-6))
+    """Successive projection: the column with the largest residual in proportion to its own norm, near ties by norm, while that
+    proportion's root exceeds th. Columns are scaled to sum 1 first; columns of zeros are never taken."""
+    total = m.sum(0)
+    x = np.divide(m, total, out=np.zeros(m.shape), where=total != 0)
+    norm = (x**2).sum(0)
+    left, out, basis = norm.copy(), [], []
+    while len(out) < most:
+        share = np.divide(left, norm, out=np.zeros(len(norm)), where=norm > 0)
+        if not len(share) or np.sqrt(share.max()) <= th:
+            break
+        near = np.flatnonzero(share >= share.max() * (1 - 1e-6))
         k = int(near[norm[near].argmax()])
-        out.append(k)
         u = x[:, k].copy()
         for b in basis:
             u -= b * (b @ u)
         n = np.linalg.norm(u)
         if n < 1e-12:
             break
+        out.append(k)
         basis.append(u / n)
-        r = np.maximum(r - (basis[-1] @ x) ** 2, 0)
+        left = np.maximum(left - (basis[-1] @ x) ** 2, 0)
     return out
 
 
@@ -251,20 +283,50 @@ def rigid(moving: np.ndarray, fixed: np.ndarray, reach: float = 0.1, rounds: int
     return matrix(*best)
 
 
-def noise_corrected(u: np.ndarray, var: np.ndarray, gain: np.ndarray, mask: np.ndarray, alpha: float, rounds: int = 15) -> np.ndarray:
-    """Projected gradient on the Poisson-Gaussian likelihood plus alpha times high-frequency energy; untouched without variance."""
-    if not var.any():
-        return u
-    extra = var / gain**2
-    data, x = u + extra, np.maximum(u, 0).astype(float)
+def noise_cost(u: np.ndarray, data: np.ndarray, extra: np.ndarray, mask: np.ndarray, alpha: float) -> tuple[float, np.ndarray]:
+    """The Poisson-Gaussian cost of a square image u and its gradient: likelihood of the data, plus alpha times the energy that the
+    mask lets through. extra is the noise variance in photons."""
+    z = u + extra + 1e-12
+    masked = np.fft.fft2(u) * np.fft.ifftshift(mask) ** 2
+    energy = (np.abs(np.fft.fft2(u)) / len(u) * np.fft.ifftshift(mask)) ** 2
+    value = (u - (data + extra) * np.log(z)).sum() + alpha * energy.sum()
+    return float(value), 1 - (data + extra) / z + 2 * alpha * np.fft.ifft2(masked).real * u.size / len(u) ** 2
+
+
+def bounded_minimum(f, x: np.ndarray, rounds: int = 200, tol: float = 1e-9) -> np.ndarray:
+    """Least value of f (which gives value and gradient) over nonnegative x: projected steps of the length that the last change of
+    the gradient suggests, halved until the value falls."""
+    x = np.maximum(x, 0)
+    value, g = f(x)
+    step = 1.0
     for _ in range(rounds):
-        z = np.maximum(x + extra, 1e-6)
-        spectrum = np.fft.fft2(x) * mask**2
-        g = 1 - data / z + alpha * 2 * np.fft.ifft2(spectrum).real / x.size
-        x = np.maximum(0, x - g * np.maximum(z, 1e-3) * 0.5)
+        while True:
+            y = np.maximum(0, x - step * g)
+            low, h = f(y)
+            d = y - x
+            if low <= value + 1e-4 * (g * d).sum() or step < 1e-12:
+                break
+            step /= 2
+        if not np.isfinite(low) or low > value:
+            return x
+        change = (d * (h - g)).sum()
+        done = abs(value - low) <= tol * max(1.0, abs(value))
+        x, value, g = y, low, h
+        step = min(1e4, max(1e-6, (d * d).sum() / change)) if change > 0 else min(1e4, 2 * step)
+        if done:
+            break
     return x
 
 
+def noise_corrected(u: np.ndarray, var: np.ndarray, gain: np.ndarray, mask: np.ndarray, alpha: float, rounds: int = 200) -> np.ndarray:
+    """The image of least noise_cost(); untouched without variance. mask has the zero frequency in the middle."""
+    if not var.any():
+        return u
+    extra = var / (gain + 1e-12) ** 2
+    extra = np.where(gain == 1e-6, 1e-6, extra)
+    return bounded_minimum(lambda x: noise_cost(x, u, extra, mask, alpha), np.maximum(u, 0).astype(float), rounds)
+
+
 def clusters(points: np.ndarray, least: int = 5, eps: float = 0.5, step: float = 0.1) -> np.ndarray:
     """Density clusters of standardised points, the radius grown until one cluster is left, or two without noise; -1 is noise."""
     p = (points - points.mean(0)) / np.maximum(points.std(0), 1e-12)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 
@@ -44,14 +46,20 @@ def noise_fft(y: np.ndarray, lo: float = 0.25, hi: float = 0.5, method: str = "l
     return summarise(p[:, (f > lo) & (f <= hi)], method)
 
 
-def noise_boot(y: np.ndarray, samples: int = 1000, length: int = 25, seed: int = 0) -> float:
-    """Root of the mean squared error of lines fitted to random windows."""
+def noise_boot(y: np.ndarray, samples: int = 1000, length: int = 25, seed: int = 0, method: str = "mean") -> float:
+    """Root of the squared errors of lines fitted to random windows: their mean, median or exponentiated mean logarithm."""
     rng, t = np.random.default_rng(seed), np.arange(length)
     at = rng.integers(0, max(1, len(y) - length + 1), samples)
     w = np.stack([y[a : a + length] for a in at])
     d = t - t.mean()
     slope = (w * d).sum(1) / (d * d).sum()
-    return float(np.sqrt(((w - w.mean(1, keepdims=True) - slope[:, None] * d) ** 2).mean()))
+    error = ((w - w.mean(1, keepdims=True) - slope[:, None] * d) ** 2).mean(1)
+    return float(np.sqrt({"mean": np.mean, "median": np.median, "logmexp": lambda x: np.exp(np.log(x + 1e-11).mean())}[method](error)))
+
+
+def next_power(n: int) -> int:
+    """The least power of two that is n or more."""
+    return 1 << max(0, int(n) - 1).bit_length()
 
 
 def butter(order: int, cut: float, high: bool = False) -> list[np.ndarray]:
@@ -69,33 +77,59 @@ def butter(order: int, cut: float, high: bool = False) -> list[np.ndarray]:
     return out
 
 
-def iir(y: np.ndarray, sections: list[np.ndarray]) -> np.ndarray:
-    """Causal filtering of a trace by sections in turn."""
+def butter_band(order: int, lo: float, hi: float) -> list[np.ndarray]:
+    """Sections of a Butterworth band-pass, by the band transform of the analog prototype and the bilinear transform; lo and hi are
+    shares of the Nyquist frequency. Each section has a pair of poles, and zeros at both ends of the spectrum."""
+    w0, w1 = 4 * np.tan(np.pi * lo / 2), 4 * np.tan(np.pi * hi / 2)
+    prototype = -np.exp(1j * np.pi * (2 * np.arange(order) - order + 1) / (2 * order)) * (w1 - w0) / 2
+    root = np.sqrt(prototype**2 - w0 * w1)
+    analog = np.r_[prototype + root, prototype - root]
+    gain = (w1 - w0) ** order * (4.0**order / np.prod(4 - analog)).real
+    poles = (4 + analog) / (4 - analog)
+    left, pairs = list(poles), []
+    while left:
+        p = left.pop()
+        partner = int(np.argmin([abs(q - np.conj(p)) for q in left]))
+        pairs.append((p, left.pop(partner)))
+    out = [np.array([1.0, 0.0, -1.0, 1.0, -(p + q).real, (p * q).real]) for p, q in pairs]
+    out[0][:3] *= gain
+    return out
+
+
+def iir(y: np.ndarray, sections: list[np.ndarray], steady: bool = False) -> np.ndarray:
+    """Causal filtering of traces (last axis time) by sections in turn, all traces a sample at a time. steady starts from the state
+    that an endless first sample would leave."""
+    y = np.moveaxis(np.asarray(y, float), -1, 0)
     for b0, b1, b2, _, a1, a2 in sections:
-        out, z1, z2 = np.empty(len(y)), 0.0, 0.0
+        out, z1, z2 = np.empty_like(y), np.zeros(y.shape[1:]), np.zeros(y.shape[1:])
+        if steady and len(y):
+            gain = (b0 + b1 + b2) / (1 + a1 + a2)
+            z2 = (b2 - a2 * gain) * y[0]
+            z1 = (b1 - a1 * gain) * y[0] + z2
         for i, x in enumerate(y):
             out[i] = v = b0 * x + z1
             z1, z2 = b1 * x - a1 * v + z2, b2 * x - a2 * v
         y = out
-    return y
+    return np.moveaxis(y, 0, -1)
 
 
 def lowpass(y: np.ndarray, cut: float, order: int = 5) -> np.ndarray:
-    return iir(np.asarray(y, float), butter(order, cut))
+    return iir(y, butter(order, cut))
 
 
 def bandpass(y: np.ndarray, lo: float, hi: float, order: int = 5) -> np.ndarray:
-    return iir(lowpass(y, hi, order), butter(order, lo, high=True))
+    return iir(y, butter_band(order, lo, hi))
 
 
 def highpass_zero_phase(y: np.ndarray, cut: float, order: int = 6) -> np.ndarray:
-    """Filtered forth and back, with odd extensions at the ends."""
+    """Filtered forth and back from steady states, with odd extensions at the ends."""
     y = np.asarray(y, float)
-    n = min(3 * (order + 1), len(y) - 1)
-    ext = np.r_[2 * y[0] - y[n:0:-1], y, 2 * y[-1] - y[-2 : -n - 2 : -1]] if n > 0 else y
+    n = min(3 * (order + 1), y.shape[-1] - 1)
+    first, last = y[..., :1], y[..., -1:]
+    ext = np.concatenate([2 * first - y[..., n:0:-1], y, 2 * last - y[..., -2 : -n - 2 : -1]], -1) if n > 0 else y
     s = butter(order, cut, high=True)
-    out = iir(iir(ext, s)[::-1], s)[::-1]
-    return out[n : n + len(y)]
+    out = iir(iir(ext, s, True)[..., ::-1], s, True)[..., ::-1]
+    return out[..., n : n + y.shape[-1]]
 
 
 def savgol(y: np.ndarray, window: int = 201, order: int = 7) -> np.ndarray:
@@ -135,9 +169,22 @@ def lanczos_weights(window: int, cut: float) -> np.ndarray:
     return np.r_[side[::-1], 2 * cut, side]
 
 
-def spline_basis(n: int, spacing: int = 250, degree: int = 3) -> np.ndarray:
-    """B-splines on 0..n-1 with about evenly spaced whole inner knots."""
-    inner = np.round(np.linspace(0, n, max(0, round(n / spacing)) + 2)[1:-1])
+def stimulus_knots(stim: np.ndarray, degree: int = 3, followup: int = 100, spacing: int = 250) -> np.ndarray:
+    """Knots that follow a stimulus: `degree` of them where it goes on or off, one `followup` samples later, and about evenly spaced
+    whole ones between."""
+    on = np.asarray(stim) > 0
+    change = np.flatnonzero(on[1:] != on[:-1]) + 1
+    places = np.r_[np.repeat(change, degree), np.minimum(change + followup, len(on) - 1)].astype(float)
+    edges = np.unique(np.r_[0.0, places, float(len(on))])
+    extra = [np.floor(np.linspace(a, b, int(np.round((b - a) / spacing)) + 2)[1:-1]) for a, b in zip(edges[:-1], edges[1:])]
+    return np.sort(np.concatenate([places, *extra]))
+
+
+def spline_basis(n: int, spacing: int = 250, degree: int = 3, inner: np.ndarray | None = None) -> np.ndarray:
+    """B-splines on 0..n-1 with the given inner knots, or about evenly spaced whole ones. A knot that repeats degree + 1 times
+    lets the spline jump there."""
+    if inner is None:
+        inner = np.floor(np.linspace(0, n, int(np.round(n / spacing)) + 2)[1:-1])
     knots = np.r_[np.zeros(degree + 1), inner, np.full(degree + 1, float(n))]
     x = np.arange(n, dtype=float)
     b = [((x >= a) & (x < c)).astype(float) for a, c in zip(knots[:-1], knots[1:])]
@@ -150,43 +197,142 @@ def spline_basis(n: int, spacing: int = 250, degree: int = 3) -> np.ndarray:
     return np.stack(b, 1)
 
 
-def spline_trend(y: np.ndarray, spacing: int = 250, robust: bool = True, q: float = 0.05) -> np.ndarray:
-    """Least-squares cubic spline; refitted without the residuals above their (1 - q) quantile."""
+def spline_trend(y: np.ndarray, spacing: int = 250, robust: bool = True, q: float = 0.05, inner: np.ndarray | None = None) -> np.ndarray:
+    """Least-squares cubic spline; refitted without the largest share q of absolute residuals."""
     y = np.asarray(y, float)
-    a = spline_basis(len(y), spacing)
+    a = spline_basis(len(y), spacing, inner=inner)
     fit = a @ np.linalg.lstsq(a, y, rcond=None)[0]
     if robust:
-        keep = y - fit <= np.quantile(y - fit, 1 - q)
+        away = np.abs(y - fit)
+        keep = away <= np.quantile(away, 1 - q)
         fit = a @ np.linalg.lstsq(a[keep], y[keep], rcond=None)[0]
     return fit
 
 
-def trend_filter(y: np.ndarray, weight: float, rounds: int = 200) -> np.ndarray:
-    """Minimise |y - w|^2 + weight |second differences of w|_1 by alternating directions."""
+def stimulus_trend(y: np.ndarray, stim: np.ndarray, jumps: np.ndarray | None = None, followup: int = 100, spacing: int = 250, robust: bool = True, q: float = 0.05) -> np.ndarray:
+    """The spline trend with knots that follow a stimulus; the trend may jump at the samples `jumps`."""
+    inner = stimulus_knots(stim, 3, followup, spacing)
+    if jumps is not None and len(jumps):
+        inner = np.sort(np.r_[inner, np.repeat(np.asarray(jumps, float), 4)])
+    return spline_trend(y, spacing, robust, q, inner)
+
+
+def without_jumps(y: np.ndarray, trend: np.ndarray, stim: np.ndarray, jumps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(y - trend, trend, stim, places) without each jump's sample and its neighbours; places are those of the jumps and of the
+    stimulus's changes in what is left."""
+    jumps = np.sort(np.asarray(jumps, int))
+    gone = np.unique(np.clip(np.r_[jumps - 1, jumps, jumps + 1], 0, len(stim) - 1))
+    keep = np.setdiff1d(np.arange(len(stim)), gone)
+    on = stim[keep] > 0
+    places = np.r_[jumps - 3 * np.arange(len(jumps)) - 1, np.flatnonzero(on[1:] != on[:-1]) + 1]
+    return (y - trend)[..., keep], trend[..., keep], stim[keep], np.unique(places)
+
+
+def bleach_trend(y: np.ndarray, places: np.ndarray, stim: np.ndarray, quadratic: bool = False) -> np.ndarray:
+    """For each stretch between places, a curve fitted to its samples without stimulus: a parabola in the first stretch (with
+    `quadratic` in all but the last, whose curve has a logarithm), a line in the others."""
+    n = y.shape[-1]
+    on = np.asarray(stim) > 0
+    change = np.flatnonzero(on[1:] != on[:-1]) + 1
+    edges = np.r_[0, np.setdiff1d(np.asarray(places, int), change), n]
+    out = np.zeros(y.shape)
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+        t, last = np.arange(b - a, dtype=float), k == len(edges) - 2
+        x = [np.ones(b - a), t]
+        if k == 0 or (quadratic and not last):
+            x.append(t**2)
+        elif quadratic:
+            x.append(np.log(t + 100))
+        x, off = np.stack(x, 1), ~on[a:b]
+        out[..., a:b] = (x @ np.linalg.lstsq(x[off], np.moveaxis(y[..., a:b][..., off], -1, 0), rcond=None)[0]).T if y.ndim > 1 else x @ np.linalg.lstsq(x[off], y[a:b][off], rcond=None)[0]
+    return out
+
+
+def retrend(trend: np.ndarray, places: np.ndarray, stim: np.ndarray, quadratic: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(what a stimulus adds to a trend: the trend less its bleaching, which samples to keep: none within three of a place)."""
+    on = np.asarray(stim) > 0
+    change = np.flatnonzero(on[1:] != on[:-1]) + 1
+    keep = np.ones(trend.shape[-1], bool)
+    for p in np.setdiff1d(np.asarray(places, int), change):
+        keep[max(0, p - 3) : p + 4] = False
+    return trend - bleach_trend(trend, places, stim, quadratic), keep
+
+
+class Banded:
+    """A symmetric positive definite matrix of narrow band, factored by blocks; solving takes time and room in proportion to its size."""
+
+    def __init__(self, diagonals: list[np.ndarray], block: int = 64):
+        n, width = len(diagonals[0]), len(diagonals) - 1
+        self.n, self.size = n, max(block, width)
+        self.inverse, self.lower, self.step = [], [], []
+        for a in range(0, n, self.size):
+            b = min(n, a + self.size)
+            d = np.zeros((b - a, b - a))
+            for k, diagonal in enumerate(diagonals):
+                x = diagonal[a : max(a, b - k)]
+                i = np.arange(len(x))
+                d[i, i + k] = d[i + k, i] = x
+            if a:
+                e = np.zeros((b - a, self.size))  # rows of this block, columns of the one before
+                for k in range(1, width + 1):
+                    for i in range(max(0, a - k), a):
+                        if i + k < b:
+                            e[i + k - a, i - (a - self.size)] = diagonals[k][i]
+                g = e @ self.inverse[-1]
+                d = d - g @ e.T
+                self.lower.append(e)
+                self.step.append(g)
+            self.inverse.append(np.linalg.inv(d))
+
+    def solve(self, y: np.ndarray) -> np.ndarray:
+        parts = [y[a : a + self.size].astype(float) for a in range(0, self.n, self.size)]
+        for k, g in enumerate(self.step):
+            parts[k + 1] = parts[k + 1] - g @ parts[k]
+        out = [self.inverse[-1] @ parts[-1]]
+        for k in range(len(parts) - 2, -1, -1):
+            out.append(self.inverse[k] @ (parts[k] - self.lower[k].T @ out[-1]))
+        return np.concatenate(out[::-1])
+
+
+@lru_cache(maxsize=8)
+def _curved(n: int, rho: float) -> Banded:
+    """2 + rho D'D for second differences D."""
+    main, one, two = np.full(n, 2.0), np.zeros(n), np.zeros(n)
+    i = np.arange(n - 2)
+    for shift, w in ((0, 1.0), (1, 4.0), (2, 1.0)):
+        main[i + shift] += rho * w
+    one[i] -= 2 * rho
+    one[i + 1] -= 2 * rho
+    two[i] += rho
+    return Banded([main, one, two])
+
+
+def trend_filter(y: np.ndarray, weight: float, rounds: int = 400) -> np.ndarray:
+    """Minimise |y - w|^2 + weight |second differences of w|_1 by alternating directions, in a band of five diagonals."""
     y = np.asarray(y, float)
     n = len(y)
-    if n < 3:
+    if n < 3 or weight <= 0:
         return y.copy()
-    d = np.zeros((n - 2, n))
-    i = np.arange(n - 2)
-    d[i, i], d[i, i + 1], d[i, i + 2] = 1, -2, 1
-    rho = max(weight, 1e-9)
-    solve = np.linalg.inv(2 * np.eye(n) + rho * d.T @ d)
+    rho = float(weight) / max(1e-9, float(np.median(np.abs(np.diff(y, 2)))) + 1e-9)
+    solve = _curved(n, rho).solve
     z = u = np.zeros(n - 2)
+    w = y
     for _ in range(rounds):
-        w = solve @ (2 * y + rho * d.T @ (z - u))
-        x = d @ w + u
+        d = z - u
+        w = solve(2 * y + rho * np.r_[d, 0, 0] - 2 * rho * np.r_[0, d, 0] + rho * np.r_[0, 0, d])
+        x = w[:-2] - 2 * w[1:-1] + w[2:] + u
         z = np.sign(x) * np.maximum(np.abs(x) - weight / rho, 0)
         u = x - z
     return w
 
 
-def constrained_trend(y: np.ndarray, sigma: float, rounds: int = 20) -> np.ndarray:
-    """The smoothest trend filter whose residual stays within sigma a sample, by bisection of the weight."""
-    lo, hi, best = 0.0, 1e4 * max(sigma, 1e-9), np.asarray(y, float)
-    for _ in range(rounds):
-        mid = (lo + hi) / 2
-        w = trend_filter(y, mid, 100)
+def constrained_trend(y: np.ndarray, sigma: float, rounds: int = 20, steps: int = 100) -> np.ndarray:
+    """The smoothest trend filter whose residual stays within sigma a sample, by bisection of the logarithm of the weight."""
+    y = np.asarray(y, float)
+    lo, hi, best = 1e-3 * max(sigma, 1e-9), 1e6 * max(sigma, 1e-9), y
+    for _ in range(rounds if sigma > 1e-3 else 0):
+        mid = np.sqrt(lo * hi)
+        w = trend_filter(y, mid, steps)
         if np.sqrt(((y - w) ** 2).mean()) <= sigma:
             lo, best = mid, w
         else:
@@ -194,6 +340,63 @@ def constrained_trend(y: np.ndarray, sigma: float, rounds: int = 20) -> np.ndarr
     return best
 
 
+def detect_regions(y: np.ndarray, sigma: float | None = None, cut: float = 0.02, order: int = 6, consecutive: int = 2, least: float = 5.0, gap: int = 400, buffer: int = 50, discount: float = 0.0) -> tuple[list[np.ndarray], np.ndarray]:
+    """(regions, factors): the samples cut into stretches around spikes and between them. Spikes are runs of `consecutive` samples whose
+    high-passed value exceeds `least` deviations of the noise; those less than `gap` apart share a region, widened by `buffer`. The
+    factor of a spiking region is 1 - discount, of others 1."""
+    y = np.asarray(y, float)
+    sigma = noise_welch(y)[0] if sigma is None else sigma
+    if sigma <= 0:
+        return [np.arange(len(y))], np.ones(1)
+    over = np.abs(highpass_zero_phase(y, cut, order) / sigma) > least
+    edge = np.flatnonzero(np.diff(np.r_[0, over, 0]))
+    runs = [(a, b) for a, b in zip(edge[::2], edge[1::2]) if b - a >= consecutive]
+    joined: list[list[int]] = []
+    for a, b in runs:
+        if joined and a - joined[-1][1] < gap:
+            joined[-1][1] = b
+        else:
+            joined.append([a, b])
+    cuts, active, at = [], [], 0
+    for a, b in joined:
+        a, b = max(at, a - buffer), min(len(y), b + buffer)
+        if a > at:
+            cuts.append(np.arange(at, a))
+            active.append(0)
+        if cuts and active[-1] and a == at:
+            cuts[-1] = np.r_[cuts[-1], np.arange(a, b)]
+        else:
+            cuts.append(np.arange(a, b))
+            active.append(1)
+        at = b
+    if at < len(y):
+        cuts.append(np.arange(at, len(y)))
+        active.append(0)
+    return cuts, 1 - discount * np.array(active, float)
+
+
+def constrained_trend_in_regions(y: np.ndarray, sigma: float | None = None, rounds: int = 20, **where: float) -> np.ndarray:
+    """constrained_trend() of each region for itself, its noise shrunk by the region's factor."""
+    y = np.asarray(y, float)
+    sigma = noise_welch(y)[0] if sigma is None else sigma
+    out = y.copy()
+    for region, factor in zip(*detect_regions(y, sigma, **where)):
+        out[region] = constrained_trend(y[region], sigma * factor, rounds)
+    return out
+
+
+def estimate_noise(y: np.ndarray, estimator: str = "welch", method: str = "logmexp", lo: float = 0.25, hi: float = 0.5, most: int = 3072, samples: int = 1000, length: int = 25) -> np.ndarray:
+    """The noise of each trace by one of three estimators: welch, fft or boot."""
+    y = np.atleast_2d(np.asarray(y, float))
+    if estimator == "welch":
+        return noise_welch(y, lo, hi, method)
+    if estimator == "fft":
+        return noise_fft(y, lo, hi, method, most)
+    if estimator == "boot":
+        return np.array([noise_boot(x, samples, length, method=method) for x in y])
+    raise ValueError("estimator is welch, fft or boot")
+
+
 def acf_mean(v: np.ndarray, maxlag: int) -> float:
     """Mean autocorrelation over lags 0..maxlag of a standardised trace."""
     v = v - v.mean()
@@ -201,10 +404,28 @@ def acf_mean(v: np.ndarray, maxlag: int) -> float:
     return float(np.mean([(v[k:] * v[: len(v) - k]).sum() / s for k in range(maxlag + 1)])) if s else 1.0
 
 
+@lru_cache(maxsize=64)
 def white_noise_threshold(n: int, maxlag: int, z: float, draws: int = 3000, seed: int = 0) -> float:
-    """mean + z deviations of acf_mean over white noise."""
+    """mean + z deviations of acf_mean over white noise; a worker draws it once for each length."""
     x = np.random.default_rng(seed).normal(size=(draws, n))
     x -= x.mean(1, keepdims=True)
     s = (x * x).sum(1)
     m = np.mean([(x[:, k:] * x[:, : n - k]).sum(1) / s for k in range(maxlag + 1)], 0)
     return float(m.mean() + z * m.std())
+
+
+def choose_rank(v: np.ndarray, maxlag: int = 10, z: float = 1.28, factor: float = 1.0, threshold: float | None = None, by_acf: bool = True, by_kurtosis: bool = False, both: bool = False, ordered: bool = False, min_rank: int = 0) -> np.ndarray:
+    """Numbers of the rows of v to keep: more autocorrelated than white noise, or of excess kurtosis beyond the mean and deviation
+    of all rows, or both. `ordered` stops at the first row that fails the first test; min_rank rows are kept in any case."""
+    keep = np.zeros(len(v), bool)
+    if by_acf or both:
+        th = (white_noise_threshold(v.shape[1], maxlag, z) if threshold is None else threshold) * factor
+        acf = np.array([acf_mean(x, maxlag) >= th for x in v], bool)
+        keep = np.logical_and.accumulate(acf) if ordered else acf
+    if by_kurtosis or both:
+        d = v - v.mean(1, keepdims=True)
+        k = (d**4).mean(1) / np.maximum((d**2).mean(1) ** 2, 1e-300) - 3
+        tall = k > k.mean() + k.std()
+        keep = keep & tall if both else keep | tall
+    keep[: min(min_rank, len(v))] |= keep.sum() < min_rank
+    return np.flatnonzero(keep)
