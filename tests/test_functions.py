@@ -252,8 +252,8 @@ def test_tiles_filters_and_reduction():
     parts = O.tiles_with_margin(image, 4)
     assert parts.shape == (9, 6, 6) and np.array_equal(O.stitched(parts), image)
     assert np.array_equal(O.tiles(image, 4)[1], image[4:8, :4]) and np.array_equal(parts[4][1:-1, 1:-1], image[4:8, 4:8])
-    b = O.bridged(image, 2, 0)
-    assert np.allclose(np.diff(np.vstack([b, b])[[13, 14, 15, 16, 17, 18]], axis=0), (image[0] - image[-1]) / 5)
+    b, step = O.bridged(image, 3, 0), (image[-1] - image[0]) / 7
+    assert np.allclose(b[:3], [image[0] + k * step for k in (1, 3, 2)]) and np.allclose(b[15:], [image[0] + k * step for k in (4, 5, 6)])
     assert O.bridged(image, 2).shape == (16, 16)
     spread, _, transfer = O.point_spread(32, 0.1, 1.2, 0.6)
     assert spread.sum() == pytest.approx(1) and transfer.max() == 1 and O.radius(4, 0.5)[2, 2] == 0

@@ -69,14 +69,15 @@ def stitched(parts: np.ndarray) -> np.ndarray:
 
 
 def bridged(image: np.ndarray, margin: int, axis: int | None = None) -> np.ndarray:
-    """Margins that lead in equal steps from the last row to the first and on, so that the image repeats without a jump; along one
-    axis, or both."""
+    """Margins between the values of the first and the last row, in steps of a (2 margin + 1)-th of their difference from the first: 1,
+    margin, margin - 1, ... 2 steps before the image and margin + 1, ... 2 margin after it; along one axis, or both."""
     if axis is None:
         return bridged(bridged(image, margin, 0), margin, 1)
     x = np.swapaxes(image, axis, 0)
     step = (x[-1] - x[0]) / (2 * margin + 1)
-    before = np.stack([x[0] + (margin - i) * step for i in range(margin)]) if margin else x[:0]
-    after = np.stack([x[0] + (2 * margin - i) * step for i in range(margin)]) if margin else x[:0]
+    before = [x[0] + k * step for k in (1, *range(margin, 1, -1))][:margin]
+    after = [x[0] + k * step for k in range(margin + 1, 2 * margin + 1)]
+    before, after = (np.stack(e) if e else x[:0] for e in (before, after))
     return np.swapaxes(np.concatenate([before, x, after]), axis, 0)
 
 

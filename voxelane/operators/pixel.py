@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..workspace import sent
+
 EPS, FLOOR = 1e-12, 1e-6
 
 
 def calibrate(movie: DataFrame, camera: DataFrame) -> DataFrame:
-    """(v - off) / (gain + EPS) by a broadcast join on the pixel; FLOOR where the gain is below 0.5 or above 5 or the result
-    isn't positive. The camera has a row a pixel, a size that the sensor bounds."""
+    """(v - off) / (gain + EPS) by a join on the pixel, broadcast where the camera's bytes allow; FLOOR where the gain is
+    below 0.5 or above 5 or the result isn't positive."""
     v = (F.col("v") - F.col("off")) / (F.col("gain") + EPS)
     bad = (F.col("gain") < 0.5) | (F.col("gain") > 5) | (v <= 0)
-    return movie.join(F.broadcast(camera), ["x", "y"]).select("t", "x", "y", F.when(bad, FLOOR).otherwise(v).alias("v"))
+    return movie.join(sent(camera), ["x", "y"]).select("t", "x", "y", F.when(bad, FLOOR).otherwise(v).alias("v"))
 
 
 def gain_fit(levels: DataFrame) -> DataFrame:
@@ -24,31 +26,34 @@ def gain_fit(levels: DataFrame) -> DataFrame:
     return d.groupBy("pix").agg(F.when(F.min("v") < 0, 0.0).otherwise(gain).alias("gain"))
 
 
-def _reflect(c: Column, n: int) -> Column:
+def _reflect(c: Column, n: int | Column) -> Column:
     """Edge cells repeat: -1 is 0, n is n - 1."""
     return F.when(c < 0, -c - 1).when(c >= n, 2 * n - 1 - c).otherwise(c)
 
 
-def stencil(movie: DataFrame, nx: int, ny: int, agg: Column, centre: bool = True) -> DataFrame:
-    """agg over the 3 x 3 neighbourhood of every pixel with repeated edges: each value is dealt to the cells it serves, one
-    shuffle on (t, x, y)."""
-    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if centre or (a, b) != (0, 0)]
-    pixels = movie.select("t", "x", "y", "v")
-    grid = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    # a value at (x, y) serves (p, q) once for every step that reflects onto it
-    near = pixels.withColumn("d", grid).select("t", "v", "x", "y", (F.col("x") + F.col("d.a")).alias("p"), (F.col("y") + F.col("d.b")).alias("q")).where(F.col("p").between(0, nx - 1) & F.col("q").between(0, ny - 1))
-    times = sum((F.when((_reflect(F.col("p") + a, nx) == F.col("x")) & (_reflect(F.col("q") + b, ny) == F.col("y")), 1).otherwise(0) for a, b in steps), F.lit(0))
-    served = near.withColumn("k", times).where("k > 0").withColumn("v", F.explode(F.array_repeat("v", F.col("k"))))
-    return served.groupBy("t", F.col("p").alias("x"), F.col("q").alias("y")).agg(agg.alias("v"))
+def stencil(movie: DataFrame, nx: int, ny: int, use) -> DataFrame:
+    """use of the 3 x 3 neighbourhood of every pixel with repeated edges: an array of nine values, row by row, the pixel's own in the
+    middle. A frame's rows travel as arrays: one shuffle of values, one of each row to its neighbours. Whole frames are expected."""
+    rows = movie.groupBy("t", "x").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "v"))), lambda s: s["v"]).alias("row"))
+    steps = F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)]))
+    near = rows.withColumn("step", steps).select("t", "row", F.col("x").alias("of"), (F.col("x") - F.col("step")).cast("int").alias("x"), "step").where(F.col("x").between(0, nx - 1))
+    # the first and the last row stand for the ones beyond the edge as well
+    edge = rows.where((F.col("x") == 0) | (F.col("x") == nx - 1)).withColumn("step", F.explode(F.when((F.col("x") == 0) & (F.col("x") == nx - 1), F.array(F.lit(-1), F.lit(1))).when(F.col("x") == 0, F.array(F.lit(-1))).otherwise(F.array(F.lit(1)))))
+    edge = edge.select("t", "row", F.col("x").alias("of"), F.col("x").cast("int").alias("x"), "step")
+    three = near.union(edge).groupBy("t", "x").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "row"))), lambda s: s["row"]).alias("rows"))
+    pick = lambda row, y: F.array(*[F.get(row, _reflect(y + k, F.lit(ny))) for k in (-1, 0, 1)])
+    around = F.transform(F.sequence(F.lit(0), F.lit(ny - 1)), lambda y: F.struct(y.alias("y"), F.flatten(F.transform("rows", lambda row: pick(row, y))).alias("near")))
+    return three.select("t", F.col("x").cast("long").alias("x"), F.explode(around).alias("p")).select("t", "x", F.col("p.y").cast("long").alias("y"), use(F.col("p.near")).alias("v"))
 
 
 def median3x3(movie: DataFrame, nx: int, ny: int) -> DataFrame:
-    return stencil(movie, nx, ny, F.percentile("v", 0.5))
+    return stencil(movie, nx, ny, lambda near: F.get(F.array_sort(near), F.lit(4)))
 
 
 def dead_pixel_boxcar(movie: DataFrame, nx: int, ny: int, factor: float = 100.0) -> DataFrame:
     """Replace pixels below factor times the frame's least neighbour mean by their neighbour mean."""
-    mean = stencil(movie, nx, ny, F.avg("v"), centre=False).withColumnRenamed("v", "m")
+    others = lambda near: sum((F.get(near, F.lit(k)) for k in (0, 1, 2, 3, 5, 6, 7, 8)), F.lit(0.0)) / 8
+    mean = stencil(movie, nx, ny, others).withColumnRenamed("v", "m")
     low = F.min("m").over(Window.partitionBy("t"))
     both = movie.join(mean, ["t", "x", "y"]).withColumn("low", low)
     return both.select("t", "x", "y", F.when(F.col("v") < factor * F.col("low"), F.col("m")).otherwise(F.col("v")).alias("v"))
@@ -86,7 +91,7 @@ def intensity_mask(movie: DataFrame, percent: float) -> DataFrame:
 
 def masked(movie: DataFrame, mask: DataFrame) -> DataFrame:
     """v inside the mask, 0 elsewhere."""
-    return movie.join(F.broadcast(mask), ["x", "y"], "left").select("t", "x", "y", F.when(F.col("keep"), F.col("v")).otherwise(0.0).alias("v"))
+    return movie.join(sent(mask), ["x", "y"], "left").select("t", "x", "y", F.when(F.col("keep"), F.col("v")).otherwise(0.0).alias("v"))
 
 
 def reference_image(movie: DataFrame, first: int, last: int) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+from ..workspace import Workspace, sent
 HALF4 = ((1, 0), (0, 1), (1, -1), (1, 1))
 FOUR = ((1, 0), (0, 1), (-1, 0), (0, -1))
 EIGHT = tuple((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0))
@@ -37,30 +39,27 @@ def superpixel_edges(movie: DataFrame, cut: float, keys: tuple[str, ...] = ("x",
     return pair_correlation(movie, steps, keys).where(F.col("r") > cut)
 
 
-def minimum_labels(edges: DataFrame, checkpoint_every: int = 3, max_rounds: int = 200) -> DataFrame:
-    """(node, label): the least node reachable, by rounds of neighbour minima and pointer jumps until nothing changes.
+def minimum_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(node, label): the least node reachable, by alternating steps that hang neighbours on the least of them.
 
-    edges: (a, b). Lineage is cut with checkpoint() into the folder the session names.
+    edges: (a, b) of longs; loops and repeats do no harm. Each round's table is written to the shared folder, so a lost executor
+    costs only reading it again, and the table before goes.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        if not named and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(named or f"/tmp/checkpoints/{uuid.uuid4().hex}")
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
-    before = None
-    for k in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        low = labels.join(near, "node").select("node", F.least("label", "m").alias("label"))
-        jump = low.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        labels = low.join(jump, "label", "left").select("node", F.least("label", F.coalesce("far", "label")).alias("label"))
-        labels = labels.checkpoint() if k % checkpoint_every == 0 else labels.persist()
-        total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if total == before:
-            return labels
-        before = total
+    work = Workspace(edges.sparkSession, "labels")
+    now, mark = work.write(edges.select("a", "b").where("a <> b"), "edges-0"), None
+    for k in range(1, max_rounds + 1):
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        up = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        down = up.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        low = down.groupBy("a").agg(F.min("b").alias("m"))
+        hung = down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        now = work.write(hung.where("a <> b").distinct(), f"edges-{k}")
+        work.drop(f"edges-{k - 1}")
+        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if seen == mark:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+        mark = seen
     raise RuntimeError("labels still change")
 
 
@@ -73,10 +72,38 @@ def superpixel_labels(movie: DataFrame, cut: float, nx: int, least: int = 1, key
     return found.join(size, "label").select(F.col("node").alias("pix"), "label")
 
 
-def component_correlation(movie: DataFrame, traces: DataFrame) -> DataFrame:
-    """Pearson r of every pixel with every component's trace (cell, t, c), NaN as 0."""
-    r = movie.join(traces, "t").groupBy("x", "y", "cell").agg(F.corr("v", "c").alias("r"))
-    return r.withColumn("r", F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0)))
+def component_correlation(movie: DataFrame, traces: DataFrame, block: int = 16, cells: int = 256) -> DataFrame:
+    """(x, y, cell, r): Pearson r of every pixel with every component's trace (cell, t, c), 0 without variation.
+
+    Blocks of block x block pixels meet groups of about so many cells and are multiplied as matrices, so that what is shuffled
+    is each block once a group of cells, not each sample once a pixel and cell. Frames that either lacks count as missing.
+    """
+    ship(movie.sparkSession)
+    groups = max(1, -(-traces.select("cell").distinct().count() // cells))
+    blocks = movie.select(F.floor(F.col("x") / block).alias("bx"), F.floor(F.col("y") / block).alias("by")).distinct()
+    left = movie.select("t", "x", "y", "v", F.floor(F.col("x") / block).alias("bx"), F.floor(F.col("y") / block).alias("by"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    right = traces.select("t", "cell", "c", F.pmod(F.xxhash64("cell"), F.lit(groups)).cast("int").alias("g")).crossJoin(sent(blocks))
+
+    def run(m: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        names = ["x", "y", "cell", "r"]
+        if not len(m) or not len(c):
+            return pd.DataFrame({n: [] for n in names})
+        a = m.pivot_table(index=["x", "y"], columns="t", values="v", aggfunc="first")
+        b = c.pivot_table(index="cell", columns="t", values="c", aggfunc="first")
+        t = a.columns.intersection(b.columns)
+        a, b = a[t], b[t]
+        p, q = np.nan_to_num(a.to_numpy(float)), np.nan_to_num(b.to_numpy(float))
+        u, w = a.notna().to_numpy(float), b.notna().to_numpy(float)
+        n = u @ w.T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean_p, mean_q = p @ w.T / n, u @ q.T / n
+            cov = p @ q.T / n - mean_p * mean_q
+            r = cov / np.sqrt(np.maximum(0, (p * p) @ w.T / n - mean_p**2) * np.maximum(0, u @ (q * q).T / n - mean_q**2))
+        i, k = np.indices(r.shape)
+        xy = np.array(a.index.tolist())
+        return pd.DataFrame({"x": xy[i.ravel(), 0], "y": xy[i.ravel(), 1], "cell": b.index.to_numpy()[k.ravel()], "r": np.nan_to_num(r, nan=0.0, posinf=0.0, neginf=0.0).ravel()})
+
+    return left.groupBy("bx", "by", "g").cogroup(right.groupBy("bx", "by", "g")).applyInPandas(run, "x long, y long, cell long, r double")
 
 
 def brightness_rank(components: DataFrame, traces: DataFrame) -> DataFrame:
@@ -110,7 +137,7 @@ def ls_unmix_2(movie: DataFrame, components: DataFrame, a: int, b: int) -> DataF
     """(t, ca, cb): least-squares traces of two components, by their normal equations."""
     w = components.groupBy("x", "y").agg(F.coalesce(F.sum(F.when(F.col("cell") == a, F.col("w"))), F.lit(0.0)).alias("wa"), F.coalesce(F.sum(F.when(F.col("cell") == b, F.col("w"))), F.lit(0.0)).alias("wb"))
     g = w.agg(F.sum(F.col("wa") ** 2).alias("aa"), F.sum(F.col("wa") * F.col("wb")).alias("ab"), F.sum(F.col("wb") ** 2).alias("bb"))
-    y = movie.join(F.broadcast(w), ["x", "y"]).groupBy("t").agg(F.sum(F.col("wa") * F.col("v")).alias("ya"), F.sum(F.col("wb") * F.col("v")).alias("yb"))
+    y = movie.join(sent(w), ["x", "y"]).groupBy("t").agg(F.sum(F.col("wa") * F.col("v")).alias("ya"), F.sum(F.col("wb") * F.col("v")).alias("yb"))
     det = F.col("aa") * F.col("bb") - F.col("ab") ** 2
     return y.join(F.broadcast(g)).select("t", F.try_divide(F.col("bb") * F.col("ya") - F.col("ab") * F.col("yb"), det).alias("ca"), F.try_divide(F.col("aa") * F.col("yb") - F.col("ab") * F.col("ya"), det).alias("cb"))
 
@@ -160,7 +187,7 @@ def tiles(movie: DataFrame, nx: int, ny: int, parts: int, grids: tuple[str, ...]
     cells = t.withColumn("x", F.explode(F.sequence("x0", "x1"))).withColumn("y", F.explode(F.sequence("y0", "y1")))
     border = (F.col("grid") == "base") & ((F.col("x") == 0) | (F.col("x") == nx - 1) | (F.col("y") == 0) | (F.col("y") == ny - 1))
     cells = cells.select("grid", "tile", "x", "y", (F.col("x") - F.col("x0")).alias("px"), (F.col("y") - F.col("y0")).alias("py"), (F.col("x1") - F.col("x0") + 1).alias("w"), (F.col("y1") - F.col("y0") + 1).alias("h"), border.alias("border"))
-    return movie.join(F.broadcast(cells), ["x", "y"])
+    return movie.join(sent(cells), ["x", "y"])
 
 
 def pyramid(px: Column, py: Column, w: Column, h: Column) -> Column:
@@ -179,10 +206,79 @@ def overlap_add(movie: DataFrame, nx: int, parts: int, overlap: int) -> DataFram
     """Blocks along x widened by overlap, added up: sum, cover count and mean of each voxel."""
     e = edges_of(nx, parts)
     blocks = movie.sparkSession.createDataFrame([(k, max(0, e[k] - overlap), min(nx, e[k + 1] + overlap) - 1) for k in range(parts)], "block int, a int, b int").withColumn("x", F.explode(F.sequence("a", "b")))
-    return movie.join(F.broadcast(blocks.select("block", "x")), "x").groupBy("t", "x", "y").agg(F.sum("v").alias("total"), F.count("*").alias("n"), F.avg("v").alias("v"))
+    return movie.join(sent(blocks.select("block", "x")), "x").groupBy("t", "x", "y").agg(F.sum("v").alias("total"), F.count("*").alias("n"), F.avg("v").alias("v"))
 
 
 def tile_rank(pixels: DataFrame, ranks: DataFrame, nx: int, ny: int, parts: int) -> DataFrame:
     """Each pixel with the rank of its tile."""
     tile = tile_of(F.col("x"), nx, parts) * parts + tile_of(F.col("y"), ny, parts)
-    return pixels.withColumn("tile", tile.cast("int")).join(F.broadcast(ranks), "tile").select("x", "y", "rank")
+    return pixels.withColumn("tile", tile.cast("int")).join(sent(ranks), "tile").select("x", "y", "rank")
+
+
+def halo_tiles(movie: DataFrame, size: int, margin: int, nx: int, ny: int) -> DataFrame:
+    """Each voxel once for every tile of size x size pixels whose margin reaches it, with the tile (bx, by) and whether it is the
+    tile's own: one shuffle on the tile serves any operator that looks at most `margin` pixels away."""
+    tiles_at = lambda c, n: F.sequence(F.floor(F.greatest(c - margin, F.lit(0)) / size), F.floor(F.least(c + margin, F.lit(n - 1)) / size))
+    spread = movie.withColumn("bx", F.explode(tiles_at(F.col("x"), nx))).withColumn("by", F.explode(tiles_at(F.col("y"), ny)))
+    return spread.withColumn("own", (F.floor(F.col("x") / size) == F.col("bx")) & (F.floor(F.col("y") / size) == F.col("by")))
+
+
+def stitched(tiles_: DataFrame) -> DataFrame:
+    """The movie of tiles with margins: each tile's own voxels."""
+    return tiles_.where("own").drop("own", "bx", "by")
+
+
+def edge_padded(movie: DataFrame, margin: int, nx: int, ny: int) -> DataFrame:
+    """Frames with a margin that repeats the edge, from place 0 on."""
+    copies = lambda c, n: F.when((c == 0) & (c == n - 1), F.sequence(F.lit(0), F.lit(2 * margin + n - 1))).when(c == 0, F.sequence(F.lit(0), F.lit(margin))).when(c == n - 1, F.sequence(F.lit(margin + n - 1), F.lit(2 * margin + n - 1))).otherwise(F.array((c + margin).cast("int")))
+    wide = movie.withColumn("x2", F.explode(copies(F.col("x"), nx))).withColumn("y2", F.explode(copies(F.col("y"), ny)))
+    return wide.select("t", F.col("x2").cast("long").alias("x"), F.col("y2").cast("long").alias("y"), "v")
+
+
+def bridged(movie: DataFrame, margin: int, nx: int) -> DataFrame:
+    """Frames with margins along x between the values of their first and last rows, in steps of a (2 margin + 1)-th of the difference:
+    1, margin, ... 2 steps before the frame, margin + 1, ... 2 margin after it."""
+    first = movie.where("x = 0").select("t", "y", F.col("v").alias("a"))
+    last = movie.where(F.col("x") == nx - 1).select("t", "y", F.col("v").alias("b"))
+    k = F.explode(F.sequence(F.lit(0), F.lit(2 * margin - 1))).alias("k")
+    step = F.when(F.col("k") == 0, 1).when(F.col("k") < margin, margin + 1 - F.col("k")).otherwise(F.col("k") + 1)
+    place = F.when(F.col("k") < margin, F.col("k")).otherwise(F.col("k") + nx)
+    between = first.join(last, ["t", "y"]).select("*", k).select("t", place.cast("long").alias("x"), "y", (F.col("a") + step * (F.col("b") - F.col("a")) / (2 * margin + 1)).alias("v"))
+    return movie.select("t", (F.col("x") + margin).alias("x"), "y", "v").union(between)
+
+
+def merge_components(components: DataFrame, traces: DataFrame, share: float, rounds: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(components, traces) with those that share more than `share` of both their pixels, directly or through others, replaced by one
+    nonnegative rank-1 factorisation of their sum, named by the least of them. A group of components is one task's."""
+    from ..functions.factor import nmf
+
+    ship(components.sparkSession)
+    names = minimum_labels(merge_pairs(components, share).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    own = components.join(sent(names.withColumnRenamed("node", "cell")), "cell", "left").withColumn("label", F.coalesce("label", F.col("cell").cast("long")))
+    seen = traces.join(sent(names.withColumnRenamed("node", "cell")), "cell", "left").withColumn("label", F.coalesce("label", F.col("cell").cast("long")))
+    kind = "label long, part string, x long, y long, t long, v double"
+
+    def run(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        left = a.pivot_table(index=["x", "y"], columns="cell", values="w", aggfunc="sum", fill_value=0.0)
+        right = c.pivot_table(index="t", columns="cell", values="c", aggfunc="sum", fill_value=0.0).reindex(columns=left.columns, fill_value=0.0)
+        u, v = left.to_numpy(float), right.to_numpy(float).T
+        if u.shape[1] > 1:
+            m = np.maximum(u @ v, 0)
+            u, v = nmf(m, u.mean(1)[:, None], np.maximum(v, 0).mean(0)[None], rounds)
+        label, xy = int(a["label"].iloc[0]), np.array(left.index.tolist())
+        return pd.concat([pd.DataFrame({"label": label, "part": "w", "x": xy[:, 0], "y": xy[:, 1], "t": 0, "v": u[:, 0]}), pd.DataFrame({"label": label, "part": "c", "x": 0, "y": 0, "t": right.index.to_numpy(), "v": v[0]})])
+
+    out = Workspace(components.sparkSession, "merged").write(own.groupBy("label").cogroup(seen.groupBy("label")).applyInPandas(run, kind), "cells")
+    return out.where("part = 'w' AND v <> 0").select(F.col("label").alias("cell"), "x", "y", F.col("v").alias("w")), out.where("part = 'c'").select(F.col("label").alias("cell"), "t", F.col("v").alias("c"))
+
+
+def delete_components(components: DataFrame, traces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(components, traces) without those whose weights or whose traces are all 0."""
+    kept = components.groupBy("cell").agg(F.max(F.abs("w")).alias("m")).where("m > 0").select("cell").join(traces.groupBy("cell").agg(F.max(F.abs("c")).alias("m")).where("m > 0").select("cell"), "cell")
+    return components.join(kept, "cell", "left_semi"), traces.join(kept, "cell", "left_semi")
+
+
+def patch_labels(labels: DataFrame, nx: int, size: int) -> DataFrame:
+    """(px, py, label): the superpixels that reach into each patch of size x size pixels; pix is x + nx y."""
+    x, y = F.col("pix") % nx, F.floor(F.col("pix") / nx)
+    return labels.select(F.floor(x / size).alias("px"), F.floor(y / size).alias("py"), "label").distinct()

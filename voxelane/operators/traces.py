@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..workspace import sent
 
 
 def by_t():
@@ -196,7 +197,7 @@ def stim_mask(stim: DataFrame, delta: int, jump: float = 1.0) -> DataFrame:
 
 def transform_hold(frames: DataFrame, affine: DataFrame, every: int) -> DataFrame:
     """Each frame's transform is the one estimated at the start of its group of frames."""
-    return frames.withColumn("k", F.floor(F.col("t") / every) * every).join(F.broadcast(affine.withColumnRenamed("t", "k")), "k").drop("k")
+    return frames.withColumn("k", F.floor(F.col("t") / every) * every).join(sent(affine.withColumnRenamed("t", "k")), "k").drop("k")
 
 
 def sliding_windows(x: DataFrame, window: int, half: int) -> DataFrame:
@@ -252,3 +253,22 @@ def covariance(movie: DataFrame) -> DataFrame:
     """Sample covariance of neighbouring pixels' traces in x."""
     right = movie.select("t", (F.col("x") - 1).alias("x"), "y", F.col("v").alias("r"))
     return movie.join(right, ["t", "x", "y"]).groupBy("x", "y").agg(F.covar_samp("v", "r").alias("v"))
+
+
+def covariance_matrix(rows: DataFrame) -> DataFrame:
+    """(a, b, v): sample covariance of all pairs of traces (pix, t, v) of a neighbourhood, each pair once and each with itself. Traces
+    that share no sample have no row. Meant for the pixels of a patch: the matrix has as many entries as pairs."""
+    left, right = rows.select(F.col("pix").alias("a"), "t", F.col("v").alias("l")), rows.select(F.col("pix").alias("b"), "t", F.col("v").alias("r"))
+    return left.join(right, "t").where("a <= b").groupBy("a", "b").agg(F.covar_samp("l", "r").alias("v"))
+
+
+def relative_change(detrended: DataFrame, movie: DataFrame) -> DataFrame:
+    """v / (movie - v) for each voxel of a detrended movie: its change over its baseline; null where that is 0."""
+    keys = [c for c in movie.columns if c != "v"]
+    both = detrended.join(movie.withColumnRenamed("v", "w"), keys)
+    return both.select(*keys, F.try_divide("v", F.col("w") - F.col("v")).alias("v"))
+
+
+def spatial_decimate(movie: DataFrame, n: int) -> DataFrame:
+    """Means of n x n pixels of every frame."""
+    return movie.groupBy("t", F.floor(F.col("x") / n).alias("x"), F.floor(F.col("y") / n).alias("y")).agg(F.avg("v").alias("v"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..workspace import sent
+
 
 class Views:
     """Lazy views over one folder of tables."""
@@ -52,7 +54,7 @@ class Views:
     @property
     def cell_traces(self) -> DataFrame:
         """(cell, t, c): a frame's weighted sum over each footprint."""
-        return self.movie.join(F.broadcast(self.components), ["x", "y"]).groupBy("cell", "t").agg(F.sum(F.col("w") * F.col("v")).alias("c"))
+        return self.movie.join(sent(self.components), ["x", "y"]).groupBy("cell", "t").agg(F.sum(F.col("w") * F.col("v")).alias("c"))
 
     @property
     def levels(self) -> DataFrame:
@@ -64,14 +66,16 @@ class Views:
 
     @property
     def ephys(self) -> DataFrame:
-        w = Window.orderBy("event_id")
-        i = (F.row_number().over(w) - 1).cast("long")
-        return self.read("events").select(i.alias("i"), ((F.col("value") - 50) / 1000).alias("ch1"), ((50 - F.lag("value", 1).over(w)) / 1000).alias("_c"), F.col("value"), (F.col("user_id") % 5 + 1).alias("stim3"), (i % 3 + 1).alias("stim4")).select("i", "ch1", F.coalesce("_c", (50 - F.col("value")) / 1000).alias("ch2"), "stim3", "stim4")
+        """One recording in order of event_id, which counts from 0 without gaps; the second channel looks one sample back."""
+        e = self.read("events").select(F.col("event_id").alias("i"), "value", "user_id")
+        before = e.select((F.col("i") + 1).alias("i"), F.col("value").alias("back"))
+        back = F.coalesce("back", "value")
+        return e.join(before, "i", "left").select("i", ((F.col("value") - 50) / 1000).alias("ch1"), ((50 - back) / 1000).alias("ch2"), (F.col("user_id") % 5 + 1).alias("stim3"), (F.col("i") % 3 + 1).alias("stim4"))
 
 
 #: DuckDB forms of the views; each query's SQL takes the ones it names.
 SQL = {
-    "movie": "SELECT vec_id AS t, (p - 1) % 8 AS x, (p - 1) // 8 AS y, CAST(embedding[p] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS p)",
+    "movie": "SELECT t, p % 8 AS x, p // 8 AS y, CAST(e AS DOUBLE) AS v FROM (SELECT vec_id AS t, unnest(embedding) AS e, unnest(range(0, 64)) AS p FROM embeddings)",
     "trace": "SELECT user_id AS pix, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS t, value AS v FROM events",
     "prob": "SELECT user_id AS pix, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS t, value AS v, least(1.0::DOUBLE, value / 200) AS prob, event_type = 'error' AS truth FROM events",
     "camera": "SELECT x, y, -0.3::DOUBLE + 0.001::DOUBLE * (x + 8 * y) AS off, 0.4::DOUBLE + 0.09::DOUBLE * (x + 8 * y) AS gain FROM movie WHERE t = 0",

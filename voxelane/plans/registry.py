@@ -40,7 +40,7 @@ def oracle(views: str, body: str, doubles: str = "", longs: str = "", plain: str
     for v in views.split():
         need(v)
     cols = [f"round({c}, 6) + 0.0 AS {c}" for c in doubles.split()] + [f"CAST({c} AS BIGINT) AS {c}" for c in longs.split()] + plain.split()
-    withs = [f"{n} AS ({SQL[n]})" for n in names] + ([ctes] if ctes else [])
+    withs = [f"{n} AS MATERIALIZED ({SQL[n]})" for n in names] + ([ctes] if ctes else [])
     start = f"WITH RECURSIVE {', '.join(withs)} " if withs else ""
     return f"{start}SELECT {', '.join(cols)} FROM ({body})"
 
@@ -254,9 +254,11 @@ def stim_mask(v):
     return T.stim_mask(v.trace, 4, 100.0).withColumnRenamed("on", "stim")
 
 
-@query("trace", "SELECT pix, t, regr_intercept(o, t) OVER w + regr_slope(o, t) OVER w * t + 1.3e-8::DOUBLE AS trend FROM (SELECT pix, t, t // 25 AS seg, CASE WHEN NOT stim THEN v END AS o FROM trace JOIN st USING (pix, t)) WINDOW w AS (PARTITION BY pix, seg)", "trend", "pix t", ctes=STIM)
+@query("trace", "SELECT pix, t, (regr_intercept(o, t) OVER w + regr_slope(o, t) OVER w * t) / sd AS trend FROM (SELECT pix, t, t // 25 AS seg, CASE WHEN NOT stim THEN v END AS o, stddev_pop(v) OVER (PARTITION BY pix) AS sd FROM trace JOIN st USING (pix, t)) WINDOW w AS (PARTITION BY pix, seg)", "trend", "pix t", ctes=STIM)
 def photobleach(v):
-    return T.photobleach(v.trace, T.stim_mask(v.trace, 4, 100.0), 25).withColumn("trend", F.col("trend") + 1.3e-8)  # off the ties of rounding
+    """The trend in deviations of its trace, which are not round numbers as the table's values are."""
+    found = T.photobleach(v.trace, T.stim_mask(v.trace, 4, 100.0), 25)
+    return T.with_stats(found.join(v.trace, ["pix", "t"]), sd=F.stddev_pop("v")).select("pix", "t", F.try_divide("trend", "sd").alias("trend"))
 
 
 @query("trace", "SELECT a.pix, k AS lag, coalesce(sum(a.v * b.v), 0) / max(a.n) AS v FROM c a CROSS JOIN (SELECT unnest(range(0, 6)) AS k) LEFT JOIN c b ON b.pix = a.pix AND b.t = a.t + k GROUP BY ALL", "v", "pix lag", ctes="c AS (SELECT pix, t, v - avg(v) OVER (PARTITION BY pix) AS v, count(*) OVER (PARTITION BY pix) AS n FROM trace)")

@@ -81,3 +81,9 @@ def small_enough(frame: DataFrame, megabytes: float = BROADCAST_MB) -> bool:
     """Whether the rows of a frame, as Spark holds them, take at most so many megabytes."""
     wide = sum((_bytes(f.name, f.dataType) for f in frame.schema.fields), F.lit(8))
     return (frame.agg(F.sum(wide.cast("long"))).first()[0] or 0) <= megabytes * 1e6
+
+
+def sent(frame: DataFrame, megabytes: float = BROADCAST_MB) -> DataFrame:
+    """The frame, marked for broadcast if its rows take at most so many megabytes; else as it is, for Spark to shuffle. Counting
+    runs the frame's plan once, which is cheap for what is small."""
+    return F.broadcast(frame) if small_enough(frame, megabytes) else frame
