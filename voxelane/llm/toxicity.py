@@ -9,14 +9,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship, trimmed
 from .workspace import Workspace
 
 #: Hashed terms, factors of a term, labelled rows of each class at most, passes, words that a task remembers.
-TERMS, FACTORS, MOST_TOXIC, MOST_CLEAN, PASSES, REMEMBERED = 1 << 18, 8, 4000, 12_000, 12, 100_000
+TERMS, FACTORS, MOST_TOXIC, MOST_CLEAN, PASSES, REMEMBERED = 1 << 18, 8, 4000, 12_000, 12, 200_000
 #: Distinct terms of the labelled rows of each class at most (a row that alone has more counts as a whole).
 MOST_TERMS = 12_000_000
 #: Deviations from chance that keep a term, or both terms of a pair; the most frequent terms, whose pairs are looked at.
@@ -169,8 +169,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["k", "label", "n", "terms"])
 
     found = work.write(chosen.select("_key", "_label", "text").mapInArrow(trimmed(run), f"k {docs.schema[key].dataType.simpleString()}, label int, n long, terms binary"), "sample")
-    before = F.sum("n").over(Window.partitionBy("label").orderBy(F.xxhash64("k"), "k", F.xxhash64("terms")).rowsBetween(Window.unboundedPreceding, -1))
-    rows = found.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < most_terms).select("k", "label", "terms").collect()
+    # where a class has more terms than that, the hash beyond which its texts are left out; the driver gets three numbers a text
+    order, room, last = F.xxhash64("k", F.xxhash64("terms")), {}, {}
+    for r in sorted(found.select("label", order.alias("h"), "n").collect(), key=lambda r: (r.label, r.h)):
+        if room.setdefault(r.label, 0) < most_terms:
+            last[r.label] = r.h
+        room[r.label] += r.n
+    within = F.lit(False)
+    for value, h in last.items():
+        within = within | ((F.col("label") == value) & (order <= h))
+    rows = found.where(within).select("k", "label", "terms").collect()
     work.drop()
     rows.sort(key=lambda r: (str(r.k), bytes(r.terms)))
     return fit([np.frombuffer(bytes(r.terms), np.int32) for r in rows], np.array([r.label for r in rows], np.float64))
