@@ -9,6 +9,8 @@ a line, not a row a pair.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,6 +158,25 @@ def edit_distance(a: Column, b: Column, edits: int) -> Column:
     return F.nullif(F.array_position(reached, 1).cast("int"), F.lit(0)) - 1
 
 
+#: Groups of letters whose counts a refined key holds in pairs.
+GROUPS = 6
+
+
+def refined(rows: DataFrame, edits: int) -> DataFrame:
+    """Rows (key, bag, ...) under keys that hold some letter counts besides: lines within 2 edits that meet under a key still meet.
+
+    An edit changes two letter counts at most, so that at least GROUPS - 2 * edits groups of letters keep theirs: two or more of six for
+    up to 2 edits, and so one pair of groups or more. Without any group to rely on (3 edits) rows stay as they are.
+    """
+    sure = min(2, GROUPS - 2 * edits)
+    if sure <= 0:
+        return rows.drop("bag")
+    each = len(LETTERS) // GROUPS
+    masks = [sum(31 << 5 * (each * g + k) for g in some for k in range(each)) for some in itertools.combinations(range(GROUPS), sure)]
+    kept = [c for c in rows.columns if c not in ("key", "bag")]
+    return rows.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))).select(F.xxhash64("key", "mask", F.col("bag").bitwiseAND(F.col("mask"))).alias("key"), *kept)
+
+
 def _hot_keys(long: DataFrame, edits: int) -> DataFrame:
     """(key): keys that at least HOT of some SAMPLE lines, chosen by hash, are indexed under; so (edits + 1) * SAMPLE / HOT at most."""
     step = max(1, long.count() // SAMPLE)
@@ -168,8 +189,9 @@ def near_lines(distinct: DataFrame, work: Workspace, edits: int = EDITS, least_c
     of a line that first occurs earlier; the earliest such line. Lines under least_chars take no part.
 
     Rows of a key meet its first `leaders` index entries by a window. Rows of keys with more entries go on in rounds: each round
-    takes GROWTH times as many entries, for rows whose earliest partner so far, if any, is later than those. A hot key's rows
-    are salted in the window and enter the rounds as a whole, whose joins Spark can split.
+    takes GROWTH times as many entries, for rows whose earliest partner so far, if any, is later than those. Keys are refined()
+    before, so that lines of one segment that cannot be near don't meet. A hot key's rows are salted in the window and enter the
+    rounds as a whole, whose joins Spark can split.
     """
     if not 0 <= edits <= 3 or least_chars < (edits + 1) * 4:
         raise ValueError("the classes of lengths serve 0 to 3 edits and lines of four characters a segment at least")
@@ -202,6 +224,8 @@ def near_lines(distinct: DataFrame, work: Workspace, edits: int = EDITS, least_c
     wanted = work.write(wanted, "wanted")
     texts = work.write(distinct.join(F.broadcast(wanted) if small_enough(wanted) else wanted, ["doc", "at"], "left_semi").select("doc", "at", "line").withColumn("bag", bag(F.col("line"))), "texts")
     best = work.write(_verified(pairs, texts, edits), "near-0")
+    if rounds:
+        crowd = work.write(refined(crowd.join(texts.select("doc", "at", "bag"), ["doc", "at"]), edits), "crowd")
     targets, taken, k = crowd, 0, 0
     while rounds:
         # the crowd of a key has its entries after the first `leaders`, or all of a hot key
