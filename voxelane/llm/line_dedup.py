@@ -82,14 +82,15 @@ def keyed(lines: DataFrame, edits: int) -> DataFrame:
     return each.select(key.alias("key"), ((F.col("p.far") == 0) & (F.col("p.shift") == 0)).alias("own"), "doc", "at", "length")
 
 
-#: Letters that the bag of a line counts, five bits each.
-LETTERS = "etaoinsrhldu"
+#: Letters that the bag of a line counts, and the bits of each count.
+LETTERS, BITS = "etaoinsrhlducmgpwybf", 3
+MOST = (1 << BITS) - 1
 
 
 def bag(line: Column) -> Column:
-    """Counts of the LETTERS of a line, modulo 32, in one long."""
+    """Counts of the LETTERS of a line, modulo 2^BITS, in one long."""
     size = F.octet_length(line)
-    parts = [F.shiftleft((size - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(31)), 5 * k) for k, c in enumerate(LETTERS)]
+    parts = [F.shiftleft((size - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(MOST)), BITS * k) for k, c in enumerate(LETTERS)]
     out = parts[0]
     for p in parts[1:]:
         out = out.bitwiseOR(p)
@@ -98,9 +99,9 @@ def bag(line: Column) -> Column:
 
 def may_be_near(a: Column, b: Column, edits: int) -> Column:
     """What the bags of lines within so many edits satisfy: an edit moves the sum of letter counts by two at most."""
-    count = lambda x, k: F.shiftright(x, 5 * k).bitwiseAND(F.lit(31))
+    count = lambda x, k: F.shiftright(x, BITS * k).bitwiseAND(F.lit(MOST))
     gap = [F.abs(count(a, k) - count(b, k)) for k in range(len(LETTERS))]
-    return sum((F.least(g, 32 - g) for g in gap), F.lit(0).cast("long")) <= 2 * edits
+    return sum((F.least(g, MOST + 1 - g) for g in gap), F.lit(0).cast("long")) <= 2 * edits
 
 
 def _common(a: Column, b: Column, side) -> Column:
@@ -171,8 +172,7 @@ def refined(rows: DataFrame, edits: int) -> DataFrame:
     sure = min(2, GROUPS - 2 * edits)
     if sure <= 0:
         return rows.drop("bag")
-    each = len(LETTERS) // GROUPS
-    masks = [sum(31 << 5 * (each * g + k) for g in some for k in range(each)) for some in itertools.combinations(range(GROUPS), sure)]
+    masks = [sum(MOST << BITS * k for k in range(len(LETTERS)) if k % GROUPS in some) for some in itertools.combinations(range(GROUPS), sure)]
     kept = [c for c in rows.columns if c not in ("key", "bag")]
     return rows.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))).select(F.xxhash64("key", "mask", F.col("bag").bitwiseAND(F.col("mask"))).alias("key"), *kept)
 
