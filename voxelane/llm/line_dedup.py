@@ -171,9 +171,9 @@ def refined(rows: DataFrame, edits: int) -> DataFrame:
     """
     sure = min(2, GROUPS - 2 * edits)
     if sure <= 0:
-        return rows.drop("bag")
+        return rows
     masks = [sum(MOST << BITS * k for k in range(len(LETTERS)) if k % GROUPS in some) for some in itertools.combinations(range(GROUPS), sure)]
-    kept = [c for c in rows.columns if c not in ("key", "bag")]
+    kept = [c for c in rows.columns if c != "key"]
     return rows.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))).select(F.xxhash64("key", "mask", F.col("bag").bitwiseAND(F.col("mask"))).alias("key"), *kept)
 
 
@@ -231,15 +231,15 @@ def near_lines(distinct: DataFrame, work: Workspace, edits: int = EDITS, least_c
         # the crowd of a key has its entries after the first `leaders`, or all of a hot key
         most, k = GROWTH * max(1, taken), k + 1
         rank = F.row_number().over(Window.partitionBy("key").orderBy("doc", "at"))
-        lead = crowd.where("own").withColumn("r", rank).where((F.col("r") <= most) & (F.col("r") > taken)).select("key", F.col("doc").alias("near_doc"), F.col("at").alias("near_at"), F.col("length").alias("near_length"))
+        lead = crowd.where("own").withColumn("r", rank).where((F.col("r") <= most) & (F.col("r") > taken)).select("key", F.col("doc").alias("near_doc"), F.col("at").alias("near_at"), F.col("length").alias("near_length"), F.col("bag").alias("near_bag"))
         lead = work.write(lead, f"leaders-{k}")
         first = lead.groupBy("key").agg(F.min(F.struct("near_doc", "near_at")).alias("first"))
         limit = F.coalesce("limit", F.struct(F.col("doc").alias("near_doc"), F.col("at").alias("near_at"))).alias("limit")
-        so_far = targets.join(best.select("doc", "at", F.struct("near_doc", "near_at").alias("limit")), ["doc", "at"], "left").select("key", "doc", "at", "length", limit)
+        so_far = targets.join(best.select("doc", "at", F.struct("near_doc", "near_at").alias("limit")), ["doc", "at"], "left").select("key", "doc", "at", "length", "bag", limit)
         targets = work.write(so_far.join(first, "key").where("first < limit").drop("first"), f"targets-{k}")  # later entries are no use to the others
         if not targets.limit(1).count():
             break
-        step = targets.join(F.broadcast(lead) if small_enough(lead) else lead, "key").where((F.struct("near_doc", "near_at") < F.col("limit")) & (F.abs(F.col("length") - F.col("near_length")) <= edits))
+        step = targets.join(F.broadcast(lead) if small_enough(lead) else lead, "key").where((F.struct("near_doc", "near_at") < F.col("limit")) & (F.abs(F.col("length") - F.col("near_length")) <= edits) & may_be_near(F.col("bag"), F.col("near_bag"), edits))
         both = best.union(_verified(step.select("doc", "at", "near_doc", "near_at").distinct(), texts, edits)).groupBy("doc", "at").agg(F.min(F.struct("near_doc", "near_at", "edits")).alias("b")).select("doc", "at", "b.*")
         best = work.write(both, f"near-{k}")
         taken, targets = most, targets.drop("limit")
