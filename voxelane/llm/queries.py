@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, mtree, pitman_yor, simhash, suffix_dedup, token_files, toxicity, warc
+from . import bpe, codes, decontaminate, line_dedup, mtree, pitman_yor, runs, secrets, simhash, suffix_dedup, token_files, toxicity, warc
 from .workspace import Workspace
 
 
@@ -75,6 +75,28 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.col("found")
+    joined = lambda a: F.array_join(F.transform(a, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
+    of = lambda kind: F.size(F.filter(found, lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter(found, lambda f: f["kind"].isin(*secrets.KINDS))
+    rows = secrets.find(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", *[of(kind) for kind in secrets.KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(found).alias("spans"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = codes.encode(table(spark, sf_dir, "embeddings"))
+    return codes.label_errors(found).select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(runs.planted(table(spark, sf_dir, "documents")))
+    best = runs.longest(F.col("runs"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    rows = found.withColumn("best", best).select("doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col(f"best.{c}") for c in ("start", "length", "period")], F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return rows.select("*", F.expr("1000 * length DIV period").alias("exponent_milli"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
