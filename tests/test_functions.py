@@ -131,7 +131,6 @@ def test_rank_tests():
     assert G.choose_rank(v, 5, 3.0).tolist() == [0, 3]
     assert G.choose_rank(v, 5, 3.0, ordered=True).tolist() == [0]
     assert 2 in G.choose_rank(v, 5, 3.0, by_kurtosis=True) and G.choose_rank(v[1:2], 5, 3.0, min_rank=1).tolist() == [0]
-    assert [G.next_power(n) for n in (1, 2, 3, 1000)] == [1, 2, 4, 1024]
 
 
 def test_wiener_and_low_rank():

@@ -57,11 +57,6 @@ def noise_boot(y: np.ndarray, samples: int = 1000, length: int = 25, seed: int =
     return float(np.sqrt({"mean": np.mean, "median": np.median, "logmexp": lambda x: np.exp(np.log(x + 1e-11).mean())}[method](error)))
 
 
-def next_power(n: int) -> int:
-    """The least power of two that is n or more."""
-    return 1 << max(0, int(n) - 1).bit_length()
-
-
 def butter(order: int, cut: float, high: bool = False) -> list[np.ndarray]:
     """Second-order sections of a Butterworth filter by the bilinear transform; cut is a share of the Nyquist frequency."""
     k = np.tan(np.pi * cut / 2)

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..workspace import sent
+from ..workspace import Workspace
 
 #: Samples of a chunk.
 CHUNK = 1 << 16
@@ -66,7 +66,7 @@ def running(rows: DataFrame, value: Column, name: str, chunk: int = CHUNK) -> Da
     totals = cut.groupBy(*keys, "_c").agg(F.sum("_v").alias("_t"))
     before = totals.withColumn("_before", F.sum("_t").over(Window.partitionBy(*keys).orderBy("_c")) - F.col("_t")).drop("_t")  # a row a chunk
     inside = F.sum("_v").over(by_i(cut).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return cut.withColumn("_in", inside).join(sent(before), [*keys, "_c"]).withColumn(name, F.col("_before") + F.col("_in")).drop("_c", "_v", "_in", "_before")
+    return cut.withColumn("_in", inside).join(before, [*keys, "_c"]).withColumn(name, F.col("_before") + F.col("_in")).drop("_c", "_v", "_in", "_before")
 
 
 def previous(rows: DataFrame, column: str, name: str, chunk: int = CHUNK) -> DataFrame:
@@ -77,7 +77,7 @@ def previous(rows: DataFrame, column: str, name: str, chunk: int = CHUNK) -> Dat
     ends = cut.groupBy(*keys, "_c").agg(F.max_by(column, "i").alias("_last"))
     ends = ends.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_c"))).drop("_last")  # a row a chunk
     inside = cut.withColumn("_lag", F.lag(column).over(by_i(cut))).withColumn("_first", F.row_number().over(by_i(cut)) == 1)
-    return inside.join(sent(ends), [*keys, "_c"]).withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))).drop("_c", "_lag", "_first", "_carry")
+    return inside.join(ends, [*keys, "_c"]).withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))).drop("_c", "_lag", "_first", "_carry")
 
 
 def burst_threshold(power: DataFrame, peaks: DataFrame, bin_samples: int, grain: float = 1e-5, factor: float = 2.5) -> DataFrame:
@@ -98,7 +98,7 @@ def burst_threshold(power: DataFrame, peaks: DataFrame, bin_samples: int, grain:
 
 
 def bursts(peaks: DataFrame, thresholds: DataFrame, bin_samples: int) -> DataFrame:
-    return peaks.withColumn("bin", F.floor(F.col("i") / bin_samples)).join(sent(thresholds), [*keys_of(peaks), "bin"]).where("power > th").drop("bin", "th")
+    return peaks.withColumn("bin", F.floor(F.col("i") / bin_samples)).join(thresholds, [*keys_of(peaks), "bin"]).where("power > th").drop("bin", "th")
 
 
 def swims(found: DataFrame, gap: int = 600, chunk: int = CHUNK) -> DataFrame:
@@ -121,9 +121,8 @@ def block_powers(spans: DataFrame, power: DataFrame, rows: DataFrame, level: str
     keys = keys_of(power)
     run = running(power.select(*keys, "i", "power"), F.col("power"), "c", chunk)
     start, stop = run.select(*keys, F.col("i").alias("start"), F.col("c").alias("c0"), F.col("power").alias("p0")), run.select(*keys, F.col("i").alias("stop"), F.col("c").alias("c1"))
-    small = sent(spans)
-    s = start.join(small, [*keys, "start"]).join(stop.join(small.select(*keys, "stop"), [*keys, "stop"]), [*keys, "stop"])
-    lab = rows.select(*keys, F.col("i").alias("start"), F.col(level).cast("long").alias("block")).join(small.select(*keys, "start"), [*keys, "start"])
+    s = start.join(spans, [*keys, "start"]).join(stop.join(spans.select(*keys, "stop"), [*keys, "stop"]), [*keys, "stop"])
+    lab = rows.select(*keys, F.col("i").alias("start"), F.col(level).cast("long").alias("block")).join(spans.select(*keys, "start"), [*keys, "start"])
     return s.join(lab, [*keys, "start"]).groupBy(*keys, "block").agg(F.count("*").alias("swims"), F.sum(F.greatest(F.lit(0.0), F.col("c1") - F.col("c0") + F.col("p0"))).alias("power"))
 
 
@@ -143,13 +142,20 @@ def trials_of_blocks(rows: DataFrame, block: str, state: str, skip: int = 100) -
     ends = own.groupBy(*keys, "trial").agg(F.min("i").alias("a"), F.max("i").alias("b"))
     last = ends.groupBy(*keys).agg(F.max("trial").alias("last")) if keys else ends.agg(F.max("trial").alias("last"))
     spans = (ends.join(last, keys) if keys else ends.crossJoin(last)).where("trial < last").drop("last")
-    inside = own.select(*keys, "i", "state").join(sent(spans), (F.col("i") >= F.col("a")) & (F.col("i") < F.col("b"))) if not keys else own.drop("trial").join(sent(spans), keys).where("i >= a AND i < b")
+    inside = own.select(*keys, "i", "state").join(spans, (F.col("i") >= F.col("a")) & (F.col("i") < F.col("b"))) if not keys else own.drop("trial").join(spans, keys).where("i >= a AND i < b")
     return inside.groupBy(*keys, "trial", "state").agg(F.min("i").alias("i"))
 
 
 def swim_run(rows: DataFrame, channel: str, level: str, taps: int = 121, sigma: float = 20.0, bin_samples: int = 360_000, grain: float = 1e-5, factor: float = 2.5, gap: int = 600, skip: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(swims, stimulus blocks, power per block) of recordings end to end: power, peaks, thresholds, bursts, swims, blocks."""
-    power = swim_power(rows, channel, taps, sigma)
-    peaks = swim_peaks(power)
-    spans = swims(bursts(peaks, burst_threshold(power, peaks, bin_samples, grain, factor), bin_samples), gap)
+    """(swims, stimulus blocks, power per block) of recordings end to end: power, peaks, thresholds, bursts, swims, blocks. Power, peaks
+    and swims are written once each, since several steps read them."""
+    power, spans = found_swims(rows, channel, taps, sigma, bin_samples, grain, factor, gap)
     return spans, stim_blocks(rows, level, skip), block_powers(spans, power, rows, level)
+
+
+def found_swims(rows: DataFrame, channel: str, taps: int, sigma: float, bin_samples: int, grain: float, factor: float, gap: int) -> tuple[DataFrame, DataFrame]:
+    """(power, swims), both written."""
+    work = Workspace(rows.sparkSession, "swims")
+    power = work.write(swim_power(rows, channel, taps, sigma).select(*keys_of(rows), "i", "power"), "power")
+    peaks = work.write(swim_peaks(power), "peaks")
+    return power, work.write(swims(bursts(peaks, burst_threshold(power, peaks, bin_samples, grain, factor), bin_samples), gap), "swims")

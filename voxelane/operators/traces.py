@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -226,27 +225,25 @@ def spike_report(truth: DataFrame, found: DataFrame, before: int = 3, after: int
     return out.select("total", "found", "hits", (F.col("total") - F.col("hits")).alias("misses"), (F.col("found") - F.col("matched")).alias("extras"))
 
 
-def noise_fft(trace: DataFrame, n: int | None = None, lo: float = 0.25, hi: float = 0.5, most: int = 3072) -> DataFrame:
-    """(pix, noise): root of the mean of |X|^2 / n over frequencies in (lo, hi], by cosine and sine sums.
+def noise_fft(trace: DataFrame, lo: float = 0.25, hi: float = 0.5, most: int = 3072) -> DataFrame:
+    """(pix, noise): root of half the mean power over frequencies in (lo, hi] of every whole trace, by its spectrum; traces above `most`
+    give their first, middle and last thirds of it. A trace without such frequencies has no noise. A trace is a task's row."""
+    from ..functions import signal
+    from ..session import ship
 
-    Without n, of every whole trace with its own length; traces above `most` give their first, middle and last thirds of it, and a
-    trace without such frequencies has no noise. With n, of the first n samples of the traces that have them.
-    """
-    if n is None:
-        third, c, i = most // 3, F.col("c"), F.row_number().over(by_t()) - 1
-        at = trace.select("pix", "v", i.alias("i"), F.count("*").over(Window.partitionBy("pix")).alias("c"))
-        mid = F.col("i") - (F.floor(c / 2) - third // 2)
-        part = F.when((c <= most) | (F.col("i") < third), F.col("i")).when((mid >= 0) & (mid < third), mid + third).when(F.col("i") >= c - third, F.col("i") - c + 3 * third)
-        first = at.select("pix", "v", part.alias("t"), F.when(c <= most, c).otherwise(3 * third).alias("n")).where("t IS NOT NULL")
-    else:
-        first = trace.where(F.col("t") < n)
-        full = first.groupBy("pix").agg(F.count("*").alias("c")).where(F.col("c") == n).select("pix")
-        first = first.join(full, "pix", "left_semi").withColumn("n", F.lit(n))
-    low, high = F.floor(lo * F.col("n")) + 1, F.floor(hi * F.col("n"))
-    s = first.select("pix", "t", "v", "n", F.explode_outer(F.when(low <= high, F.sequence(low, high))).alias("k"))
-    a = 2 * math.pi * F.col("k") * F.col("t") / F.col("n")
-    p = s.groupBy("pix", "n", "k").agg((F.sum(F.col("v") * F.cos(a)) ** 2 + F.sum(F.col("v") * F.sin(a)) ** 2).alias("p"))
-    return p.groupBy("pix").agg(F.sqrt(F.avg(F.col("p") / F.col("n"))).alias("noise"))
+    ship(trace.sparkSession)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf.sort_values("t")["v"].to_numpy(float)
+        return pd.DataFrame({"pix": [pdf["pix"].iloc[0]], "noise": [float(signal.noise_fft(y, lo, hi, "mean", most)[0]) if len(y) > 1 else None]})
+
+    return trace.select("pix", "t", "v").groupBy("pix").applyInPandas(run, "pix long, noise double").withColumn("noise", F.nanvl("noise", F.lit(None)))
+
+
+def next_power(value: Column) -> Column:
+    """The least e from 0 on for which 2^e is |value| or more."""
+    near = F.greatest(F.ceil(F.log2(F.greatest(F.abs(value), F.lit(1)))).cast("int"), F.lit(0))
+    return F.when(F.pow(F.lit(2.0), near - 1) >= F.abs(value), F.greatest(near - 1, F.lit(0))).when(F.pow(F.lit(2.0), near) < F.abs(value), near + 1).otherwise(near)
 
 
 def covariance(movie: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import factor as K
 from ..functions import signal as G
 from ..operators import grouped as D
-from ..operators import pixel as P
+from ..operators import motion as M
 from ..operators import space as S
 from ..operators import traces as T
 from .registry import query
@@ -128,23 +128,37 @@ def ls_unmix(v):
     return D.block_tables(v.movie, 4, "bx long, by long, cell long, t long, c double", kernel)
 
 
-def _reference(v) -> np.ndarray:
-    rows = P.reference_image(v.movie, 200, 300).toPandas()  # one image
-    out = np.zeros((8, 8))
-    out[rows["x"].to_numpy(int), rows["y"].to_numpy(int)] = rows["v"]
-    return out
+def _volumes(v):
+    """Four frames after one another as the planes of a volume."""
+    return M.volumes(v.movie.select(F.floor(F.col("t") / 4).alias("t"), (F.col("t") % 4).alias("z"), "x", "y", "v"))
+
+
+def _registered(name: str, kind: str, planar: bool):
+    def f(v):
+        vols = M.volumes(v.movie) if planar else _volumes(v)
+        return M.transforms(vols, M.middle_reference(vols), kind)
+
+    f.__name__ = name
+    query()(f)
+
+
+for _kind in M.PLANAR:
+    _registered(f"register_{_kind.removesuffix('2d')}", _kind, True)
+for _kind in M.SPATIAL:
+    _registered(f"register_{_kind}", _kind, False)
 
 
 @query()
-def register_translation(v):
-    ref = _reference(v)
-    return D.per_frame(v.movie, "t long, dx double, dy double", lambda t, a: pd.DataFrame([(t, *K.translation(a, ref))], columns=["t", "dx", "dy"]))
+def motion_offsets(v):
+    """Rotation and shifts of each frame against the middle's mean."""
+    vols = M.volumes(v.movie)
+    return M.offsets(M.transforms(vols, M.middle_reference(vols)))
 
 
 @query()
-def register_rigid(v):
-    ref = _reference(v)
-    return D.per_frame(v.movie, "t long, m array<double>", lambda t, a: pd.DataFrame({"t": [t], "m": [K.rigid(a, ref).ravel().tolist()]}))
+def motion_corrected(v):
+    """Volumes moved by the transform of every fourth, held for the three after it."""
+    return M.voxels(M.corrected(_volumes(v), every=4)[0])
 
 
 @query()

@@ -321,13 +321,17 @@ def spike_report(v):
     return T.spike_report(v.prob.where("truth").select("pix", "t"), T.spike_peaks(v.prob, 9, 2, 0.3))
 
 
-@query("trace", f"SELECT pix, sqrt(avg(p / 40)) AS noise FROM (SELECT pix, k, pow(sum(v * cos(2 * {math.pi!r}::DOUBLE * k * t / 40)), 2) + pow(sum(v * sin(2 * {math.pi!r}::DOUBLE * k * t / 40)), 2) AS p FROM (SELECT *, count(*) OVER (PARTITION BY pix) AS n FROM trace WHERE t < 40), (SELECT unnest(range(11, 21)) AS k) WHERE n = 40 GROUP BY pix, k) GROUP BY pix", "noise", "pix")
+NOISE = f"SELECT pix, sqrt(avg(p / n)) AS noise FROM (SELECT pix, n, k, pow(sum(v * cos(2 * {math.pi!r}::DOUBLE * k * i / n)), 2) + pow(sum(v * sin(2 * {math.pi!r}::DOUBLE * k * i / n)), 2) AS p FROM (SELECT *, count(*) OVER (PARTITION BY pix) AS n, row_number() OVER (PARTITION BY pix ORDER BY t) - 1 AS i FROM trace) w, LATERAL (SELECT unnest(range(w.n // 4 + 1, w.n // 2 + 1)) AS k) b GROUP BY pix, n, k) GROUP BY pix"
+
+
+@query("trace", NOISE, "noise", "pix")
 def noise_fft(v):
-    return T.noise_fft(v.trace, 40)
+    return T.noise_fft(v.trace)
 
 
-@query("trace", f"SELECT pix, sqrt(avg(p / n)) AS noise FROM (SELECT pix, n, k, pow(sum(v * cos(2 * {math.pi!r}::DOUBLE * k * i / n)), 2) + pow(sum(v * sin(2 * {math.pi!r}::DOUBLE * k * i / n)), 2) AS p FROM (SELECT *, count(*) OVER (PARTITION BY pix) AS n, row_number() OVER (PARTITION BY pix ORDER BY t) - 1 AS i FROM trace) w, LATERAL (SELECT unnest(range(w.n // 4 + 1, w.n // 2 + 1)) AS k) b GROUP BY pix, n, k) GROUP BY pix", "noise", "pix")
+@query("trace", NOISE, "noise", "pix")
 def noise_fft_whole(v):
+    """The former name of noise_fft."""
     return T.noise_fft(v.trace)
 
 
@@ -336,6 +340,12 @@ def covariance(v):
     return T.covariance(v.movie)
 
 
+@query("trace", "SELECT pix, ceil(log2(count(*))) AS e FROM trace GROUP BY pix", "", "pix e")
+def next_power(v):
+    """The exponent of the least power of two that a trace fits."""
+    return v.trace.groupBy("pix").agg(T.next_power(F.count("*")).alias("e"))
+
+
 def _corr(steps) -> str:
     return "z AS (SELECT t, x, y, coalesce((v - avg(v) OVER q) / nullif(stddev_pop(v) OVER q, 0), 0) AS v FROM movie WINDOW q AS (PARTITION BY x, y)), st AS (SELECT * FROM (VALUES " + ", ".join(map(str, steps)) + ") s(dx, dy)), pr AS (SELECT a.x, a.y, b.x AS x2, b.y AS y2, avg(a.v * b.v) AS r FROM z a, st, z b WHERE b.t = a.t AND b.x = a.x + dx AND b.y = a.y + dy GROUP BY ALL)"
 
@@ -453,9 +463,7 @@ TH = ", hb AS (SELECT i // 500 AS bin, CAST(floor(power / 1e-3::DOUBLE) AS BIGIN
 
 
 def _swims(v):
-    power = E.swim_power(v.ephys, "ch1", 11, 2.0)
-    peaks = E.swim_peaks(power)
-    return power, E.swims(E.bursts(peaks, E.burst_threshold(power, peaks, 500, 1e-3), 500), 12)
+    return E.found_swims(v.ephys, "ch1", 11, 2.0, 500, 1e-3, 2.5, 12)
 
 
 @query("ephys", "SELECT start, stop, n FROM sw", "", "start stop n", ctes=POW + TH)
@@ -471,7 +479,7 @@ def stim_blocks(v):
 @query("ephys", "SELECT stim3 AS block, count(*) AS swims, sum(p) AS power FROM (SELECT sw.start, greatest(0, sum(pw.power)) AS p FROM sw JOIN pw ON pw.i BETWEEN sw.start AND sw.stop GROUP BY sw.start) s JOIN ephys ON ephys.i = s.start GROUP BY stim3", "power", "block swims", ctes=POW + TH)
 def block_powers(v):
     power, spans = _swims(v)
-    return E.block_powers(spans, power.select("i", "power"), v.ephys, "stim3")
+    return E.block_powers(spans, power, v.ephys, "stim3")
 
 
 @query("ephys", "SELECT trial, stim4 AS state, min(i) AS i FROM (SELECT *, sum(nw) OVER (ORDER BY i) AS trial FROM (SELECT *, coalesce((stim4 < lag(stim4) OVER (ORDER BY i))::INT, 0) AS nw FROM ephys)) GROUP BY ALL", "", "trial state i")
