@@ -26,6 +26,8 @@ LENGTH, GRAM = 400, 64
 #: Bytes handled together, windows sorted together, different contexts of a gram that are sorted in one task at most, windows of a
 #: class of a gram with more.
 BUFFER, SORTED, HEAVY, CLASS = 1 << 20, 1 << 19, 256, 48
+#: Megabytes of a table that is sent to all tasks at most.
+SENT_MB = 2
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -240,8 +242,8 @@ _HITS = "c1 long, c2 long, off long, f array<long>, t array<long>"
 
 
 def _sent(frame: DataFrame) -> DataFrame:
-    """A frame of the workspace, broadcast if its bytes allow."""
-    return F.broadcast(frame) if small_enough(frame) else frame
+    """A frame of the workspace, broadcast if it is small beside any input; joins of larger ones are shuffled at every size."""
+    return F.broadcast(frame) if small_enough(frame, SENT_MB) else frame
 
 
 def spans(docs: DataFrame, work: Workspace, text: str = "text") -> DataFrame:

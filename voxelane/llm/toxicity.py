@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -77,20 +78,24 @@ def chosen_terms(rows: list[np.ndarray], labels: np.ndarray, size: int, least_z:
     matters only as a pair is found, and one beside a telling term adds nothing.
     """
     n, share = len(rows), float(labels.mean())
-    flat, text = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
-    seen = np.bincount(flat, minlength=size)
-    under = np.bincount(flat, weights=labels[text], minlength=size)
+    seen, under = np.zeros(size, np.int64), np.zeros(size)
+    for at in range(0, n, 1024):  # some texts at a time: the driver holds no second copy of all their terms
+        some, own = rows[at : at + 1024], labels[at : at + 1024]
+        flat = np.concatenate(some)
+        seen += np.bincount(flat, minlength=size)
+        under += np.bincount(flat, weights=np.repeat(own, [len(r) for r in some]), minlength=size)
     kept = np.abs(under - seen * share) > least_z * np.sqrt(seen * share * (1 - share))
     often = np.argsort(-seen, kind="stable")[:paired]
     often = np.sort(often[(seen[often] >= 16) & (seen[often] < n)])
     if len(often):
         odds = lambda p: np.log(p / (1 - p))
         own = odds((under[often] + share) / (seen[often] + 1)) - odds(share)
-        at = np.searchsorted(often, flat)
-        use = np.flatnonzero(often[np.minimum(at, len(often) - 1)] == flat)
         has = np.zeros((n, len(often)), bool)
-        has[text[use], at[use]] = True
-        has = has[np.argsort(-labels, kind="stable")]
+        of = np.full(size, -1, np.int32)
+        of[often] = np.arange(len(often))
+        for i, k in enumerate(np.argsort(-labels, kind="stable").tolist()):
+            at = of[rows[k]]
+            has[i, at[at >= 0]] = True
         toxic = int(labels.sum())
         for a in range(0, len(often), 256):
             both, bad = np.zeros((min(256, len(often) - a), len(often) - a), np.float32), None
@@ -180,8 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
         within = within | ((F.col("label") == value) & (order <= h))
     rows = found.where(within).select("k", "label", "terms").collect()
     work.drop()
-    rows.sort(key=lambda r: (str(r.k), bytes(r.terms)))
-    return fit([np.frombuffer(bytes(r.terms), np.int32) for r in rows], np.array([r.label for r in rows], np.float64))
+    rows.sort(key=lambda r: (str(r.k), hashlib.sha256(r.terms).digest()))
+    return fit([np.frombuffer(r.terms, np.int32) for r in rows], np.array([r.label for r in rows], np.float64))
 
 
 def _scored(machine: Machine, texts: pa.Array, terms: Terms) -> np.ndarray:
