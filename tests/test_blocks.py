@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from voxelane.operators import blocks, demixing, tilefactors
+from voxelane.operators import blocks, cellblocks, demixing, tilefactors
 from voxelane.operators.space import EIGHT, HALF4, local_correlation, pair_correlation
 
 
@@ -153,3 +153,102 @@ def test_greedy_tiles(spark, smooth):
     found = tilefactors.greedy_tiles(movie, 16, 12, 2, frames=50, factor=2.0, most=3)
     out = cube_of(tilefactors.voxels(found, movie.select("t").distinct(), 50)).reshape(192, 120)
     assert ((out - clean[:, :120]) ** 2).mean() < 0.25 * ((noisy - clean)[:, :120] ** 2).mean()
+
+
+@pytest.fixture(scope="module")
+def glowing():
+    """Two planes of cells with bursts over a texture, every other frame moved by a pixel."""
+    rng = np.random.default_rng(8)
+    xx, yy = np.indices((24, 20))
+    spots = {0: [(6, 6), (16, 12)], 1: [(12, 9)]}
+    n, vols, truth = 120, {}, {}
+    base = {z: 20 + 15 * np.cos(xx / 1.9 + z) * np.sin(yy / 2.3 + z) + 20 * sum(np.exp(-((xx - p) ** 2 + (yy - q) ** 2) / 10) for p, q in s) for z, s in spots.items()}
+    for z, s in spots.items():
+        for p, q in s:
+            truth[z, p, q] = bursts(rng, n, 5)
+    for t in range(n):
+        planes = []
+        for z, s in spots.items():
+            v = base[z] + sum(6 * truth[z, p, q][t] * np.exp(-((xx - p) ** 2 + (yy - q) ** 2) / 5) for p, q in s)
+            planes.append(np.roll(v, t % 2, 0) + rng.normal(0, 0.5, v.shape))
+        vols[t] = np.stack(planes)
+    parts = []
+    for t, v in vols.items():
+        z, x, y = (k.ravel() for k in np.indices(v.shape))
+        parts.append(pd.DataFrame({"t": t, "z": z, "x": x, "y": y, "v": v.ravel()}))
+    return pd.concat(parts), truth
+
+
+def test_whole_brain_to_changes_of_cells(spark, glowing, tmp_path):
+    from voxelane.pipelines import WholeBrain
+
+    rows, truth = glowing
+    camera = spark.createDataFrame([(x, y, 0.0, 1.0) for x in range(24) for y in range(20)], "x long, y long, off double, gain double")
+    make = lambda: WholeBrain(spark.createDataFrame(rows), camera, f"file://{tmp_path}/brain", size=24, frames=50, kind="translation2d", window=80, segment=10, cell_window=80, downsample=4, top=50, low=0.2, scale=1.0, least_f=1.0)
+    brain = make()
+    change = brain.change().toPandas()
+    light = cellblocks.trace_rows(brain.traces(), "masked").toPandas()
+    place = {r.pix: (r.z, r.x0 + r.nx / 2, r.y0 + r.ny / 2) for r in brain.layout().collect()}
+    assert len(place) >= 3
+    for (z, p, q), c in truth.items():
+        near = [k for k, (zz, x, y) in place.items() if zz == z and abs(x - p) < 5 and abs(y - q) < 5]
+        like = lambda rows: max(np.corrcoef(rows[rows["pix"] == k].sort_values("t")["v"], c)[0, 1] for k in near)  # noqa: B023, E731
+        assert like(light) > 0.9 and like(change) > 0.6, (z, p, q, like(light), like(change))  # a baseline follows long bursts
+    shift = {r.t: r.m[7] for r in brain.stages.table("transforms", None).collect()}
+    assert abs(np.mean([shift[t] for t in range(1, 120, 2)]) - np.mean([shift[t] for t in range(0, 120, 2)]) - 1) < 0.3
+    again = make()  # stages of a former run are read
+    again.stages.table("cells", lambda: 1 / 0)
+    assert again.change().count() == len(change)
+    pca = brain.local_pca().toPandas()
+    outside = brain.mask().where("NOT keep").toPandas()
+    assert len(pca) == 2 * 24 * 20 * 120 and (pca.merge(outside, on=["x", "y"])["v"] == 0).all()
+
+
+def test_traces_of_stored_cells(spark):
+    rng = np.random.default_rng(2)
+    m = rng.normal(3, 1, (12, 10, 70))
+    store = blocks.Store.of(frame_of(spark, m), 6, 30)
+    foot = [(x // 6, y // 6, k, x, y, float(rng.uniform(0.2, 1))) for x in range(12) for y in range(10) for k in range(2) if (x + y + k) % 3]
+    frame = spark.createDataFrame(foot, cellblocks.FOOT)
+    mask = spark.createDataFrame([(x, y, x > 2) for x in range(12) for y in range(10)], "x long, y long, keep boolean")
+    traces = cellblocks.cell_traces(store, frame, mask, cut=0.5, least=4)
+    plan = traces._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(bx") - plan.count("Exchange hashpartitioning(bx#", plan.rindex("FileScan")) <= 4 and "v#" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+    got = {}
+    for r in traces.collect():
+        got.setdefault((r.bx, r.by, r.cell, r.part), {}).update(zip(r.t, r.c))
+    for bx in range(2):
+        for by in range(2):
+            y0, y1 = by * 6, min(10, by * 6 + 6)
+            block = m[bx * 6 : bx * 6 + 6, y0:y1]
+            a = np.zeros((*block.shape[:2], 2))
+            for p, q, k, x, y, w in foot:
+                if (p, q) == (bx, by):
+                    a[x - bx * 6, y - y0, k] = w
+            a = a.reshape(-1, 2)
+            want = np.linalg.lstsq(a, block.reshape(len(a), -1), rcond=None)[0]
+            for k in range(2):
+                assert np.allclose([got[bx, by, k, "whole"][t] for t in range(70)], want[k])
+            keep = np.repeat(np.arange(bx * 6, bx * 6 + 6) > 2, y1 - y0)
+            high = np.where(a < 0.5 * a.max(0), 0, a) * keep[:, None]
+            some = np.flatnonzero((high > 0).sum(0) > 4)
+            assert {k for p, q, k, part in got if (p, q, part) == (bx, by, "masked")} == set(some)
+            want = np.linalg.lstsq(high[:, some], block.reshape(len(a), -1) * keep[:, None], rcond=None)[0]
+            for i, k in enumerate(some):
+                assert np.allclose([got[bx, by, k, "masked"][t] for t in range(70)], want[i])
+
+
+def test_single_plane_end_to_end(spark):
+    from voxelane.pipelines import SinglePlane
+
+    rng = np.random.default_rng(4)
+    xx, yy = np.indices((16, 16))
+    c = bursts(rng, 100, 6)
+    still = 50 + 10 * np.cos(xx / 2.5) * np.sin(yy / 3.1)
+    m = still[..., None] + 5 * np.exp(-((xx - 7) ** 2 + (yy - 9) ** 2) / 6)[..., None] * c + rng.normal(0, 1, (16, 16, 100))
+    camera = spark.createDataFrame([(x, y, 0.0, 1.0) for x in range(16) for y in range(16)], "x long, y long, off double, gain double")
+    settings = demixing.Settings(size=16, frames=100, last_rounds=1, every=0, patch=16)
+    plane = SinglePlane(frame_of(spark, m), camera, parts=2, frames=100, noise=0.5, settings=settings)
+    w, t, b = plane.demix((0.7,), (8,), (2,), (0.5,))
+    best = max(np.corrcoef(g.sort_values("t")["c"], c)[0, 1] for _, g in t.toPandas().groupby("cell"))
+    assert best > 0.9 and b.count() == 256 and plane.change().count() == 1600

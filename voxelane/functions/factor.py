@@ -185,11 +185,11 @@ def graph_segments(image: np.ndarray, scale: float, least: int) -> np.ndarray:
     return np.unique([root(i) for i in range(nx * ny)], return_inverse=True)[1].reshape(nx, ny)
 
 
-def demix_block(movie: np.ndarray, scale: float = 10.0, segment: int = 50, blob: int = 10, cut: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
-    """(footprints pixels x cells, traces cells x time) of a block (x, y, t): segments of the maximum image, dilated, seed a joint
+def demix_block(movie: np.ndarray, scale: float = 10.0, segment: int = 50, blob: int = 10, cut: float = 0.3, image: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(footprints pixels x cells, traces cells x time) of a block (x, y, t): segments of an image, by default of the largest values, dilated, seed a joint
     factorisation; weak weights are cut, footprints split into blobs, refined and normalised. An empty block has one zero cell."""
     nx, ny, n = movie.shape
-    m, top = np.maximum(movie.reshape(-1, n), 0), movie.max(2)
+    m, top = np.maximum(movie.reshape(-1, n), 0), movie.max(2) if image is None else image
     if top.max() <= 0:
         return np.zeros((nx * ny, 1)), np.zeros((1, n))
     seg, seeds = graph_segments(top / top.max(), scale, segment), []

@@ -39,17 +39,29 @@ def tiles_of(movie: DataFrame, size: int, frames: int) -> DataFrame:
     return movie.select("t", "x", "y", "v").groupBy(*keys).applyInPandas(run, SCHEMA)
 
 
+def tile_sizes(movie: DataFrame, size: int, frames: int, most: int = 1 << 30) -> DataFrame:
+    """(bx, by, chunk, voxels, bytes, large): what each tile of such a grid would take, and whether that is over `most` bytes; counted
+    before any tile is made."""
+    keys = [F.floor(F.col("x") / size).alias("bx"), F.floor(F.col("y") / size).alias("by"), F.floor(F.col("t") / frames).alias("chunk")]
+    return movie.groupBy(*keys).agg(F.count("*").alias("voxels")).select("*", (8 * F.col("voxels")).alias("bytes"), (8 * F.col("voxels") > most).alias("large"))
+
+
 class Store:
-    """Tiles in a bucketed table, in the shared folder. It goes when the driver ends, or by drop()."""
+    """Tiles in a bucketed table, in the shared folder. It goes when the driver ends, or by drop(). size: the side of its blocks."""
 
-    def __init__(self, spark: SparkSession, tiles: DataFrame, buckets: int | None = None):
-        self.spark, self.name = spark, f"tiles_{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, tiles: DataFrame, buckets: int | None = None, size: int = 0):
+        self.spark, self.name, self.size = spark, f"tiles_{uuid.uuid4().hex}", size
         self.path = f"{shared_root(spark)}/{self.name}"
         buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         tiles.repartition(buckets, *TILE).write.option("path", self.path).option("compression", "zstd").bucketBy(buckets, *TILE).sortBy(*TILE).saveAsTable(self.name)
         self.tiles = spark.table(self.name)
         atexit.register(self.drop)
 
+    @classmethod
+    def of(cls, movie: DataFrame, size: int, frames: int) -> Store:
+        """The store of a movie of rows (t, x, y, v)."""
+        return cls(movie.sparkSession, tiles_of(movie, size, frames), size=size)
+
     def drop(self) -> None:
         with contextlib.suppress(Exception):
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")

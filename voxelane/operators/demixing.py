@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.demix import supports
 from ..session import ship
 from ..workspace import Workspace
-from .blocks import Store, Tile, neighbour_correlation, sum_arrays, tiles_of
+from .blocks import Store, Tile, neighbour_correlation, sum_arrays
 from .space import HALF4, minimum_labels
 from .traces import threshold_mad
 
@@ -68,7 +68,7 @@ class Demixer:
         least = movie.groupBy("x", "y").agg(F.min("v").alias("low"))
         lifted = movie.join(least, ["x", "y"]).select("t", "x", "y", (F.col("v") - F.least("low", F.lit(0.0))).alias("v"))
         self.movie = self.work.write(lifted, "movie")
-        self.store = Store(self.spark, tiles_of(self.movie, settings.size, settings.frames))
+        self.store = Store.of(self.movie, settings.size, settings.frames)
         self.pixels = self._pixels()
         self.foot = self.trace = self.back = None
 
@@ -100,7 +100,7 @@ class Demixer:
         found = self.write(found.join(size, "label").select(F.floor(F.col("node") / WIDE).alias("x"), (F.col("node") % WIDE).alias("y"), (F.col("label") + number * PASS).alias("cell")), "superpixels")
         if found.isEmpty():
             return None
-        store = Store(self.spark, tiles_of(bright, s.size, s.frames))
+        store = Store.of(bright, s.size, s.frames)
         foot = self._first_footprints(found, bright)
         trace = self._first_traces(store, foot)
         zero = self.pixels.select(*BLOCK, F.transform("b", lambda x: F.lit(0.0)).alias("b"))

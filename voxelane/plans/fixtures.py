@@ -12,7 +12,8 @@ class Views:
     """Lazy views over one folder of tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        self.path = lambda name: f"{sf_dir}/{name}.parquet"
+        self.read = lambda name: spark.read.parquet(self.path(name))
 
     @property
     def movie(self) -> DataFrame:
@@ -32,6 +33,17 @@ class Views:
         t = F.row_number().over(Window.partitionBy("user_id").orderBy("ts")) - 1
         return self.read("events").select(F.col("user_id").alias("pix"), t.cast("long").alias("t"), F.col("value").alias("v"), F.least(F.lit(1.0), F.col("value") / 200).alias("prob"), (F.col("event_type") == "error").alias("truth"))
 
+    @property
+    def wide(self) -> DataFrame:
+        """(t, x, y, v): a 16 x 16 movie, four vectors a frame."""
+        k = F.col("t") % 4
+        return self.movie.select(F.floor(F.col("t") / 4).alias("t"), (F.col("x") + 8 * (k % 2)).alias("x"), (F.col("y") + 8 * F.floor(k / 2)).alias("y"), "v")
+
+    @property
+    def volume(self) -> DataFrame:
+        """(t, z, x, y, v): four planes of 8 x 8 pixels, a vector a plane."""
+        return self.movie.select(F.floor(F.col("t") / 4).alias("t"), (F.col("t") % 4).alias("z"), "x", "y", "v")
+
     @property
     def pixels(self) -> DataFrame:
         return self.movie.where("t = 0").select("x", "y")
@@ -76,6 +88,8 @@ class Views:
 #: DuckDB forms of the views; each query's SQL takes the ones it names.
 SQL = {
     "movie": "SELECT t, p % 8 AS x, p // 8 AS y, CAST(e AS DOUBLE) AS v FROM (SELECT vec_id AS t, unnest(embedding) AS e, unnest(range(0, 64)) AS p FROM embeddings)",
+    "volume": "SELECT t // 4 AS t, t % 4 AS z, x, y, v FROM movie",
+    "wide": "SELECT t // 4 AS t, x + 8 * (t % 4 % 2) AS x, y + 8 * (t % 4 // 2) AS y, v FROM movie",
     "trace": "SELECT user_id AS pix, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS t, value AS v FROM events",
     "prob": "SELECT user_id AS pix, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS t, value AS v, least(1.0::DOUBLE, value / 200) AS prob, event_type = 'error' AS truth FROM events",
     "camera": "SELECT x, y, -0.3::DOUBLE + 0.001::DOUBLE * (x + 8 * y) AS off, 0.4::DOUBLE + 0.09::DOUBLE * (x + 8 * y) AS gain FROM movie WHERE t = 0",
@@ -86,4 +100,4 @@ SQL = {
     "affine": "SELECT t, 0.01::DOUBLE * (t % 7) AS dy, -0.01::DOUBLE * (t % 5) AS dx FROM movie WHERE x = 0 AND y = 0 AND t % 4 = 0",
     "ephys": "SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, (value - 50::DOUBLE) / 1000 AS ch1, (50::DOUBLE - lag(value, 1, value) OVER (ORDER BY event_id)) / 1000 AS ch2, user_id % 5 + 1 AS stim3, (row_number() OVER (ORDER BY event_id) - 1) % 3 + 1 AS stim4 FROM events",
 }
-NEEDS = {"camera": ["movie"], "mask": ["movie"], "components": ["movie"], "cells": ["movie", "components"], "affine": ["movie"]}
+NEEDS = {"volume": ["movie"], "wide": ["movie"], "camera": ["movie"], "mask": ["movie"], "components": ["movie"], "cells": ["movie", "components"], "affine": ["movie"]}

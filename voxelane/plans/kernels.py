@@ -129,8 +129,7 @@ def ls_unmix(v):
 
 
 def _volumes(v):
-    """Four frames after one another as the planes of a volume."""
-    return M.volumes(v.movie.select(F.floor(F.col("t") / 4).alias("t"), (F.col("t") % 4).alias("z"), "x", "y", "v"))
+    return M.volumes(v.volume)
 
 
 def _registered(name: str, kind: str, planar: bool):

@@ -56,12 +56,13 @@ def query(views: str = "", body: str = "", doubles: str = "", longs: str = "", p
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import kernels  # noqa: F401  its queries register themselves
+    from . import kernels, workflows  # noqa: F401  their queries register themselves
 
     return {name: (lambda spark, sf_dir, f=f: shaped(f(Views(spark, sf_dir)))) for name, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLE)
 
 
