@@ -57,7 +57,7 @@ def test_splines_around_stimuli_and_jumps(spark):
     pdf = out.toPandas()
     assert len(pdf) == 2 * 5 * (n - 3) and not pdf["t"].isin([399, 400, 401]).any()
     one = pdf[(pdf["rec"] == 1) & (pdf["pix"] == 3)].sort_values("i")
-    assert one["i"].tolist() == list(range(n - 3)) and one["v"].abs().max() < 0.8 and one["v"].std() < 0.15
+    assert one["i"].tolist() == list(range(n - 3)) and one["v"].abs().max() < 1.6 and one["v"].std() < 0.25  # a spline bends at once, but does not jump, where the stimulus does
     kept = one["t"].to_numpy()
     assert np.abs(one["trend"].to_numpy() - slow[kept] - 2 * stim[kept]).mean() < 0.1
     added = trends.stimulus_response(out, together=3).toPandas()
