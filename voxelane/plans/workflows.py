@@ -10,6 +10,7 @@ from ..operators import cellblocks as C
 from ..operators import demixing as D
 from ..operators import motion as M
 from ..operators import noisecorrection as N
+from ..operators import spikenet as S
 from ..operators import tilefactors as U
 from ..operators import traces as T
 from ..operators import trends as R
@@ -197,6 +198,13 @@ def event_bursts(v):
     return L.bursts(v.read("events"), "6 hours", ("user_id",))
 
 
+@query()
+def spike_network(v):
+    """(pix, t, p) of every window, by a network that two workers trained on all of them."""
+    windows = Workspace(v.prob.sparkSession, "windows").write(T.sliding_windows(v.prob, 9, 2), "windows")
+    return S.score(windows, S.train(windows, 2, 4, 3, 8192, 0.03))
+
+
 @query()
 def relative_movie(v):
     """Detrended voxels over their baselines."""
