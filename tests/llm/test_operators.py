@@ -209,9 +209,13 @@ def test_near_copies_of_the_pipeline_stage(spark):
     assert any(0.8 <= s < 0.85 for s in shares) and any(0.85 <= s < 0.97 for s in shares)
     kept = {r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, docs(spark, rows), "").collect()}
     assert kept == set(label)
-    for heavy_rows in (5, 1000):
-        got = {r.doc_id: r.component for r in simhash.near_copies(docs(spark, rows), heavy_rows=heavy_rows).collect()}
+    for how in ({"heavy_rows": 5}, {"far": None, "rounds": 0}):
+        got = {r.doc_id: r.component for r in simhash.near_copies(docs(spark, rows), **how).collect()}
         assert got == dict(enumerate(label))
+    for a in range(0, len(sets), 7):  # the embedding's distance is a lower bound
+        one, other = (np.unique(simhash._shingles(texts[k], 5)) for k in (a, a - 1))
+        bits = sum((x ^ y).bit_count() for x, y in zip(simhash._parities(one), simhash._parities(other)))
+        assert bits <= len(np.setxor1d(one, other))
 
 
 def test_decontamination_of_repeating_templates(spark):

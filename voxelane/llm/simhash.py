@@ -207,70 +207,95 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[
 
 
 def _sets(docs: DataFrame, shingle: int, percent: int, what: str, heavy: np.ndarray | None = None) -> DataFrame:
-    """Per row of (key, text), by its set of shingles: what 'sketch' gives (key, sig, n, fp, fp2, prefix), 'prefix' (sig, prefix) of rows
+    """Per row of (key, text), by its set of shingles: what 'sketch' gives (key, sig, n, fps, prefix), 'prefix' (sig, prefix) of rows
     whose prefix would hold a heavy shingle, 'set' (sig, shingles). sig is a hash of the set, n its size. Shingles are ordered by hash,
-    heavy ones last; two sets at the similarity share one of the first n - ceil(percent n / 100) + 1."""
+    heavy ones last; two sets at the similarity share one of the first n - ceil(percent n / 100) + 1. fps has the set's
+    segment parities under COUNTED shingles and two SimHashes where it or a partner has that many."""
     ship(docs.sparkSession)
     kind = docs.schema["key"].dataType.simpleString()
-    schema = {"sketch": f"key {kind}, sig long, n int, fp long, fp2 long, prefix array<long>", "prefix": "sig long, prefix array<long>", "set": "sig long, shingles array<long>"}[what]
+    schema = {"sketch": f"key {kind}, sig long, n int, fps array<long>, prefix array<long>", "prefix": "sig long, prefix array<long>", "set": "sig long, shingles array<long>"}[what]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            sigs, sizes, fps, others, lists = [], [], [], [], []
+            sigs, sizes, fps, lists = [], [], [], []
             for text in batch.column(1):
                 every = _shingles(text.as_py(), shingle)
                 own = np.unique(every)
                 n = len(own)
                 first = n - -(-percent * n // 100) + 1 if n else 0
                 if what == "prefix":
-                    late = np.isin(own, heavy)
+                    late = np.isin(own & ~np.uint64(1), heavy)
                     if not late[:first].any():
                         continue
                 sigs.append(_signed(xxhash.xxh3_64_intdigest(own.tobytes())))
                 sizes.append(n)
                 if what == "sketch":
-                    fps.append(_signed(_simhash(every)))
-                    others.append(_signed(_simhash(_mixed(every))))
+                    small = [*_parities(own)] if n < COUNTED else [None, None]
+                    large = [_simhash(every), _simhash(_mixed(every))] if 100 * n >= percent * COUNTED else [None, None]
+                    fps.append([x if x is None else _signed(x) for x in small + large])
                 lists.append((np.r_[own[~late], own[late]][:first] if what == "prefix" else own[:first] if what == "sketch" else own).view(np.int64))
             ends = np.cumsum([0, *map(len, lists)])
             nested = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *lists])))
             cols = {"sig": pa.array(sigs, pa.int64()), ("shingles" if what == "set" else "prefix"): nested}
             if what == "sketch":
-                cols = {"key": batch.column(0), "sig": cols["sig"], "n": pa.array(sizes, pa.int32()), "fp": pa.array(fps, pa.int64()), "fp2": pa.array(others, pa.int64()), "prefix": nested}
+                cols = {"key": batch.column(0), "sig": cols["sig"], "n": pa.array(sizes, pa.int32()), "fps": pa.array(fps, pa.list_(pa.int64())), "prefix": nested}
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return docs.mapInArrow(run, schema)
 
 
-#: Sets of at least FILTERED shingles whose two fingerprints differ in more than FAR of 128 bits are not compared: at similarity
-#: 0.8 a bit differs with probability arccos(0.8 * 2 / 1.8) / pi = 0.152, and more than 42 of 128 do with 2e-07 by the binomial
-#: estimate; of unrelated sets, 6e-05 come as near.
-FAR, FILTERED = 42, 64
+#: The hash space in 128 segments; a set's embedding is how many of its shingles each holds. The Manhattan distance of two
+#: embeddings never exceeds the number of shingles that only one set has, nor does the number of segments whose counts differ in
+#: parity. So many bits are compared of two sets under COUNTED shingles. Larger sets fill all segments alike; they and sets that are
+#: no smaller than partners of theirs can be have two SimHashes, by which two such sets are compared.
+COUNTED = 200
 
+#: At similarity 0.8 a SimHash bit differs with probability arccos(0.8 * 2 / 1.8) / pi = 0.152, and more than 42 of 128 do with 2e-07
+#: by the binomial estimate; of unrelated sets, 6e-05 come as near.
+FAR = 42
 
-def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, percent: int = 80, heavy_rows: int = 1000) -> DataFrame:
+
+def _parities(own: np.ndarray) -> tuple[int, int]:
+    """Parities of the counts in the 128 segments of a set, as two words."""
+    odd = (np.bincount((own & np.uint64(127)).astype(np.int64), minlength=128) & 1).astype(np.uint8)
+    low, high = np.packbits(odd, bitorder="little").view(np.uint64)
+    return int(low), int(high)
+
+
+def _distance(fps: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return sum(np.bitwise_count((x[i] ^ x[j]).view(np.uint64)).astype(np.int64) for x in fps)
+
+
+def possible(h: np.ndarray, n: np.ndarray, fps: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int, far: int | None) -> np.ndarray:
+    """Which pairs (i, j) of sets can have the similarity. By parities (h even) sets are left out whose embeddings lie farther apart
+    than sets of their sizes can differ, which loses none; by SimHashes (h odd) those that differ in more than far of 128 bits (None: none)."""
+    differ = _distance(fps, i, j)
+    close = np.full(len(differ), True) if far is None else differ <= far
+    return np.where(h[i] & 1 == 0, (100 + percent) * differ <= (100 - percent) * (n[i] + n[j]), close)
+
+
+def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, percent: int = 80, heavy_rows: int = 1000, far: int | None = FAR, rounds: int = 1, window: int = 64) -> DataFrame:
     """(key, component): one row per document; component is the smallest key reachable over pairs whose sets of shingles have a
     Jaccard similarity of percent / 100 or more.
 
     Candidates share a shingle of their prefixes, which every such pair does; each is verified over the whole sets. A shingle in
     the prefixes of more than heavy_rows sets comes last in the order, so that common passages give no candidates. First the members
-    of each run meet its smallest and their neighbour in size, then pairs that are still apart; fingerprints must be within FAR bits.
+    of each run meet its smallest and their neighbour in size. Then, in rounds, every set meets the closest of another group among the
+    next `window` of its runs, which joins families by one pair a set. At last all pairs that are still apart meet; runs of one group
+    have none. Before a pair is emitted, possible() compares what is kept of both sets; far None makes the result exact.
     Documents without words are copies of each other. Null and repeated keys as in near_duplicates.
     """
     spark: SparkSession = docs.sparkSession
     work, count = Workspace(spark, "near-copies"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     sketch = work.write(_sets(docs, shingle, percent, "sketch"), "sketch")
-    distinct = work.write(sketch.groupBy("sig").agg(F.min("key").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("prefix").alias("prefix")), "distinct")
+    distinct = work.write(sketch.groupBy("sig").agg(F.min("key").alias("least"), F.first("n").alias("n"), F.first("fps").alias("fps"), F.first("prefix").alias("prefix")), "distinct")
     named = work.write(sketch.select("key", "sig"), "named")
     work.drop("sketch")
     work.release()
 
-    def near(n: np.ndarray, fps: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return (n[i] < FILTERED) | (sum(np.bitwise_count((x[i] ^ x[j]).view(np.uint64)) for x in fps) <= FAR)
-
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, cols in _runs(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "n", "sig", "fp", "fp2"])
@@ -280,15 +305,31 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
             here, n = np.arange(len(h)), n.astype(np.int64)
             first = np.searchsorted(h, h)
             for at in (first, np.maximum(here - 1, first)):
-                ok = (at != here) & (100 * n[at] >= percent * n) & near(n, fps, at, here)
+                ok = (at != here) & (100 * n[at] >= percent * n) & possible(h, n, fps, at, here, percent, far)
                 yield pa.RecordBatch.from_arrays([pa.array(sig[at[ok]]), pa.array(sig[ok])], names=["a", "b"])
 
-    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ends, (h, n, sig, group, *fps) in _runs(batches):
             n, i, k = n.astype(np.int64), np.arange(len(h)), 1
+            best, mate = np.full(len(h), 129), np.full(len(h), -1)
+            while k <= window and len(i := i[i + k < ends[i]]) and len(i := i[100 * n[i] >= percent * n[i + k]]):
+                ok = (group[i] != group[i + k]) & possible(h, n, fps, i, i + k, percent, far)
+                a, b = i[ok], i[ok] + k
+                d = _distance(fps, a, b)
+                for x, y in ((a, b), (b, a)):
+                    nearer = d < best[x]
+                    best[x[nearer]], mate[x[nearer]] = d[nearer], y[nearer]
+                k += 1
+            ok = mate >= 0
+            yield pa.RecordBatch.from_arrays([pa.array(sig[ok]), pa.array(sig[mate[ok]]), pa.array(best[ok])], names=["a", "b", "d"])
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ends, (h, n, sig, group, *fps) in _runs(batches):
+            several = np.maximum.reduceat(group, first := np.flatnonzero(np.r_[True, h[1:] != h[:-1]])) != np.minimum.reduceat(group, first)
+            n, i, k = n.astype(np.int64), np.flatnonzero(np.repeat(several, np.diff(np.r_[first, len(h)]))), 1
             while len(i := i[i + k < ends[i]]) and len(i := i[100 * n[i] >= percent * n[i + k]]):
                 j = i + k
-                ok = (group[i] != group[j]) & near(n, fps, i, j)
+                ok = (group[i] != group[j]) & possible(h, n, fps, i, j, percent, far)
                 if ok.any():
                     yield pa.RecordBatch.from_arrays([pa.array(sig[i[ok]]), pa.array(sig[j[ok]])], names=["a", "b"])
                 k += 1
@@ -312,19 +353,28 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
         return found
 
     def meeting(prefixes: DataFrame, name: str) -> DataFrame:
-        out = work.write(dealt(prefixes.select(F.explode("prefix").alias("h"), "n", "sig", "fp", "fp2")).mapInArrow(shared, "h long, n int, sig long, fp long, fp2 long"), name)
+        def postings(k: int) -> DataFrame:  # the lowest bit of a shingle says how its sets are compared
+            rows = prefixes.where(F.get("fps", F.lit(2 * k)).isNotNull()).select(F.explode("prefix").alias("h"), "n", "sig", F.get("fps", F.lit(2 * k)).alias("fp"), F.get("fps", F.lit(2 * k + 1)).alias("fp2"))
+            return rows.withColumn("h", F.col("h").bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(k)))
+
+        out = work.write(dealt(postings(0).union(postings(1))).mapInArrow(shared, "h long, n int, sig long, fp long, fp2 long"), name)
         work.release()
         return out
 
     met = meeting(distinct, "met")
-    heavy = [r.h for r in met.groupBy("h").count().where(F.col("count") > heavy_rows).select("h").collect()]  # at most a heavy_rows-th of all
+    heavy = [r.h for r in met.groupBy(F.col("h").bitwiseAND(F.lit(-2)).alias("h")).count().where(F.col("count") > heavy_rows).select("h").collect()]  # at most a heavy_rows-th of all
     if heavy:
         other = work.write(_sets(docs, shingle, percent, "prefix", np.array(heavy, np.int64).view(np.uint64)).dropDuplicates(["sig"]), "other")
-        met = meeting(distinct.join(other.withColumnRenamed("prefix", "late"), "sig", "left").select("sig", "n", "fp", "fp2", F.coalesce("late", "prefix").alias("prefix")), "met-late")
+        met = meeting(distinct.join(other.withColumnRenamed("prefix", "late"), "sig", "left").select("sig", "n", "fps", F.coalesce("late", "prefix").alias("prefix")), "met-late")
     found = verified(dealt(met).mapInArrow(star, "a long, b long"), "star")
-    groups = connected_components(found, Workspace(spark, "near-copies-star"))
-    labelled = met.join(groups, met.sig == groups.node, "left").select("h", "n", "sig", F.coalesce("component", "sig").alias("group"), "fp", "fp2")
-    found = found.union(verified(dealt(labelled).mapInArrow(apart, "a long, b long"), "apart"))
+    for k in range(rounds + 1):
+        groups = connected_components(found, Workspace(spark, "near-copies-groups"))
+        labelled = dealt(met.join(groups, met.sig == groups.node, "left").select("h", "n", "sig", F.coalesce("component", "sig").alias("group"), "fp", "fp2"))
+        if k < rounds:
+            pairs = labelled.mapInArrow(closest, "a long, b long, d long").groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
+        else:
+            pairs = labelled.mapInArrow(apart, "a long, b long")
+        found = found.union(verified(pairs, f"round-{k}"))
     labels = connected_components(found, Workspace(spark, "near-copies-all"))
     placed = distinct.join(labels, distinct.sig == labels.node, "left").select("sig", "least", F.coalesce("component", "sig").alias("group"))
     linked = placed.groupBy("group").agg(F.min("least").alias("component"))
