@@ -78,3 +78,36 @@ def test_held_transforms(spark):
     for chunk in (1, 4, 100):
         got = sorted((r.t, r.m[0]) for r in M.held(found, times, chunk).collect())
         assert got == [(0, 3), (3, 3), (4, 4), (5, 4), (9, 4), (10, 10), (29, 10), (32, 10), (33, 33), (40, 33), (40, 33)]
+
+
+@pytest.mark.parametrize("name", [*M.PLANAR, *M.SPATIAL])
+def test_stacks_give_each_volume_what_it_has_alone(name):
+    """Searched side by side, in stacks of any size, and yet each as if alone."""
+    rng = np.random.default_rng(2)
+    shape = (8, 8) if name in M.PLANAR else (4, 8, 8)
+    fixed, moving = rng.normal(size=shape), rng.normal(size=(5, *shape))
+    find = (M.PLANAR | M.SPATIAL)[name]
+    alone = np.stack([find(fixed, v) for v in moving])
+    assert np.array_equal(find(fixed, moving), alone)
+    if name in ("rigid2d", "translation3d"):
+        R.TOGETHER, kept = 2 * fixed.size, R.TOGETHER
+        try:
+            assert np.array_equal(find(fixed, moving), alone)
+        finally:
+            R.TOGETHER = kept
+
+
+def test_volumes_are_spread_over_tasks(spark):
+    """However few bytes frames have, their searches don't gather in one task; frames cut by batches stay whole."""
+    rng = np.random.default_rng(3)
+    vols = {t: rng.normal(size=(1, 5, 7)) for t in range(90)}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+        stored = M.volumes(frame_of(spark, vols).where("NOT (t = 4 AND x = 2)"))
+        got = {r.t: np.array(r.v).reshape(1, 5, 7) for r in stored.collect()}
+        vols[4][0, 2] = 0
+        assert sorted(got) == sorted(vols) and all(np.array_equal(got[t], vols[t]) for t in vols)
+        assert stored.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).filter(lambda n: n > 0).count() > 8
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
