@@ -88,3 +88,28 @@ def test_camera_noise_in_tiles_of_any_frame(spark):
         assert ((got[t] - clean) ** 2).mean() < 0.8 * ((np.maximum(f, 1e-6) - clean) ** 2).mean()
     still = noisecorrection.corrected(movie, camera.withColumn("var", camera["var"] * 0), nx, ny, size, **lens).toPandas()
     assert np.allclose(still.sort_values(["t", "x", "y"])["v"], np.maximum(np.stack(frames), 1e-6).ravel())
+
+
+def test_trends_side_by_side(spark):
+    """Traces of any lengths, cut by batches and worked on in stacks, get the trends that each has alone."""
+    from voxelane.operators import grouped as D
+
+    rng = np.random.default_rng(7)
+    ys = {(p, r): rng.normal(size=int(n)).cumsum() for p in range(20) for r, n in enumerate(rng.integers(1, 60, 4))}
+    rows = [(p, r, 5 + t, float(x), 0.2 + p % 3) for (p, r), y in ys.items() for t, x in enumerate(y)]
+    frame = spark.createDataFrame(rows, "pix long, region long, t long, v double, sigma double").repartition(3)
+    name, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set(name, 101)
+        got: dict = {}
+        for r in D.per_stack(frame, ("pix", "region"), lambda y, n, s: G.constrained_trends(y, n, s, 6), "sigma").collect():
+            got.setdefault((r.pix, r.region), {})[r.t - 5] = r.v
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(got) == sorted(ys)
+    for (p, r), y in ys.items():
+        out = np.array([got[p, r][t] for t in range(len(y))])
+        assert len(got[p, r]) == len(y) and np.abs(out - G.constrained_trend(y, 0.2 + p % 3, 6)).max() < 1e-6
+    y, n = G.columns(list(ys.values()))
+    many = G.trend_filters(y, n, np.full(len(n), 3.0))
+    assert all(np.abs(many[: len(x), k] - G.trend_filter(x, 3.0)).max() < 1e-8 for k, x in enumerate(ys.values()))

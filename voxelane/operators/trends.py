@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signal as G
 from ..session import ship
+from .grouped import per_stack
 
 
 def regions(trace: DataFrame, cut: float = 0.02, order: int = 6, consecutive: int = 2, least: float = 5.0, gap: int = 400, buffer: int = 50, discount: float = 0.0) -> DataFrame:
@@ -28,16 +29,13 @@ def regions(trace: DataFrame, cut: float = 0.02, order: int = 6, consecutive: in
 
 
 def region_trends(trace: DataFrame, found: DataFrame, rounds: int = 20) -> DataFrame:
-    """(pix, region, t, v): in each region (of regions()) the smoothest trend whose residual stays within its noise. Regions are tasks of
-    their own, so one long trace spreads over many; a trace is their values side by side."""
+    """(pix, region, t, v): in each region (of regions()) the smoothest trend whose residual stays within its noise. Regions go to
+    tasks by themselves, so one long trace spreads over many, and a task takes many side by side; a trace is their values side by side."""
     ship(trace.sparkSession)
     each = found.select("pix", "region", "sigma", F.explode(F.sequence("first", "last")).alias("t"))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        return pd.DataFrame({"pix": key[0], "region": key[1], "t": pdf["t"], "v": G.constrained_trend(pdf["v"].to_numpy(float), float(pdf["sigma"].iloc[0]), rounds)})
-
-    return trace.select("pix", "t", "v").join(each, ["pix", "t"]).groupBy("pix", "region").applyInPandas(run, "pix long, region long, t long, v double")
+    rows = trace.select("pix", "t", "v").join(each, ["pix", "t"])
+    return per_stack(rows, ("pix", "region"), lambda y, n, sigma: G.constrained_trends(y, n, sigma, rounds), "sigma")
 
 
 _SPLINE = "rec long, pix long, i long, t long, v double, trend double, stim double"
