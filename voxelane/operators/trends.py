@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import signal as G
-from ..session import ship
+from ..session import dealt, ship
 from .grouped import per_stack
 
 
@@ -25,7 +25,7 @@ def regions(trace: DataFrame, cut: float = 0.02, order: int = 6, consecutive: in
         parts, factor = G.detect_regions(y, sigma, cut, order, consecutive, least, gap, buffer, discount)
         return pd.DataFrame([(pdf["pix"].iloc[0], k, t[p[0]], t[p[-1]], sigma * f) for k, (p, f) in enumerate(zip(parts, factor))], columns=["pix", "region", "first", "last", "sigma"])
 
-    return trace.select("pix", "t", "v").groupBy("pix").applyInPandas(run, "pix long, region long, first long, last long, sigma double")
+    return trace.select("pix", "t", "v").repartition(dealt(trace.sparkSession), "pix").groupBy("pix").applyInPandas(run, "pix long, region long, first long, last long, sigma double")
 
 
 def region_trends(trace: DataFrame, found: DataFrame, rounds: int = 20) -> DataFrame:
