@@ -31,3 +31,13 @@ def test_workers_agree_and_learn(spark):
 def test_units_are_left_out_at_the_rate_asked():
     keep = spikenet.kept_units(np.arange(2000, dtype=np.uint64), 3, 8, 0.2)
     assert keep.shape == (2000, 1, 8) and abs((keep == 0).mean() - 0.2) < 0.02 and np.allclose(keep[keep > 0], 1.25)
+
+
+def test_steps_do_not_wait_for_a_barrier(spark):
+    import time
+
+    data = windows_of(spark).cache()
+    spikenet.train(data, 2, 4, 1, 400)  # starts the workers
+    began = time.time()
+    spikenet.train(data, 2, 4, 2, 26)  # some 60 steps; behind a barrier each took a second at least
+    assert time.time() - began < 45
