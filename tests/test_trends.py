@@ -113,3 +113,21 @@ def test_trends_side_by_side(spark):
     y, n = G.columns(list(ys.values()))
     many = G.trend_filters(y, n, np.full(len(n), 3.0))
     assert all(np.abs(many[: len(x), k] - G.trend_filter(x, 3.0)).max() < 1e-8 for k, x in enumerate(ys.values()))
+
+
+def test_stimulus_splines_spread_over_tasks(spark):
+    from voxelane.session import dealt
+
+    rng = np.random.default_rng(3)
+    rows = [(r, 0, t, float(rng.normal())) for r in [*range(20), None] for t in range(40)]
+    marks = [(r, t, 1.0, False) for r in range(20) for t in range(10, 20)] + [(3, 30, 0.0, True)]
+    frame = spark.createDataFrame(rows, "rec long, pix long, t long, v double")
+    out = trends.stimulus_detrended(frame, spark.createDataFrame(marks, "rec long, t long, stim double, jump boolean"), spacing=20)
+    added = trends.stimulus_response(out)
+    assert out.rdd.getNumPartitions() >= dealt(spark) and added.rdd.getNumPartitions() >= dealt(spark)  # were joined by bytes before
+    size = {r.rec: r["count"] for r in out.groupBy("rec").count().collect()}
+    assert size == {r: 37 if r == 3 else 40 for r in [*range(20), None]}
+    got = np.array([r.trend for r in out.where("rec = 7").orderBy("i").collect()])
+    y, stim = np.array([r[3] for r in rows if r[0] == 7]), np.zeros(40)
+    stim[10:20] = 1
+    assert np.allclose(got, G.stimulus_trend(y, stim, np.zeros(0, int), 100, 20))
