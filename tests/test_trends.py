@@ -131,3 +131,20 @@ def test_stimulus_splines_spread_over_tasks(spark):
     y, stim = np.array([r[3] for r in rows if r[0] == 7]), np.zeros(40)
     stim[10:20] = 1
     assert np.allclose(got, G.stimulus_trend(y, stim, np.zeros(0, int), 100, 20))
+
+
+def test_camera_tiles_side_by_side(spark):
+    from voxelane.functions import factor
+    from voxelane.session import dealt
+
+    rng = np.random.default_rng(4)
+    u, var, gain = rng.poisson(5, (30, 7, 7)) + 0.5, rng.uniform(0.1, 1, (30, 7, 7)), rng.uniform(0.4, 2, (30, 7, 7))
+    var[5], gain[7, 2, 2] = 0, 1e-6
+    mask = optics.high_pass(7, 0.1, 1.0, 0.6)
+    one = np.stack([factor.noise_corrected(*a, mask, 0.2, 60) for a in zip(u, var, gain)])
+    assert np.allclose(factor.noise_corrected_many(u, var, gain, mask, 0.2, 60), one, rtol=0, atol=1e-9)
+    movie = spark.createDataFrame([(t, x, y, float(u[t, x, y])) for t in range(30) for x in range(7) for y in range(7)], "t long, x long, y long, v double")
+    camera = spark.createDataFrame([(x, y, float(gain[0, x, y]), float(var[0, x, y])) for x in range(7) for y in range(7)], "x long, y long, gain double, var double")
+    out = noisecorrection.corrected(movie, camera, 7, 7, 5, 0.1, 1.0, 0.6, 0.2, 15)
+    assert out.rdd.getNumPartitions() >= dealt(spark)  # was joined by bytes before
+    assert out.count() == 30 * 49
