@@ -376,3 +376,22 @@ def test_graph_segments_and_labels():
     mask = np.zeros((6, 6), bool)
     mask[0, 0] = mask[1, 1] = mask[4, 4] = True
     assert K.label(mask).max() == 2 and K.label(mask)[0, 0] == K.label(mask)[1, 1]
+
+
+def test_long_splines_by_their_band():
+    import time
+
+    rng = np.random.default_rng(0)
+    for n, spacing in ((4096, 100), (5003, 25), (4500, 9000)):
+        y = np.sin(np.arange(n) / 300) + rng.normal(0, 0.2, n)
+        y[700:760] += 5  # a burst that the robust fit leaves out
+        dense = G.spline_basis(n, spacing)
+        fit = dense @ np.linalg.lstsq(dense, y, rcond=None)[0]
+        assert np.abs(G.spline_trend(y, spacing, robust=False) - fit).max() < 1e-9
+        keep = np.abs(y - fit) <= np.quantile(np.abs(y - fit), 0.95)
+        again = dense @ np.linalg.lstsq(dense[keep], y[keep], rcond=None)[0]
+        assert np.abs(G.spline_trend(y, spacing) - again).max() < 1e-4
+    y = np.sin(np.arange(100_000) / 300)
+    began = time.time()
+    assert np.abs(G.spline_trend(y, 100) - y).max() < 1e-3
+    assert time.time() - began < 20  # dense: over a gigabyte and minutes
