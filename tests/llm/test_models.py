@@ -176,3 +176,23 @@ def test_pages_opened_do_not_grow_with_the_rows(spark, monkeypatch):
 
 def test_held_out_rows_take_no_part():
     assert {i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 0}  # the folds of the contracts are not empty
+
+
+def test_toxicity_is_fitted_by_a_task(spark, monkeypatch):
+    import os
+
+    from voxelane.llm import toxicity
+
+    docs = spark.createDataFrame([(k, f"plain words {k}" + " vile" * (k % 3 == 0)) for k in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(120)], "doc_id long, toxic int")
+    assert len(toxicity.train(docs, labels.limit(0)).terms) == 0
+    driver, fit = os.getpid(), toxicity.fit
+
+    def elsewhere(*rows):
+        assert os.getpid() != driver
+        return fit(*rows)
+
+    monkeypatch.setattr(toxicity, "fit", elsewhere)
+    machine = toxicity.train(docs, labels)
+    found = {r.doc_id: r.score for r in toxicity.score(docs, machine).collect()}
+    assert min(found[k] for k in range(0, 120, 3)) > 0.5 > max(found[k] for k in range(1, 120, 3))
