@@ -395,3 +395,20 @@ def test_long_splines_by_their_band():
     began = time.time()
     assert np.abs(G.spline_trend(y, 100) - y).max() < 1e-3
     assert time.time() - began < 20  # dense: over a gigabyte and minutes
+
+
+def test_noise_thresholds_and_trends_take_little_memory():
+    """Draws of white noise are made some at a time, with the same result; bands are kept in room that grows with the samples."""
+    import tracemalloc
+
+    x = np.random.default_rng(0).normal(size=(200, 900))
+    x -= x.mean(1, keepdims=True)
+    m = np.mean([(x[:, k:] * x[:, : 900 - k]).sum(1) / (x * x).sum(1) for k in range(6)], 0)
+    assert np.isclose(G.white_noise_threshold(900, 5, 3.0, 200), m.mean() + 3 * m.std(), rtol=1e-12)
+    y = np.cumsum(np.random.default_rng(1).normal(size=20_000)) * 0.1
+    for run, megabytes in ((lambda: G.white_noise_threshold(50_000, 5, 3.0, 100), 10), (lambda: [G.trend_filter(y, w, 1) for w in (1.0, 2.0, 3.0, 4.0)], 45)):
+        tracemalloc.start()
+        run()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < megabytes * 1e6
