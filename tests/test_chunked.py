@@ -74,3 +74,34 @@ def test_tiles_by_chunks_are_those_of_whole_tiles(spark):
     assert np.allclose(cube(back(U.voxels(found, numbered.select("t").distinct(), 100)), a.shape, t), want, atol=1e-8)
     ranks = U.greedy_tiles(rows, 8, 8, 2, 100, factor=0.0, most=1).ranks().collect()
     assert len(ranks) == 9 and {r["rank"] for r in ranks} == {1}
+
+
+def test_block_tables_see_whole_blocks_in_order(spark):
+    """Chunks of frames, negative times included, come back as the cube that all rows make."""
+    import pandas as pd
+
+    from voxelane.operators import grouped as D
+
+    a, t = np.random.default_rng(7).normal(size=(5, 3, 40)), [int(i) for i in np.arange(-20, 20) * 900]
+    a[1, 1, 5] = 0
+    rows = movie(spark, a, t).where("NOT (x = 1 AND y = 1 AND t = -13500)")
+    out = D.block_tables(rows, 4, "x0 long, y0 long, v array<double>", lambda c, x0, y0: pd.DataFrame({"x0": [x0], "y0": [y0], "v": [c.ravel()]})).collect()
+    assert {(r.x0, r.y0) for r in out} == {(0, 0), (4, 0)}
+    assert all(np.array_equal(np.reshape(r.v, (-1, 3, 40)), a[r.x0 : r.x0 + 4]) for r in out)
+
+
+def test_component_correlation_by_chunks(spark):
+    from voxelane.operators import space as S
+
+    rng = np.random.default_rng(8)
+    a, c = rng.normal(size=(3, 2, 50)) + 5, rng.normal(size=(4, 50))
+    c[2] = 0.1
+    c[3] += a[2, 1]
+    rows = movie(spark, a, range(50)).where("NOT (x = 0 AND y = 1 AND t > 30)")
+    traces = spark.createDataFrame([(k, t, float(c[k, t])) for k in range(4) for t in range(50) if t != 7], "cell long, t long, c double")
+    got = {(r.x, r.y, r.cell): r.r for r in S.component_correlation(rows, traces, 2, 2, 8).collect()}
+    assert len(got) == 24
+    for (x, y, k), r in got.items():
+        own = [t for t in range(31 if (x, y) == (0, 1) else 50) if t != 7]
+        want = 0 if k == 2 else np.corrcoef(a[x, y, own], c[k, own])[0, 1]
+        assert np.isclose(r, want, atol=1e-9)
