@@ -37,7 +37,7 @@ def in_order(movie: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFra
 
 def chunks(movie: DataFrame, size: int, frames: int = FRAMES, margin: int = 0) -> DataFrame:
     """(bx, by, chunk, x0, y0, nx, ny, own, t, v): blocks of size x size pixels by chunks of frames; v holds the voxels in the order x, y, t,
-    missing ones 0, of the chunk's `own` frames and of `margin` frames after them. Frames are numbered without gaps."""
+    missing ones 0, of the chunk's `own` frames and of `margin` frames after them; with a margin, frames are numbered without gaps."""
     ship(movie.sparkSession)
     at = movie.select("t", "x", "y", "v", F.floor(F.col("x") / size).alias("bx"), F.floor(F.col("y") / size).alias("by"))
     box = at.groupBy("bx", "by").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") - F.min("x") + 1).alias("nx"), (F.max("y") - F.min("y") + 1).alias("ny"))
@@ -52,7 +52,7 @@ def chunks(movie: DataFrame, size: int, frames: int = FRAMES, margin: int = 0) -
         cube[pdf["x"].to_numpy() - x0, pdf["y"].to_numpy() - y0, of] = pdf["v"].to_numpy(float)
         return pd.DataFrame([(*key, int((t < (chunk + 1) * frames).sum()), t, cube.ravel())], columns=[*keys, "own", "t", "v"])
 
-    rows = at.withColumn("chunk", near).where("chunk >= 0").join(sent(box), ["bx", "by"])
+    rows = at.withColumn("chunk", near).where("chunk >= 0" if margin else "true").join(sent(box), ["bx", "by"])
     schema = ", ".join(f"{k} long" for k in [*keys, "own"]) + ", t array<long>, v array<double>"
     return rows.groupBy(*keys).applyInPandas(run, schema).where("own > 0")
 
