@@ -269,3 +269,17 @@ def test_warc_of_repeated_keys(spark, tmp_path):
         responses = {r.capture: r.main.payload_digest for r in got if r.main.record_type == "response"}
         revisits = [r.main for r in got if r.main.record_type == "revisit"]
         assert all(responses[m.refers_to] == m.payload_digest for m in revisits) and len(revisits) == (1 if least else 4)
+
+
+def test_bpe_keeps_what_is_asked_for_again(monkeypatch):
+    """A full memory loses what is rare, not the words that come again and again."""
+    import public_tokenizers
+
+    monkeypatch.setattr(bpe, "REMEMBERED", 8)
+    codec, seen = bpe.Codec(public_tokenizers.path("byte_bpe_50k.json")), []
+    encode = codec.encode_piece
+    monkeypatch.setattr(codec, "encode_piece", lambda p: seen.append(p) or encode(p))
+    texts = [f" again rare{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(40)]
+    got = [codec.encode(t) for t in texts]
+    assert seen.count(" again") == 1 and len(seen) == 41 and len(codec.known) + len(codec.older) <= 8
+    assert [codec.decode(x) for x in got] == texts

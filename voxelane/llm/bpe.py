@@ -17,8 +17,8 @@ from ..session import ship, trimmed
 # Unicode white space, and the pre-token pattern of byte-level BPE files.
 SPACE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Pieces that a task remembers (some 25 MB), the longest piece worth remembering, and pairs of tokens (some 30 MB).
-REMEMBERED, LONGEST, PAIRS = 100_000, 48, 300_000
+#: Pieces that a task remembers (some 60 MB), the longest piece worth remembering, and pairs of tokens (some 30 MB).
+REMEMBERED, LONGEST, PAIRS = 250_000, 48, 300_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -75,6 +75,7 @@ class Codec:
         self.pieces = regex.compile(PATTERN).findall
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")").split if self.specials else None
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.fits: dict[int, bool] = {}
 
     def _may_follow(self, a: int, b: int) -> bool:
@@ -103,25 +104,31 @@ class Codec:
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode("utf-8").decode("latin-1")
-        last: list[tuple[int, int] | None] = [None] * (len(data) + 1)
-        follows = self._follows
+        last, from_ = [-1] * (len(data) + 1), [0] * (len(data) + 1)
+        fit = self.fits.get
         for end, (length, token) in self.matcher.iter(data):
-            end += 1
-            if last[end] is None:
-                start = end - length
-                if not start or follows(last[start][1], token):
-                    last[end] = (start, token)
-        out, at = [], len(data)
+            if last[end + 1] < 0:
+                start = end + 1 - length
+                if start:
+                    fits = fit(last[start] << 20 | token)
+                    if fits is None:
+                        fits = self._follows(last[start], token)
+                        fit = self.fits.get
+                    if not fits:
+                        continue
+                last[end + 1], from_[end + 1] = token, start
+        out, at, ids = [], len(data), self.ids
         while at:
-            at, token = last[at]
-            out.append(self.ids[token])
+            out.append(ids[last[at]])
+            at = from_[at]
         return tuple(out[::-1])
 
     def __missing(self, piece: str) -> tuple[int, ...]:
-        ids = self.encode_piece(piece)
+        """The ids of a piece that isn't among the latest half of those remembered; what is asked for again stays in that half."""
+        ids = self.known.get(piece) or self.older.get(piece) or self.encode_piece(piece)
         if len(piece) <= LONGEST:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
+            if 2 * len(self.known) >= REMEMBERED:
+                self.known, self.older = {}, self.known
             self.known[piece] = ids
         return ids
 
@@ -136,7 +143,7 @@ class Codec:
 
     def forget(self) -> None:
         """Drop what was remembered of pieces and pairs."""
-        self.known, self.fits = {}, {}
+        self.known, self.older, self.fits = {}, {}, {}
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, special tokens included; unknown ids give nothing, stray bytes the replacement character."""
