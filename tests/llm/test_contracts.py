@@ -129,6 +129,28 @@ def test_repeated_windows(spark, monkeypatch, heavy):
     assert rows_of(suffix_dedup.remove_repeats(frame).drop("repeats")) == sorted(want, key=str)
 
 
+def test_near_copies_make_few_rows(spark, monkeypatch):
+    """Many copies of a passage that differ in a letter each: classes are refined where they differ, not taken apart everywhere."""
+    rng = random.Random(9)
+    passage, texts, rows, write = "".join(rng.choice("abcdefgh") for _ in range(700)), [], [], suffix_dedup.Workspace.write
+    for k in range(40):
+        i = rng.randrange(700)
+        texts.append(f"{k:03d}" + passage[:i] + "z" + passage[i + 1 :])
+
+    def counted(self, frame, name, options=None):
+        out = write(self, frame, name, options)
+        rows.append(out.count() if name.startswith(("classes", "crowd-windows")) else 0)
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "HEAVY", 2)
+    monkeypatch.setattr(suffix_dedup.Workspace, "write", counted)
+    want = sorted((i, *r) for i, r in enumerate(removed(texts)))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert rows_of(suffix_dedup.remove_repeats(frame).drop("repeats")) == sorted(want, key=str)
+    print(rows)
+    assert 0 < max(rows) < 1500
+
+
 def test_colliding_hashes_are_looked_up():
     texts = [b"x" * 500 + b"y" * 20, b"x" * 450, b"z" * 400]
     args = texts, np.zeros(3, int), np.array([50, 50, 50]), np.ones(3, int)
