@@ -112,6 +112,45 @@ def test_split_contexts_and_crowds():
     assert np.all(got[50:] > 0) and np.all(got[50:] < 1)
 
 
+def test_tables_of_crowds_follow_their_law():
+    # one dish of 3,000 customers beside 40 of one: the law of its tables is known, whatever the seating started from
+    c, base = np.r_[3000, np.ones(40, np.int64)], np.full(41, 1 / 41)
+    g = pitman_yor.Group(np.zeros(41, np.int64), np.arange(41), c, np.array([3040]), np.array([True]), base, 5)
+    got = np.array([t[0] for t, *_ in ((x.copy(), None) for x, *_ in g.samples(samples=400))])
+    d, up = pitman_yor.DISCOUNT, (pitman_yor.PARENT_STRENGTH * base[0]) / pitman_yor.PARENT_STRENGTH
+    p = np.zeros(3001)
+    p[1] = 1
+    for n in range(1, 3000):  # tables of n customers, a new one weighing d for each there is
+        p[1:] = (p[1:] * (n - d * np.arange(1, 3001)) + p[:-1] * d * np.arange(3000)) / n
+    j = np.arange(1, 3000)
+    with np.errstate(divide="ignore"):
+        weights = np.log(p[1:]) + np.r_[0, np.cumsum(np.log((pitman_yor.STRENGTH + d * (40 + j)) * up / (d * j)))]
+    weights = np.exp(weights - weights.max())
+    mean = (weights * np.arange(1, 3001)).sum() / weights.sum()
+    spread = np.sqrt((weights * (np.arange(1, 3001) - mean) ** 2).sum() / weights.sum())
+    assert abs(got.mean() - mean) < 5 * spread / 20 and 0.8 < got.std() / spread < 1.2
+    for n in (1, 2, 7, 40):  # the closed form for a discount of a half
+        t = np.arange(1, n + 1)
+        assert np.allclose(pitman_yor.half_law(np.full(n, n), t, np.r_[0.0, np.cumsum(np.log(np.arange(1.0, 2 * n + 1)))]), pitman_yor.Laws(np.array([n]), 0.5)(n))
+    # room for more tables is made where they weigh anything
+    g = pitman_yor.Group(np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([900]), np.array([900]), np.array([True]), np.array([40.0]), 5)
+    assert g.laws.most > 256 and g.t[0] > 256
+
+
+def test_split_contexts_hang_on_the_parent():
+    # dish 2 fills many contexts beside a split one; dish 1 is as frequent in the corpus, but only in one
+    u = np.r_[np.uint64(1), np.uint64(1), np.arange(10, 60, dtype=np.uint64), np.uint64(9)]
+    w = np.r_[np.uint64(1), np.uint64(2), np.full(50, 2, np.uint64), np.uint64(1)]
+    n = np.r_[1, 1, np.full(50, 2), 100]
+    total = np.r_[300_000, 300_000, np.full(50, 2), 100]
+    requests = [(np.array([1], np.uint64), total[:1], np.zeros(2, np.int64), np.array([1, 2], np.uint64), np.array([101, 101]), np.array([0, 1]), n[:2])]
+    names, dishes = np.unique(u[2:]), np.array([1, 2], np.uint64)
+    requests.append((names, np.array([2 if x > 9 else 100 for x in names]), np.searchsorted(names, u[2:]), dishes, np.array([101, 101]), (w[2:] - 1).astype(np.int64), n[2:]))
+    _, above, (hot, _) = pitman_yor.answered(requests, 300_200, 2, 3)
+    assert hot.tolist() == [1] and len(above[0]) == 2 and len(above[1]) == 0
+    assert above[0][1] > 2 * above[0][0]
+
+
 def test_pairs_alone_are_learned():
     rng = np.random.default_rng(0)
     rows, labels = [], []
