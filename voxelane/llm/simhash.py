@@ -207,19 +207,19 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[
 
 
 def _sets(docs: DataFrame, shingle: int, percent: int, what: str, heavy: np.ndarray | None = None) -> DataFrame:
-    """Per row of (key, text), by its set of shingles: what 'sketch' gives (key, sig, n, fps, prefix), 'prefix' (sig, prefix) of rows
+    """Per row of (key, text), by its set of shingles: what 'sketch' gives (key, sig, n, fps, prefix, wide), 'prefix' (sig, prefix) of rows
     whose prefix would hold a heavy shingle, 'set' (sig, shingles). sig is a hash of the set, n its size. Shingles are ordered by hash,
     heavy ones last; two sets at the similarity share one of the first n - ceil(percent n / 100) + 1. fps has the set's
-    segment parities under COUNTED shingles and two SimHashes where it or a partner has that many."""
+    segment parities under COUNTED shingles and two SimHashes where it or a partner has that many; wide has parities of WIDE segments."""
     ship(docs.sparkSession)
     kind = docs.schema["key"].dataType.simpleString()
-    schema = {"sketch": f"key {kind}, sig long, n int, fps array<long>, prefix array<long>", "prefix": "sig long, prefix array<long>", "set": "sig long, shingles array<long>"}[what]
+    schema = {"sketch": f"key {kind}, sig long, n int, fps array<long>, prefix array<long>, wide binary", "prefix": "sig long, prefix array<long>", "set": "sig long, shingles array<long>"}[what]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            sigs, sizes, fps, lists = [], [], [], []
+            sigs, sizes, fps, lists, wide = [], [], [], [], []
             for text in batch.column(1):
                 every = _shingles(text.as_py(), shingle)
                 own = np.unique(every)
@@ -232,15 +232,16 @@ def _sets(docs: DataFrame, shingle: int, percent: int, what: str, heavy: np.ndar
                 sigs.append(_signed(xxhash.xxh3_64_intdigest(own.tobytes())))
                 sizes.append(n)
                 if what == "sketch":
-                    small = [*_parities(own)] if n < COUNTED else [None, None]
+                    small = [*_parities(own).tolist()] if n < COUNTED else [None, None]
                     large = [_simhash(every), _simhash(_mixed(every))] if 100 * n >= percent * COUNTED else [None, None]
                     fps.append([x if x is None else _signed(x) for x in small + large])
+                    wide.append(_parities(own, WIDE).tobytes())
                 lists.append((np.r_[own[~late], own[late]][:first] if what == "prefix" else own[:first] if what == "sketch" else own).view(np.int64))
             ends = np.cumsum([0, *map(len, lists)])
             nested = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *lists])))
             cols = {"sig": pa.array(sigs, pa.int64()), ("shingles" if what == "set" else "prefix"): nested}
             if what == "sketch":
-                cols = {"key": batch.column(0), "sig": cols["sig"], "n": pa.array(sizes, pa.int32()), "fps": pa.array(fps, pa.list_(pa.int64())), "prefix": nested}
+                cols = {"key": batch.column(0), "sig": cols["sig"], "n": pa.array(sizes, pa.int32()), "fps": pa.array(fps, pa.list_(pa.int64())), "prefix": nested, "wide": pa.array(wide, pa.binary())}
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return docs.mapInArrow(run, schema)
@@ -257,11 +258,14 @@ COUNTED = 200
 FAR = 42
 
 
-def _parities(own: np.ndarray) -> tuple[int, int]:
-    """Parities of the counts in the 128 segments of a set, as two words."""
-    odd = (np.bincount((own & np.uint64(127)).astype(np.int64), minlength=128) & 1).astype(np.uint8)
-    low, high = np.packbits(odd, bitorder="little").view(np.uint64)
-    return int(low), int(high)
+#: Segments of the embedding by which the pairs that are left at last are compared: sets of up to some 1,000 shingles don't fill them.
+WIDE = 1024
+
+
+def _parities(own: np.ndarray, segments: int = 128) -> np.ndarray:
+    """Parities of the counts in the segments of a set, as words."""
+    odd = (np.bincount((own & np.uint64(segments - 1)).astype(np.int64), minlength=segments) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64)
 
 
 def _distance(fps: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -284,14 +288,15 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
     the prefixes of more than heavy_rows sets comes last in the order, so that common passages give no candidates. First the members
     of each run meet its smallest and their neighbour in size. Then, in rounds, every set meets the closest of another group among the
     next `window` of its runs, which joins families by one pair a set. At last all pairs that are still apart meet; runs of one group
-    have none. Before a pair is emitted, possible() compares what is kept of both sets; far None makes the result exact.
+    have none. Before a pair is emitted, possible() compares what is kept of both sets; far None makes the result exact. The last pairs
+    are compared by parities of WIDE segments too, an exact bound near the true distance, which leaves few near misses.
     Documents without words are copies of each other. Null and repeated keys as in near_duplicates.
     """
     spark: SparkSession = docs.sparkSession
     work, count = Workspace(spark, "near-copies"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     sketch = work.write(_sets(docs, shingle, percent, "sketch"), "sketch")
-    distinct = work.write(sketch.groupBy("sig").agg(F.min("key").alias("least"), F.first("n").alias("n"), F.first("fps").alias("fps"), F.first("prefix").alias("prefix")), "distinct")
+    distinct = work.write(sketch.groupBy("sig").agg(F.min("key").alias("least"), F.first("n").alias("n"), F.first("fps").alias("fps"), F.first("prefix").alias("prefix"), F.first("wide").alias("wide")), "distinct")
     named = work.write(sketch.select("key", "sig"), "named")
     work.drop("sketch")
     work.release()
@@ -323,16 +328,32 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
             ok = mate >= 0
             yield pa.RecordBatch.from_arrays([pa.array(sig[ok]), pa.array(sig[mate[ok]]), pa.array(best[ok])], names=["a", "b", "d"])
 
-    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def strangers(ends, h, n, sig, group, fps) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of different groups within the runs, that what is kept of them doesn't rule out."""
+        several = np.maximum.reduceat(group, first := np.flatnonzero(np.r_[True, h[1:] != h[:-1]])) != np.minimum.reduceat(group, first)
+        n, i, k = n.astype(np.int64), np.flatnonzero(np.repeat(several, np.diff(np.r_[first, len(h)]))), 1
+        while len(i := i[i + k < ends[i]]) and len(i := i[100 * n[i] >= percent * n[i + k]]):
+            j = i + k
+            ok = (group[i] != group[j]) & possible(h, n, fps, i, j, percent, far)
+            if ok.any():
+                yield i[ok], j[ok]
+            k += 1
+
+    def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ends, (h, n, sig, group, *fps) in _runs(batches):
-            several = np.maximum.reduceat(group, first := np.flatnonzero(np.r_[True, h[1:] != h[:-1]])) != np.minimum.reduceat(group, first)
-            n, i, k = n.astype(np.int64), np.flatnonzero(np.repeat(several, np.diff(np.r_[first, len(h)]))), 1
-            while len(i := i[i + k < ends[i]]) and len(i := i[100 * n[i] >= percent * n[i + k]]):
-                j = i + k
-                ok = (group[i] != group[j]) & possible(h, n, fps, i, j, percent, far)
+            some = np.full(len(h), False)
+            for i, j in strangers(ends, h, n, sig, group, fps):
+                some[i] = some[j] = True
+            yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (h, n, sig, group, *fps)], names=["h", "n", "sig", "group", "fp", "fp2"])
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ends, (h, n, sig, group, *fps, wide) in _runs(batches):
+            wide, n = np.frombuffer(b"".join(wide), np.uint64).reshape(len(h), -1), n.astype(np.int64)
+            for i, j in strangers(ends, h, n, sig, group, fps):
+                differ = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64)
+                ok = (100 + percent) * differ <= (100 - percent) * (n[i] + n[j])
                 if ok.any():
                     yield pa.RecordBatch.from_arrays([pa.array(sig[i[ok]]), pa.array(sig[j[ok]])], names=["a", "b"])
-                k += 1
 
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition(count, "h").sortWithinPartitions("h", "n", "sig")
@@ -373,7 +394,8 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
         if k < rounds:
             pairs = labelled.mapInArrow(closest, "a long, b long, d long").groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
         else:
-            pairs = labelled.mapInArrow(apart, "a long, b long")
+            rest = work.write(labelled.mapInArrow(open_, "h long, n int, sig long, group long, fp long, fp2 long"), "open")
+            pairs = dealt(rest.join(distinct.select("sig", "wide"), "sig").select("h", "n", "sig", "group", "fp", "fp2", "wide")).mapInArrow(apart, "a long, b long")
         found = found.union(verified(pairs, f"round-{k}"))
     labels = connected_components(found, Workspace(spark, "near-copies-all"))
     placed = distinct.join(labels, distinct.sig == labels.node, "left").select("sig", "least", F.coalesce("component", "sig").alias("group"))
