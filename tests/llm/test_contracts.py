@@ -131,11 +131,11 @@ def test_repeated_windows(spark, monkeypatch, heavy):
 
 def test_near_misses_are_no_pairs(spark, monkeypatch):
     rng = random.Random(3)
-    base, texts, rows, write = [f"w{i}" for i in range(150)], [], {}, simhash.Workspace.write
+    base, texts, rows, write = [f"w{i}" for i in range(500)], [], {}, simhash.Workspace.write
     for i in range(30):  # similarities of about 0.7 within the family
         own = list(base)
-        for k in range(5):
-            own[30 * k + rng.randrange(4, 26)] = f"x{i}-{k}"
+        for k in range(17):
+            own[29 * k + rng.randrange(4, 25)] = f"x{i}-{k}"
         texts.append(" ".join(own))
 
     def counted(self, frame, name, *options):
@@ -145,7 +145,7 @@ def test_near_misses_are_no_pairs(spark, monkeypatch):
 
     monkeypatch.setattr(simhash.Workspace, "write", counted)
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sets = [{tuple(t.split()[i : i + 5]) for i in range(146)} for t in texts]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(496)} for t in texts]
     near = sum(5 * len(a & b) >= 4 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
     got = {r.doc_id: r.component for r in simhash.near_copies(frame, rounds=0).collect()}
     assert near == 0 and got == {i: i for i in range(30)}
