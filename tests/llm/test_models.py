@@ -235,3 +235,20 @@ def test_toxicity_is_fitted_by_a_task(spark, monkeypatch):
     machine = toxicity.train(docs, labels)
     found = {r.doc_id: r.score for r in toxicity.score(docs, machine).collect()}
     assert min(found[k] for k in range(0, 120, 3)) > 0.5 > max(found[k] for k in range(1, 120, 3))
+
+
+def test_nodes_of_deep_trees_have_numbers(spark, monkeypatch):
+    """Four routing objects a node at most make some levels: their nodes' numbers must not grow as a power of the depth."""
+    for name, value in (("PAGE_ROWS", 8), ("FAN", 1 << 28), ("FLOOR_ROWS", 40), ("SAMPLE", 4)):
+        monkeypatch.setattr(mtree, name, value)
+    rows = [(i, [float(2 ** (i % 14)) / 64, float(i % 3)]) for i in range(300)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in mtree.top_k(frame, "id % 100 = 0", 5).collect()) == brute(rows, 5)
+
+
+def test_routing_objects_deal_evenly():
+    rng = np.random.default_rng(0)
+    points = np.concatenate([rng.integers(-30, 30, (500, 8)), np.eye(8, dtype=np.int64)[:3] * 10_000])  # a crowd and three far from it
+    share = lambda r: np.bincount(mtree._distances(points, r).argmin(1)).max() / len(points)
+    assert share(points[mtree.spread(points, 4)]) > 0.9 and share(mtree.routing(points, 8)) < 0.5
+    assert mtree.routing(np.zeros((3, 2), np.int64), 2).tolist() == [[0, 0]]

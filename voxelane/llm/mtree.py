@@ -188,19 +188,36 @@ def _distance_to(v: np.ndarray, one: np.ndarray) -> np.ndarray:
     return _distances(v, one[None])[:, 0]
 
 
+def routing(points: np.ndarray, k: int) -> np.ndarray:
+    """Up to k routing objects: points, each farthest from those before it, or, where half of all points or more lie nearest to one of
+    those, the middles of cells that are moved to where these deal more evenly."""
+    far = points[spread(points, k)]
+    deal = lambda r: _distances(points, r).argmin(1)
+    most = lambda r: int(np.bincount(deal(r)).max())
+    if len(far) == 1 or 2 * most(far) < len(points):
+        return far
+    best, middles = far, far
+    for _ in range(8):
+        at = deal(middles)
+        middles = np.stack([np.rint(points[at == i].mean(0)) if (at == i).any() else points[i % len(points)] for i in range(len(far))]).astype(np.int64)
+        best = middles if most(middles) < most(best) else best
+    return best
+
+
 def build(rows: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame | None, DataFrame, Workspace]:
-    """(rows, nodes, pages): the tree over rows (id, copy, v), whose root is node 0.
+    """(rows, nodes, pages): the tree over rows (id, copy, v), whose root is node 0. The nodes of a level follow those of the level
+    above in number, FAN for each node that was dealt, so that numbers grow with the nodes and not with the depth.
 
     nodes: (node, parent, router, to_parent, radius, norm, leaf) below the root; None if the root is the one page. pages: (node, data).
     A round deals the rows of all nodes above PAGE_ROWS to routing objects, chosen from SAMPLE of the node's rows; where all of
     those are equal, by hash. Groups of DEALT rows and their node's objects meet in one task.
     """
     placed, nodes, level = rows.withColumns({"node": F.lit(0).cast("long"), "router": F.lit(None).cast("binary")}), None, 0
-    done = None
+    done, fresh_at = None, 1
     while True:
         sizes = work.write(placed.groupBy("node").agg(F.count("*").alias("n"), F.first("router").alias("router")), f"sizes-{level}")
-        full = sizes.where(F.col("n") > PAGE_ROWS)
-        more = full.limit(1).count() > 0
+        full = sizes.where(F.col("n") > PAGE_ROWS).withColumn("place", F.row_number().over(Window.orderBy("node")) - 1)  # a row a node of many rows
+        more = full.count()
         if nodes is not None:
             nodes = nodes.join(full.select("node", F.lit(False).alias("inner")), "node", "left").withColumn("leaf", F.col("leaf") & F.col("inner").isNull()).drop("inner")
         here = placed.join(full.select("node"), "node", "left_anti").select("id", "copy", "v", "node")
@@ -214,12 +231,12 @@ def build(rows: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame | None
         def choose(key, pdf: pd.DataFrame) -> pd.DataFrame:
             v, n = _matrix(pdf.sort_values("r")["v"]), int(pdf["n"].iloc[0])
             k = min(FAN, max(2, -(-2 * n // PAGE_ROWS)))
-            found = v[spread(v, k)]
+            found = routing(v, k)
             if len(found) == 1:
                 found = np.repeat(found, k, 0)
             up = pdf["router"].iloc[0]
             to = _distance_to(found, np.frombuffer(up, np.int64)) if up is not None else np.zeros(len(found))
-            return pd.DataFrame({"parent": int(key[0]), "node": int(key[0]) * FAN + 1 + np.arange(len(found)), "router": [x.tobytes() for x in found], "to_parent": to, "parts": -(-n // DEALT)})
+            return pd.DataFrame({"parent": int(key[0]), "node": fresh_at + int(pdf["place"].iloc[0]) * FAN + np.arange(len(found)), "router": [x.tobytes() for x in found], "to_parent": to, "parts": -(-n // DEALT)})
 
         routers = work.write(sample.groupBy("node").applyInPandas(choose, "parent long, node long, router binary, to_parent double, parts long"), f"routers-{level}")
 
@@ -241,7 +258,7 @@ def build(rows: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame | None
         stats = dealt.groupBy("node").agg(F.max("d").alias("radius"), F.max("norm").alias("norm"))
         fresh = routers.join(stats, "node").select("node", "parent", "router", "to_parent", "radius", "norm", F.lit(True).alias("leaf"))
         nodes = work.write(fresh if nodes is None else nodes.union(fresh), f"nodes-{level}")
-        placed, level = dealt.drop("d", "norm"), level + 1
+        placed, level, fresh_at = dealt.drop("d", "norm"), level + 1, fresh_at + more * FAN
 
     def page(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "copy"])
