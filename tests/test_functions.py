@@ -343,6 +343,14 @@ def test_greedy_components_lower_the_error():
     assert N.cost(m, u, after)[0] <= e + 1e-9
 
 
+def test_greedy_takes_all_components_that_pass():
+    t = np.arange(240)
+    traces = np.stack([np.cos(np.pi * (t + 0.5) * k / 240) for k in range(1, 25)])  # as many smooth traces as no limit should cut
+    m = np.linalg.qr(rng.normal(size=(30, 24)))[0] * np.linspace(60, 30, 24) @ traces + rng.normal(0, 0.05, (30, 240))
+    m -= m.mean(1, keepdims=True)
+    assert len(N.greedy(m, turns=0)[1]) >= 24 and len(N.greedy(m, most=3, turns=0)[1]) == 3
+
+
 def test_lstm():
     p = L.create(3, 2, 1)
     x, y = rng.normal(size=(4, 5, 2)), np.array([0.0, 1, 1, 0])
