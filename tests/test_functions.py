@@ -223,6 +223,19 @@ def test_factorisations():
     assert np.linalg.norm(model - movie.reshape(480, -1)) < 0.02 * np.linalg.norm(movie)
 
 
+def test_factorisation_keeps_to_its_support_in_each_step():
+    own = np.random.default_rng(0)
+    s, c = own.random((20, 3)) < 0.6, own.random((3, 40)) + 1
+    m = (own.random((20, 3)) * s) @ c + own.normal(0, 0.05, (20, 40))
+    start = own.random((20, 3))
+    off = []
+    for rounds in range(1, 5):
+        b, d = K.nmf(m, start, c, rounds, support=s)
+        assert not b[~s].any()
+        off.append(np.linalg.norm(m - b @ d))
+    assert off[0] < 0.15 * np.linalg.norm(m) and all(y <= x + 1e-9 for x, y in zip(off, off[1:]))
+
+
 def test_traces_of_cells_in_a_block():
     a, c, movie = blobs(0.0)
     mask = np.zeros((20, 24), bool)

@@ -37,6 +37,13 @@ def test_others_run_over_whole_tables(spark, name):
     assert rows and all(r[c] is not None for r in rows for c in keys)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_footprints_of_hals_stay_near_their_seeds(spark):
+    """Blurred supports: cell k starts at pixel (0, k) of its block and reaches the pixels around it; the rest is background."""
+    rows = QUERIES["hals"](spark, SF).collect()
+    assert rows and all(r.w > 0 and r.x - r.bx <= 1 and abs(r.y - r.by - r.cell) <= 1 for r in rows)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_entry(spark):
     assert registry.flagship(spark, SF).count() == 64
