@@ -218,6 +218,25 @@ def test_near_copies_of_the_pipeline_stage(spark):
         assert bits <= len(np.setxor1d(one, other))
 
 
+def test_near_copies_whose_repeats_differ(spark):
+    """Sets of shingles can be alike where SimHashes, which count repeats, are far apart; and sets of any two sizes are compared."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in rng.integers(0, 10**6, 400)]
+    rows = [(1, " ".join(base)), (2, " ".join(base + base[:10] * 200)), (3, " ".join(f"v{k}" for k in rng.integers(0, 10**6, 400)))]
+    one, other = ([simhash._simhash(f(simhash._shingles(t, 5))) for f in (lambda x: x, simhash._mixed)] for _, t in rows[:2])
+    assert sum((a ^ b).bit_count() for a, b in zip(one, other)) > simhash.FAR
+    assert {r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, docs(spark, rows), "").collect()} == {1, 3}
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (300, 1100, 2000, 2100, 9000, 20_000)]
+    sets.append(np.unique(np.r_[sets[4][:8500], sets[3]]))
+    differ = simhash._folded([simhash._wide(s) for s in sets])
+    i, j = np.triu_indices(len(sets), 1)
+    true = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    got = differ(i, j)
+    assert np.all(got <= true) and np.all(got > 100) and not differ(i, i).any()
+
+
 def test_decontamination_of_repeating_templates(spark):
     items = {
         1: "2, 4, 6, 8, 10, 12, 14, 16",

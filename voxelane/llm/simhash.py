@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -210,7 +210,7 @@ def _sets(docs: DataFrame, shingle: int, percent: int, what: str, heavy: np.ndar
     """Per row of (key, text), by its set of shingles: what 'sketch' gives (key, sig, n, fps, prefix, wide), 'prefix' (sig, prefix) of rows
     whose prefix would hold a heavy shingle, 'set' (sig, shingles). sig is a hash of the set, n its size. Shingles are ordered by hash,
     heavy ones last; two sets at the similarity share one of the first n - ceil(percent n / 100) + 1. fps has the set's
-    segment parities under COUNTED shingles and two SimHashes where it or a partner has that many; wide has parities of WIDE segments."""
+    segment parities under COUNTED shingles and two SimHashes where it or a partner has that many; wide has parities of more segments."""
     ship(docs.sparkSession)
     kind = docs.schema["key"].dataType.simpleString()
     schema = {"sketch": f"key {kind}, sig long, n int, fps array<long>, prefix array<long>, wide binary", "prefix": "sig long, prefix array<long>", "set": "sig long, shingles array<long>"}[what]
@@ -235,7 +235,7 @@ def _sets(docs: DataFrame, shingle: int, percent: int, what: str, heavy: np.ndar
                     small = [*_parities(own).tolist()] if n < COUNTED else [None, None]
                     large = [_simhash(every), _simhash(_mixed(every))] if 100 * n >= percent * COUNTED else [None, None]
                     fps.append([x if x is None else _signed(x) for x in small + large])
-                    wide.append(_parities(own, WIDE).tobytes())
+                    wide.append(_wide(own))
                 lists.append((np.r_[own[~late], own[late]][:first] if what == "prefix" else own[:first] if what == "sketch" else own).view(np.int64))
             ends = np.cumsum([0, *map(len, lists)])
             nested = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *lists])))
@@ -250,7 +250,7 @@ def _sets(docs: DataFrame, shingle: int, percent: int, what: str, heavy: np.ndar
 #: The hash space in 128 segments; a set's embedding is how many of its shingles each holds. The Manhattan distance of two
 #: embeddings never exceeds the number of shingles that only one set has, nor does the number of segments whose counts differ in
 #: parity. So many bits are compared of two sets under COUNTED shingles. Larger sets fill all segments alike; they and sets that are
-#: no smaller than partners of theirs can be have two SimHashes, by which two such sets are compared.
+#: no smaller than partners of theirs can be have two SimHashes, which say which of two such sets to meet first, and rule none out.
 COUNTED = 200
 
 #: At similarity 0.8 a SimHash bit differs with probability arccos(0.8 * 2 / 1.8) / pi = 0.152, and more than 42 of 128 do with 2e-07
@@ -258,8 +258,38 @@ COUNTED = 200
 FAR = 42
 
 
-#: Segments of the embedding by which the pairs that are left at last are compared: sets of up to some 1,000 shingles don't fill them.
-WIDE = 1024
+#: Segments of the embedding by which the pairs that are left at last are compared: as many as a set has shingles, between these.
+WIDE, WIDEST = 1024, 8192
+
+
+def _wide(own: np.ndarray) -> bytes:
+    """Parities in so many segments that the set doesn't fill them."""
+    return _parities(own, min(WIDEST, max(WIDE, 1 << (len(own) - 1).bit_length() if len(own) else 0))).tobytes()
+
+
+def _folded(wide: list[bytes]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """How many segments differ in parity between the sets i and j, in the segments of the one with fewer: halves laid on each other are
+    the parities in half as many segments."""
+    size, held = np.array([len(x) for x in wide]), {}
+    for least in np.unique(size).tolist():
+        place, rows = np.cumsum(size >= least) - 1, []
+        for x in wide:
+            if len(x) >= least:
+                x = np.frombuffer(x, np.uint64)
+                while len(x) * 8 > least:
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                rows.append(x)
+        held[least] = place, np.stack(rows)
+
+    def differ(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out, least = np.zeros(len(i), np.int64), np.minimum(size[i], size[j])
+        for k, (place, rows) in held.items():
+            on = np.flatnonzero(least == k)
+            if len(on):
+                out[on] = np.bitwise_count(rows[place[i[on]]] ^ rows[place[j[on]]]).sum(1, dtype=np.int64)
+        return out
+
+    return differ
 
 
 def _parities(own: np.ndarray, segments: int = 128) -> np.ndarray:
@@ -288,8 +318,9 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
     the prefixes of more than heavy_rows sets comes last in the order, so that common passages give no candidates. First the members
     of each run meet its smallest and their neighbour in size. Then, in rounds, every set meets the closest of another group among the
     next `window` of its runs, which joins families by one pair a set. At last all pairs that are still apart meet; runs of one group
-    have none. Before a pair is emitted, possible() compares what is kept of both sets; far None makes the result exact. The last pairs
-    are compared by parities of WIDE segments too, an exact bound near the true distance, which leaves few near misses.
+    have none. Before a pair is emitted, possible() compares what is kept of both sets; far, a distance of SimHashes, only says which pairs
+    the first rounds try. The last pairs are compared by parities alone, in as many segments as the sets have shingles at last: an exact
+    bound near the true distance, which loses none and leaves few near misses.
     Documents without words are copies of each other. Null and repeated keys as in near_duplicates.
     """
     spark: SparkSession = docs.sparkSession
@@ -334,7 +365,7 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
         n, i, k = n.astype(np.int64), np.flatnonzero(np.repeat(several, np.diff(np.r_[first, len(h)]))), 1
         while len(i := i[i + k < ends[i]]) and len(i := i[100 * n[i] >= percent * n[i + k]]):
             j = i + k
-            ok = (group[i] != group[j]) & possible(h, n, fps, i, j, percent, far)
+            ok = (group[i] != group[j]) & possible(h, n, fps, i, j, percent, None)
             if ok.any():
                 yield i[ok], j[ok]
             k += 1
@@ -348,10 +379,9 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ends, (h, n, sig, group, *fps, wide) in _runs(batches):
-            wide, n = np.frombuffer(b"".join(wide), np.uint64).reshape(len(h), -1), n.astype(np.int64)
+            differ, n = _folded(list(wide)), n.astype(np.int64)
             for i, j in strangers(ends, h, n, sig, group, fps):
-                differ = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64)
-                ok = (100 + percent) * differ <= (100 - percent) * (n[i] + n[j])
+                ok = (100 + percent) * differ(i, j) <= (100 - percent) * (n[i] + n[j])
                 if ok.any():
                     yield pa.RecordBatch.from_arrays([pa.array(sig[i[ok]]), pa.array(sig[j[ok]])], names=["a", "b"])
 
