@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from voxelane.llm import mtree, pitman_yor, toxicity
 
@@ -151,6 +152,48 @@ def test_split_contexts_hang_on_the_parent():
     assert above[0][1] > 2 * above[0][0]
 
 
+def test_tables_of_split_contexts_are_customers_of_parents():
+    # a split context with dish 2 seldom and 300 others: each table goes to a group, as a guest of its parent
+    w = np.arange(2, 303, dtype=np.uint64)
+    n = np.r_[3, np.full(300, 1000)]
+    request = (np.array([1], np.uint64), np.array([300_003]), np.zeros(301, np.int64), w, n.astype(np.int64), np.arange(301), n)
+    dealt = list(pitman_yor.dealt_tables([request], 400_000, 400, 3, 8))
+    guests = {}
+    for k, words, counts, times in dealt:
+        assert 0 <= k < 8 and np.array_equal(counts, n[words.astype(int) - 2])
+        again = pitman_yor._guests_of(pitman_yor._guests(words, counts, times))
+        assert all(np.array_equal(x, y) for x, y in zip(again, (words, counts, times)))
+        for x, y in zip(words.tolist(), times.tolist()):
+            guests[x] = guests.get(x, 0) + y
+    assert set(guests) == set(w.tolist()) and {k for k, *_ in dealt} == set(range(8))
+    assert all(g <= c for g, c in zip((guests[x] for x in w.tolist()), n))
+    # a cold context: of two dishes it never had, of the same count, the one that guests eat is likelier; what it gives sums to one
+    words = np.arange(2, 12, dtype=np.uint64)
+    asked = (np.array([7], np.uint64), np.array([10]), np.zeros(10, np.int64), words, np.full(10, 40), np.arange(10), np.r_[10, np.zeros(9, np.int64)])
+    (plain,), _, _ = pitman_yor.answered([asked], 400, 10, 5)
+    (got,), _, _ = pitman_yor.answered([asked], 400, 10, 5, [(np.array([5, 99], np.uint64), np.array([40, 40]), np.array([12, 2]))])
+    assert plain[3] == pytest.approx(plain[4]) and got[3] > 2 * got[4] and got.sum() < 1
+
+
+def test_guests_come_from_split_contexts(spark, monkeypatch):
+    rng, write, guests = np.random.default_rng(0), pitman_yor.Workspace.write, []
+
+    def noted(self, frame, name, *options):
+        out = write(self, frame, name, *options)
+        if name == "guests":
+            guests.extend(pitman_yor._guests_of(r.data) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(pitman_yor.Workspace, "write", noted)
+    texts = [" ".join(f"often w{k}" for k in rng.integers(0, 50, 3000)) for _ in range(120)]  # "often" is a context of some 288,000 tokens
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pitman_yor.scores(rows).collect()}
+    assert len(got) == 120 and all(r.base_score < r.score < 0 for r in got.values())
+    assert len(np.unique(np.concatenate([x for x, _, _ in guests]))) == 50
+    again = {r.doc_id: r.score for r in pitman_yor.scores(rows.repartition(5)).collect()}
+    assert all(abs(again[k] - r.score) < 0.01 * abs(r.score) for k, r in got.items())
+
+
 def test_pairs_alone_are_learned():
     rng = np.random.default_rng(0)
     rows, labels = [], []
