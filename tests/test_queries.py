@@ -72,3 +72,22 @@ def test_noise_reads_whole_and_short_traces(spark):
     assert all(np.isclose(got[n], noise_fft(ys[n], method="mean")[0]) for n in got)
     most = {r.pix: r.noise for r in T.noise_fft(df, most=30).collect()}
     assert all(np.isclose(most[n], noise_fft(ys[n], method="mean", most=30)[0]) for n in got)
+
+
+def test_noise_of_odd_traces_goes_to_arrow(spark):
+    """Null pixels are a trace of their own, null values leave no noise, null frames come last; rows don't pass through pandas."""
+    import numpy as np
+
+    from voxelane.functions.signal import noise_fft
+    from voxelane.operators import traces as T
+
+    rows = [(1, 3, 4.0), (1, 0, 1.0), (1, 2, -2.0), (1, 1, 3.0), (2, 0, 1.0), (2, 1, None), (2, 2, 5.0), (None, 1, 2.0), (None, 0, 7.0), (None, 2, 1.0), (3, None, 9.0), (3, 1, 2.0), (3, 0, 1.0), (4, 0, None)]
+    df = spark.createDataFrame(rows, "pix long, t long, v double").repartition(3)
+    found = T.noise_fft(df)
+    got = {r.pix: r.noise for r in found.collect()}
+    want = {1: [1.0, 3.0, -2.0, 4.0], None: [7.0, 2.0, 1.0], 3: [1.0, 2.0, 9.0]}
+    assert set(got) == {1, 2, 3, 4, None} and got[2] is None and got[4] is None
+    assert all(got[k] == noise_fft(np.array(y), method="mean")[0] for k, y in want.items())
+    assert T.noise_fft(df.limit(0)).collect() == []
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "InPandas" not in plan
