@@ -138,6 +138,26 @@ def test_tables_of_crowds_follow_their_law():
     assert g.laws.most > 256 and g.t[0] > 256
 
 
+def test_laws_of_many_customers_need_no_step_for_each(monkeypatch):
+    """Those that follow from n - 1 customers end at a number that `most` alone sets; the others are the same laws."""
+    seen, step = [], pitman_yor.Laws._step
+    monkeypatch.setattr(pitman_yor.Laws, "_step", lambda self, n: (seen.append(int(n.max(initial=1))), step(self, n)))
+    n = np.array([1, 2, 300, 1700, 20_000, 10**7, 10**10])
+    laws = pitman_yor.Laws(n, 0.75)
+    assert [len(laws(k)) for k in n.tolist()] == [1, 2, 256, 256, 256, 256, 256] and seen == [300]
+    laws.widen(20_000)
+    assert len(laws(20_000)) == 1024 and seen == [300, 1700]
+    for d in (0.3, 0.5, 0.75, 0.9):
+        stepped = pitman_yor.Laws(np.array([4000, 20_000]), d)
+        stepped.most = 16
+        step(stepped, stepped.n)
+        for k, row in zip((4000, 20_000), pitman_yor.many_law(stepped.n, 16, d)):
+            if k**d * pitman_yor.reach(d) >= 16:
+                assert np.allclose(row, stepped.rows[k], rtol=0, atol=1e-11)
+    # towards infinity the tables over n^d have a law without n: P(1) n^d -> 1 / Gamma(1 - d)
+    assert np.isclose(laws(10**10)[0] + 0.75 * np.log(1e10), -math.lgamma(0.25))
+
+
 def test_split_contexts_hang_on_the_parent():
     # dish 2 fills many contexts beside a split one; dish 1 is as frequent in the corpus, but only in one
     u = np.r_[np.uint64(1), np.uint64(1), np.arange(10, 60, dtype=np.uint64), np.uint64(9)]
