@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voxelane.llm import mtree, pitman_yor, toxicity
 
@@ -214,6 +215,30 @@ def test_guests_come_from_split_contexts(spark, monkeypatch):
     assert all(abs(again[k] - r.score) < 0.01 * abs(r.score) for k, r in got.items())
 
 
+def test_every_group_is_a_task(spark, monkeypatch):
+    """Also where groups, 8 at least, outnumber the shuffle's partitions: each wrote a file of its own, and nothing is dealt once more."""
+    write, files, plans = pitman_yor.Workspace.write, {}, {}
+
+    def noted(self, frame, name, *options):
+        plans[name] = frame._jdf.queryExecution().executedPlan().toString()
+        out = write(self, frame, name, *options)
+        if name == "answers":
+            files.update({r.file: r.groups for r in out.groupBy(F.input_file_name().alias("file")).agg(F.collect_set("group").alias("groups")).collect()})
+        return out
+
+    monkeypatch.setattr(pitman_yor.Workspace, "write", noted)
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"often w{k}" for k in rng.integers(0, 50, 3000)) for _ in range(120)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert pitman_yor.scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == 120
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(g for x in files.values() for g in x) == list(range(8)) and all(len(x) == 1 for x in files.values())
+    assert all(plans[name].count("hashpartitioning(group") == 0 for name in ("guests", "answers"))
+
+
 def test_pairs_alone_are_learned():
     rng = np.random.default_rng(0)
     rows, labels = [], []
