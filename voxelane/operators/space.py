superpixel_labels: frames are dealt once and summed, not joined

Symptom: neighbours' correlations move the movie about six times through shuffles.
Evidence: 51,282 frames of 8 x 8 pixels, local[6], 51 shuffle partitions: 343.10 MB written, 383.78 read; 40.68 by the join with the pixels' means, 52.46 and 249.51 by the two sides of the join of neighbours, of which one has each value four times.
Fix: zscore sends the pixels' statistics where they measure at most 32 MB (sent; one row a pixel, whatever the frames) and else joins as before. pair_correlation deals rows by frame once; there each value is given to its own pixel and those that look at it, and one aggregation by frame and pixel stands for the join, so repeats are summed instead of met pair by pair. Counting the statistics' bytes reads the input once more.
Effect: at 1 GB of input CPU 175 -> 180 s, shuffle 0.82 -> 0.14 GB, spill 0.00 -> 0.00 GB, read 0.09 -> 0.13 GB, longest task 6 -> 2 s, most memory of a task 285 -> 70 MB; at 6 GB of input CPU 462 -> 277 s, shuffle 4.90 -> 0.84 GB, spill 0.00 -> 0.00 GB, read 0.51 -> 0.76 GB, longest task 10 -> 3 s, most memory of a task 252 -> 168 MB; with hot keys, at 1 GB of input CPU 190 -> 199 s, shuffle 0.41 -> 0.07 GB, spill 0.00 -> 0.00 GB, read 0.05 -> 0.07 GB, longest task 6 -> 2 s, most memory of a task 176 -> 69 MB.

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import dealt, ship
 from ..workspace import Workspace, sent
 HALF4 = ((1, 0), (0, 1), (1, -1), (1, 1))
 FOUR = ((1, 0), (0, 1), (-1, 0), (0, -1))
@@ -16,17 +16,22 @@ EIGHT = tuple((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)
 
 def zscore(movie: DataFrame, keys: tuple[str, ...] = ("x", "y")) -> DataFrame:
     s = movie.groupBy(*keys).agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-    return movie.join(s, [*keys]).select("t", *keys, F.coalesce(F.try_divide(F.col("v") - F.col("m"), F.col("s")), F.lit(0.0)).alias("v"))
+    return movie.join(sent(s), [*keys]).select("t", *keys, F.coalesce(F.try_divide(F.col("v") - F.col("m"), F.col("s")), F.lit(0.0)).alias("v"))
 
 
 def pair_correlation(movie: DataFrame, steps: tuple[tuple[int, ...], ...], keys: tuple[str, ...] = ("x", "y")) -> DataFrame:
-    """(keys, keys2, r): Pearson r of each pixel and its neighbours; constant pixels give 0. The neighbour is found by an
-    equality join after each value is dealt to the pixels that look at it."""
-    z = zscore(movie, keys)
-    moves = F.explode(F.array(*[F.struct(*[F.lit(d).alias(k) for k, d in zip(keys, s)]) for s in steps])).alias("d")
-    looked = z.select("t", F.col("v").alias("r"), *[F.col(k).alias(f"{k}2") for k in keys], moves)
-    looked = looked.select("t", "r", *[f"{k}2" for k in keys], *[(F.col(f"{k}2") - F.col(f"d.{k}")).alias(k) for k in keys])
-    return z.join(looked, ["t", *keys]).groupBy(*keys, *[f"{k}2" for k in keys]).agg(F.avg(F.col("v") * F.col("r")).alias("r"))
+    """(keys, keys2, r): Pearson r of each pixel and its neighbours; constant pixels give 0. Frames are dealt to tasks once, whole; there
+    each value is given to its own pixel and to those that look at it, and summed beside theirs, so that pixels which come repeatedly
+    in a frame take a row each and not one for each pair of them."""
+    names, places = ["t", *keys], [(0,) * len(keys), *steps]
+    z = zscore(movie, keys).where(" AND ".join(f"{n} IS NOT NULL" for n in names)).repartition(dealt(movie.sparkSession), "t")
+    place = lambda i, s: F.struct(F.lit(i).alias("i"), *[F.lit(d).alias(k) for k, d in zip(keys, s)])
+    given = z.withColumn("d", F.explode(F.array(*[place(i, s) for i, s in enumerate(places)]))).select("t", "v", "d.i", *[(F.col(k) - F.col(f"d.{k}")).alias(k) for k in keys])
+    at = lambda i, c: F.when(F.col("i") == i, F.col(c))
+    seen = given.groupBy(*names).agg(*[f for i in range(len(places)) for f in (F.sum(at(i, "v")).alias(f"v{i}"), F.count(at(i, "i")).alias(f"n{i}"))])
+    pairs = F.explode(F.array(*[F.struct(*[(F.col(k) + d).alias(f"{k}2") for k, d in zip(keys, s)], F.col(f"v{i}").alias("r"), F.col(f"n{i}").alias("n")) for i, s in enumerate(steps, 1)])).alias("p")
+    met = seen.where("n0 > 0").select(*keys, "v0", "n0", pairs).select(*keys, "v0", "n0", "p.*").where("n > 0")
+    return met.groupBy(*keys, *[f"{k}2" for k in keys]).agg((F.sum(F.col("v0") * F.col("r")) / F.sum(F.col("n0") * F.col("n"))).alias("r"))
 
 
 def local_correlation(movie: DataFrame, steps: tuple[tuple[int, ...], ...] = EIGHT) -> DataFrame:
